@@ -65,15 +65,17 @@ SELECT review_id, user_name, score, {_normalize('content')} AS content
 FROM reviews WHERE {_words('content')} >= 6""",
     "exact": """
 SELECT * FROM cleaned WHERE review_id IN (SELECT min(review_id) FROM cleaned GROUP BY content)""",
+    "chars": "SELECT review_id, string_split(content, '') AS c FROM cleaned",
     "shingles": """
-SELECT review_id, content[i:i + 2] AS s
-FROM (SELECT review_id, content, unnest(range(1, length(content) - 1)) AS i FROM cleaned)""",
+SELECT review_id, c[i] || c[i + 1] || c[i + 2] AS s
+FROM (SELECT review_id, c, unnest(range(1, len(c) - 1)) AS i FROM chars)""",
+    "points": """
+SELECT review_id, list_transform(c, lambda x: CAST(unicode(x) AS BIGINT)) AS u FROM chars""",
     "codes": f"""
 SELECT review_id, (x4 * x) % {PRIME} AS x FROM (
   SELECT review_id, x, (((x * x) % {PRIME}) * ((x * x) % {PRIME})) % {PRIME} AS x4 FROM (
-    SELECT DISTINCT review_id,
-      ((CAST(unicode(s[1]) AS BIGINT) * {BASE} + unicode(s[2])) % {PRIME} * {BASE} + unicode(s[3])) % {PRIME} AS x
-    FROM (SELECT DISTINCT review_id, s FROM shingles)))""",
+    SELECT DISTINCT review_id, ((u[i] * {BASE} + u[i + 1]) % {PRIME} * {BASE} + u[i + 2]) % {PRIME} AS x
+    FROM (SELECT review_id, u, unnest(range(1, len(u) - 1)) AS i FROM points)))""",
     "perms(i, a, b)": f"SELECT * FROM (VALUES {_PERMS}) t(i, a, b)",
     "sig": f"""
 SELECT c.review_id, p.i, coalesce(m.v, {PRIME}) AS v
@@ -201,7 +203,7 @@ _GREEDY_CTE = _greedy("candidates")
 _VERIFIED_CTE = _greedy("verified")
 _REVIEW = ["reviews"]
 _CLEAN = ["reviews", "cleaned"]
-_LSH = [*_CLEAN, "shingles", "codes", "perms(i, a, b)", "sig", "bands"]
+_LSH = [*_CLEAN, "chars", "points", "codes", "perms(i, a, b)", "sig", "bands"]
 _GOLD = ["reviews", "gold", "gold_reviews"]
 _ANSWERS = ["gold", "answers"]
 _PREDICTED = ["gold", "scores", "probs", "predicted"]
@@ -212,8 +214,15 @@ _TERMS = ["reviews", "normalized", "tokens", "grams", "tf", "idf", "tfidf", "wei
 
 def _q(names: list[str], select: str, extra: dict[str, str] | None = None) -> str:
     defs = [(n, CTE[n]) for n in names] + list((extra or {}).items())
-    recursive = "RECURSIVE " if extra and any(n.startswith("walk") for n in extra) else ""
-    return f"WITH {recursive}" + ",\n".join(f"{n} AS ({d})" for n, d in defs) + "\n" + select
+    if not any(n.startswith("walk") for n, _ in defs):
+        return "WITH " + ",\n".join(f"{n} AS ({d})" for n, d in defs) + "\n" + select
+    # Without MATERIALIZED the recursion would compute its inputs again at every step.
+    kept = ("cleaned", "bands", "candidates", "ranked")
+    return (
+        "WITH RECURSIVE "
+        + ",\n".join(f"{n} AS {'MATERIALIZED ' * (n in kept)}({d})" for n, d in defs)
+        + "\n" + select
+    )
 
 
 _TRIAGE = """
@@ -254,11 +263,11 @@ ORDER BY ts DESC, event_id LIMIT 1000"""
         {"top": _sample("(SELECT * FROM reviews WHERE score >= 4)", "", "round_even(0.1E0 * {n}, 0)", 32)},
     )
     out["char_shingles"] = _q(
-        [*_CLEAN, "shingles"],
+        [*_CLEAN, "chars", "shingles"],
         "SELECT s AS shingle, count(*) AS n, count(DISTINCT review_id) AS n_reviews FROM shingles GROUP BY s",
     )
     out["distinct_shingles"] = _q(
-        [*_CLEAN, "shingles", "sets"],
+        [*_CLEAN, "chars", "shingles", "sets"],
         "SELECT review_id, len(items) AS n_distinct FROM sets",
     )
     out["null_to_empty"] = """
@@ -282,12 +291,12 @@ SELECT doc_id AS review_id, CASE WHEN lang = 'en' THEN text ELSE '' END AS conte
         "FROM cleaned c JOIN keepers USING (review_id) GROUP BY score", _GREEDY_CTE,
     )
     out["near_dup_matches"] = _q(
-        [*_LSH, "candidates", "sets", "alike"],
+        [*_LSH, "candidates", "shingles", "sets", "alike"],
         "SELECT hi AS review_id, lo AS kept_id, round(jaccard, 8) AS jaccard "
         "FROM alike JOIN keepers k ON k.review_id = lo", _GREEDY_CTE,
     )
     out["greedy_near_dedup_verified"] = _q(
-        [*_LSH, "candidates", "sets", "alike", "verified"],
+        [*_LSH, "candidates", "shingles", "sets", "alike", "verified"],
         "SELECT c.review_id, c.content FROM cleaned c JOIN keepers USING (review_id)", _VERIFIED_CTE,
     )
 
@@ -523,7 +532,8 @@ SELECT doc_id AS review_id, CASE quality WHEN 0 THEN 'ABSENT' ELSE 'NEG' END AS
         "SELECT review_id, count(*) AS n_terms, CAST(sum(tf) AS BIGINT) AS n_grams FROM tf GROUP BY review_id",
     )
     out["document_frequency"] = _q(
-        _TERMS[:5], "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM tf GROUP BY term"
+        _TERMS[:5], "SELECT df, count(*) AS n_terms, CAST(sum(n) AS BIGINT) AS n_grams FROM "
+        "(SELECT count(*) AS df, sum(tf) AS n FROM tf GROUP BY term) GROUP BY df"
     )
     out["top_terms_overall"] = _q(_TERMS, top.format("weight"))
     out["top_terms_neg"] = _q(_TERMS, top.format("neg_mean_weight"))

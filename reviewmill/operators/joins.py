@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 MAX_HOT_KEYS = 1024
 MIN_HOT_ROWS = 1_000_000
 
@@ -12,7 +14,7 @@ MIN_HOT_ROWS = 1_000_000
 def lookup_join(
     rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner"
 ) -> DataFrame:
-    """Join ``rows`` to ``table``, which has one row per key.
+    """Join ``rows`` to ``table``, which has one row, or a bounded few, per key.
 
     ``weight`` is a column of ``table``: how many of the ``total`` rows carry the key.
     Keys above ``total / MAX_HOT_KEYS`` rows number fewer than ``MAX_HOT_KEYS``, so that
@@ -24,8 +26,9 @@ def lookup_join(
     limit = max(total // MAX_HOT_KEYS, MIN_HOT_ROWS)
     if total <= limit:
         return rows.join(table, keys, how)
+    table = cut_lineage(table)
     hot = table.where(F.col(weight) > limit)
     cold = table.where(F.col(weight) <= limit)
     hot_rows = rows.join(F.broadcast(hot), keys)
-    cold_rows = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti")
+    cold_rows = rows.join(F.broadcast(hot.select(keys).distinct()), keys, "left_anti")
     return hot_rows.unionByName(cold_rows.join(cold, keys, how))

@@ -39,12 +39,10 @@ def mark_sample(
     size: Callable[[Column], Column],
     seed: int,
     id_col: str = "review_id",
-    rows: int | None = None,
 ) -> DataFrame:
     """``df`` with a boolean ``taken``: exactly ``size(count)`` rows of each stratum.
 
-    Rows with a null stratum belong to no stratum and are dropped. ``rows`` is the size
-    of ``df`` where the caller knows it.
+    Rows with a null stratum belong to no stratum and are dropped.
     """
     for s in strata:
         df = df.where(F.col(s).isNotNull())
@@ -56,7 +54,7 @@ def mark_sample(
         hashed = hashed.withColumn("_all", F.lit(0))
 
     stratum = Window.partitionBy(*strata_cols)
-    cuts = (
+    cuts = cut_lineage(
         hashed.groupBy(*strata_cols, "_bin")
         .agg(F.count("*").alias("_n"))
         .withColumn("_total", F.sum("_n").over(stratum))
@@ -65,12 +63,9 @@ def mark_sample(
         .withColumn("_need", F.col("_size") - (F.col("_upto") - F.col("_n")))
         .where((F.col("_need") > 0) & (F.col("_need") <= F.col("_n")))
         .select(*strata_cols, F.col("_bin").alias("_cut"), "_need", "_total")
-    )
-    if strata:
-        total = df.count() if rows is None else rows
-        placed = lookup_join(hashed, cuts, strata_cols, "_total", total, "left")
-    else:
-        placed = hashed.join(F.broadcast(cuts), strata_cols, "left")  # a single row
+    )  # one row per stratum
+    total = cuts.agg(F.coalesce(F.sum("_total"), F.lit(0))).first()[0]
+    placed = lookup_join(hashed, cuts, strata_cols, "_total", total, "left")
     clear = placed.where(F.col("_cut").isNull() | (F.col("_bin") != F.col("_cut"))).withColumn(
         "taken", F.coalesce(F.col("_bin") < F.col("_cut"), F.lit(False))
     )
@@ -89,7 +84,7 @@ def stratified_sample(
     """About ``n`` rows, spread over the strata in proportion to their size."""
     rows = df.count()
     fraction = n / rows if rows else 0.0
-    marked = mark_sample(df, [by], fraction_size(fraction), seed, id_col, rows)
+    marked = mark_sample(df, [by], fraction_size(fraction), seed, id_col)
     return marked.where("taken").drop("taken")
 
 
@@ -108,10 +103,14 @@ def curate_samples(
     seed: int = SAMPLE_SEED,
     id_col: str = "review_id",
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(golden set, few-shot set, remaining pool), pairwise disjoint."""
-    first = stratified_sample(df, by, golden, seed, id_col)
+    """(golden set, few-shot set, remaining pool), pairwise disjoint.
+
+    The samples are small, so writing them down costs little and keeps the later steps
+    from drawing them again.
+    """
+    first = cut_lineage(stratified_sample(df, by, golden, seed, id_col))
     rest = holdout(df, first, id_col=id_col)
-    second = stratified_sample(rest, by, few_shot, seed, id_col)
+    second = cut_lineage(stratified_sample(rest, by, few_shot, seed, id_col))
     return first, second, holdout(rest, second, id_col=id_col)
 
 
