@@ -71,8 +71,12 @@ def fixed_length_rows(
 
 
 def _tokens(df: DataFrame, column: str) -> DataFrame:
-    words = tx.word_tokens(tx.null_to_empty(column))
-    return df.withColumn("_words", F.concat(words, tx.word_ngrams(words, 2, 2)))
+    # The words are a column of their own: inside an n-gram expression they would be
+    # extracted again for every element.
+    words = df.withColumn("_single", tx.word_tokens(tx.null_to_empty(column)))
+    return words.withColumn("_words", F.concat("_single", tx.word_ngrams("_single", 2, 2))).drop(
+        "_single"
+    )
 
 
 def fit_baseline(
