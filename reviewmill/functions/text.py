@@ -78,7 +78,8 @@ def null_to_empty(c) -> Column:
 
 def char_shingles(c, n: int = N_GRAM) -> Column:
     """All character n-grams, in order; empty for texts shorter than ``n``."""
-    return F.regexp_extract_all(_col(c), F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    # Each match consumes one code point and looks ahead over n, so grams overlap.
+    return F.regexp_extract_all(_col(c), F.lit(rf"(?s)(?=(.{{{n}}}))."), F.lit(1))
 
 
 def distinct_shingles(c, n: int = N_GRAM) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 MAX_HOT_KEYS = 1024
-MIN_HOT_ROWS = 1_000_000
+MIN_HOT_ROWS = 10_000_000
 
 
 def lookup_join(
@@ -27,6 +27,8 @@ def lookup_join(
     if total <= limit:
         return rows.join(table, keys, how)
     table = cut_lineage(table)
+    if not table.where(F.col(weight) > limit).limit(1).count():
+        return rows.join(table, keys, how)
     hot = table.where(F.col(weight) > limit)
     cold = table.where(F.col(weight) <= limit)
     hot_rows = rows.join(F.broadcast(hot), keys)

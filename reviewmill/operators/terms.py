@@ -36,6 +36,27 @@ def term_frequencies(
     )
 
 
+def _idf(df_count: Column, n_docs: int) -> Column:
+    return F.log(F.lit(1.0 + n_docs) / (df_count + 1)) + 1
+
+
+def _raw_weights(tf: DataFrame, n_docs: int) -> DataFrame:
+    """``tf`` with ``raw`` = tf * idf.
+
+    Most n-grams occur in a single document and share one idf, so only the others are
+    looked up. That table is unique on the term and spreads evenly, which lets each task
+    hash its part instead of sorting the terms.
+    """
+    common = (
+        tf.groupBy("term").agg(F.count("*").alias("df")).where("df > 1")
+        .withColumn("idf", _idf(F.col("df"), n_docs))
+        .hint("shuffle_hash")
+    )
+    found = lookup_join(tf, common, ["term"], "df", tf.count(), "left")
+    idf = F.coalesce("idf", _idf(F.lit(1), n_docs))
+    return found.withColumn("raw", F.col("tf") * idf).drop("df", "idf")
+
+
 def tf_idf(
     df: DataFrame,
     column: str = "content",
@@ -43,22 +64,12 @@ def tf_idf(
     stop_words=STOP_WORDS,
     low: int = 2,
     high: int = 3,
-    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(id, carried columns, term, weight).
-
-    The weight is tf * (ln((1 + N) / (1 + df)) + 1), scaled to unit length per document.
-    """
-    n_docs = df.count()
-    tf = cut_lineage(term_frequencies(df, column, id_col, stop_words, low, high, carry))
-    idf = tf.groupBy("term").agg(F.count("*").alias("df")).withColumn(
-        "idf", F.log(F.lit(1.0 + n_docs) / (F.col("df") + 1)) + 1
-    )
-    raw = lookup_join(tf, idf, ["term"], "df", tf.count()).select(
-        id_col, *carry, "term", (F.col("tf") * F.col("idf")).alias("raw")
-    )
+    """(id, term, weight): tf * (ln((1 + N) / (1 + df)) + 1), scaled to unit length per document."""
+    tf = cut_lineage(term_frequencies(df, column, id_col, stop_words, low, high))
+    raw = _raw_weights(tf, df.count())
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(id_col)))
-    return raw.select(id_col, *carry, "term", (F.col("raw") / norm).alias("weight"))
+    return raw.select(id_col, "term", (F.col("raw") / norm).alias("weight"))
 
 
 def term_weights(
@@ -75,6 +86,9 @@ def term_weights(
 
     Documents without the term count as zero. Negative means a score of at most 2,
     positive a score of at least 4, unless given.
+
+    A term's total is its idf times the sum of tf / norm over documents, so weights of
+    single rows are never written: one pass yields the norms, a second the sums.
     """
     negative = F.col("score") <= 2 if negative is None else negative
     positive = F.col("score") >= 4 if positive is None else positive
@@ -87,15 +101,29 @@ def term_weights(
     sizes = sided.agg(
         F.count("*").alias("n"), F.count_if("neg").alias("n_neg"), F.count_if("pos").alias("n_pos")
     ).first()
-    weighted = tf_idf(sided, column, id_col, stop_words, low, high, ("neg", "pos"))
+    tf = cut_lineage(
+        term_frequencies(sided, column, id_col, stop_words, low, high, ("neg", "pos"))
+    )
+    raw = _raw_weights(tf.select(id_col, "term", "tf"), sizes["n"])
+    norms = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    scaled = F.col("tf") / F.col("norm")
+    sums = tf.join(norms, id_col).groupBy("term").agg(
+        F.count("*").alias("df"),
+        F.sum(scaled).alias("all"),
+        F.sum(F.when(F.col("neg"), scaled)).alias("neg"),
+        F.sum(F.when(F.col("pos"), scaled)).alias("pos"),
+    )
 
-    def mean(total: Column, n: int) -> Column:
-        return F.coalesce(total, F.lit(0.0)) / F.lit(float(n)) if n else F.lit(None).cast("double")
+    def mean(total: str, n: int) -> Column:
+        if not n:
+            return F.lit(None).cast("double")
+        return F.coalesce(total, F.lit(0.0)) * _idf(F.col("df"), sizes["n"]) / F.lit(float(n))
 
-    return weighted.groupBy("term").agg(
-        mean(F.sum("weight"), sizes["n"]).alias("weight"),
-        mean(F.sum(F.when(F.col("neg"), F.col("weight"))), sizes["n_neg"]).alias("neg_mean_weight"),
-        mean(F.sum(F.when(F.col("pos"), F.col("weight"))), sizes["n_pos"]).alias("pos_mean_weight"),
+    return sums.select(
+        "term",
+        mean("all", sizes["n"]).alias("weight"),
+        mean("neg", sizes["n_neg"]).alias("neg_mean_weight"),
+        mean("pos", sizes["n_pos"]).alias("pos_mean_weight"),
     )
 
 
