@@ -14,7 +14,8 @@ from ..operators.labeling import parse_responses
 from ..operators.validation import validate_labels
 
 # Quotes are doubled inside quoted fields, and texts may hold line breaks.
-_CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
+# The null marker cannot occur in text, so a quoted empty field stays an empty text.
+_CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "nullValue": "\u0000"}
 
 
 # --- CSV and Parquet ---------------------------------------------------------------
