@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import CATEGORIES
@@ -16,14 +16,9 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 def composition(df: DataFrame, column: str) -> DataFrame:
     """Share of each non-null value in all rows, nulls included in the total."""
-    counts = df.groupBy(column).agg(F.count("*").alias("n"))
-    # The window sees one row per distinct value; it is meant for small domains.
-    total = F.sum("n").over(Window.partitionBy())
-    return (
-        counts.withColumn("share", F.col("n") / total)
-        .where(F.col(column).isNotNull())
-        .select(column, "n", "share")
-    )
+    total = df.count()
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    return counts.withColumn("share", F.col("n") / F.lit(total))
 
 
 def label_distribution(

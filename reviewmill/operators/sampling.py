@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import CHUNK_SIZE, FEW_SHOT_COUNT, GOLDEN_COUNT, SAMPLE_SEED, VALID_SIZE
+from ..functions.text import normalize_text
 from ..session import cut_lineage
 from .joins import lookup_join
 
@@ -139,13 +140,12 @@ def with_test_set(split_df: DataFrame, test: DataFrame) -> DataFrame:
 
 def leaked_rows(test: DataFrame, train: DataFrame, column: str = "content") -> DataFrame:
     """Test rows whose normalized text occurs in the training rows; empty when clean."""
-    from ..functions.text import normalize_text
-
-    def digest(df: DataFrame) -> Column:
-        return F.sha2(normalize_text(column), 256)
-
-    seen = train.select(digest(train).alias("_digest")).distinct()
-    return test.withColumn("_digest", digest(test)).join(seen, "_digest", "left_semi").drop("_digest")
+    digest = F.sha2(normalize_text(column), 256).alias("_digest")
+    marked = test.select("*", digest)
+    seen = train.select(digest).distinct()
+    copies = marked.groupBy("_digest").agg(F.count("*").alias("_rows"))
+    shared = copies.join(seen, "_digest", "left_semi")
+    return lookup_join(marked, shared, ["_digest"], "_rows", test.count()).select(*test.columns)
 
 
 def dense_row_ids(

@@ -16,6 +16,8 @@ def get_spark(app: str = "reviewmill", master: str | None = None, **conf) -> Spa
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Texts may be long: smaller batches keep a Python worker's memory in bounds.
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     )
     if master:
         builder = builder.master(master)
