@@ -82,11 +82,16 @@ def stratified_sample(
     seed: int = SAMPLE_SEED,
     id_col: str = "review_id",
 ) -> DataFrame:
-    """About ``n`` rows, spread over the strata in proportion to their size."""
+    """About ``n`` rows, spread over the strata in proportion to their size.
+
+    Ids are drawn from the id and stratum columns alone and written down; their file size
+    then lets Spark decide whether to broadcast them, and full rows are read once.
+    """
     rows = df.count()
     fraction = n / rows if rows else 0.0
-    marked = mark_sample(df, [by], fraction_size(fraction), seed, id_col)
-    return marked.where("taken").drop("taken")
+    marked = mark_sample(df.select(id_col, by), [by], fraction_size(fraction), seed, id_col)
+    ids = cut_lineage(marked.where("taken").select(id_col))
+    return df.join(ids, id_col, "left_semi")
 
 
 def holdout(df: DataFrame, *removed: DataFrame, id_col: str = "review_id") -> DataFrame:

@@ -51,10 +51,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     A lost executor then costs a re-read instead of the whole history, and later steps
-    read only the columns they use. The folder belongs to the application that set it.
+    read only the columns they use. All cuts of an application lie in one sub-folder
+    named by its id, which may go when the application has ended.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    path = f"{shared_dir(spark).rstrip('/')}/{app}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
