@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from ..constants import CATEGORIES, DEDUP_THRESHOLD, MIN_WORDS, SAMPLE_SEED, VALID_SIZE
+from ..constants import (
+    CATEGORIES,
+    DEDUP_THRESHOLD,
+    FEW_SHOT_COUNT,
+    GOLDEN_COUNT,
+    MIN_WORDS,
+    SAMPLE_SEED,
+    VALID_SIZE,
+)
 from ..operators.cleaning import exact_dedup, length_filter, normalize_reviews
 from ..operators.dedup import drop_duplicate_reviews
-from ..operators.labeling import project_labels, promote_pseudo_labels
-from ..operators.sampling import multilabel_split, with_test_set
+from ..operators.labeling import (
+    few_shot_blocks,
+    few_shot_markdown,
+    project_labels,
+    promote_pseudo_labels,
+)
+from ..operators.sampling import curate_samples, dense_row_ids, multilabel_split, with_test_set
 from ..operators.validation import encode_labels
+from ..sources.tables import export_template, import_template, read_reviews, write_text
 
 
 def clean_exact(
@@ -64,3 +78,38 @@ def build_splits(
 def labelled_rows(split_rows: DataFrame, categories=CATEGORIES) -> DataFrame:
     """Text and label columns only, as the trainer reads them."""
     return project_labels(split_rows, categories)
+
+
+def write_clean(
+    spark: SparkSession, source: str, target: str, fmt: str = "csv", min_words: int = MIN_WORDS
+) -> DataFrame:
+    """Raw review files -> cleaned reviews as Parquet."""
+    clean_reviews(read_reviews(spark, source, fmt), min_words).write.mode("overwrite").parquet(target)
+    return read_reviews(spark, target)
+
+
+def prepare_annotation(
+    clean: DataFrame,
+    root: str,
+    categories=CATEGORIES,
+    golden: float = GOLDEN_COUNT,
+    few_shot: float = FEW_SHOT_COUNT,
+    seed: int = SAMPLE_SEED,
+    force: bool = False,
+) -> None:
+    """Templates ``golden`` and ``few_shot`` to be filled in by hand, and the ``pool`` of
+    all other reviews. Existing files stay unless forced."""
+    first, second, pool = curate_samples(clean, golden=golden, few_shot=few_shot, seed=seed)
+    export_template(first, f"{root}/golden", categories, force)
+    export_template(second, f"{root}/few_shot", categories, force)
+    pool.write.mode("overwrite" if force else "ignore").parquet(f"{root}/pool")
+
+
+def write_few_shot(
+    spark: SparkSession, annotated: str, target: str, categories=CATEGORIES
+) -> DataFrame:
+    """Filled-in few-shot template -> Markdown section; returns rows that lack valid labels."""
+    good, todo = import_template(spark, annotated, categories)
+    blocks = few_shot_blocks(dense_row_ids(good), categories)
+    write_text(few_shot_markdown(blocks), target)
+    return todo

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..constants import CATEGORIES, THRESHOLD
 from ..functions import labels as lb
 from ..operators.metrics import confusion_matrix, eval_output, metrics_long, with_predictions
 from ..operators.scoring import score_reviews
+from ..sources.tables import read_split, write_csv
 
 
 def evaluate(
@@ -25,3 +26,20 @@ def evaluate(
         score_reviews(named, load_model, categories), categories, "logit", threshold
     )
     return metrics_long(confusion_matrix(scored, categories)), eval_output(scored, categories)
+
+
+def evaluate_split(
+    spark: SparkSession,
+    splits_path: str,
+    split: str,
+    load_model,
+    output_path: str | None = None,
+    categories=CATEGORIES,
+    threshold: float = THRESHOLD,
+) -> DataFrame:
+    """Metrics of one split read from its files; predictions are saved when a path is given."""
+    rows = read_split(spark, splits_path, split, categories)
+    report, output = evaluate(rows, load_model, categories, threshold)
+    if output_path:
+        write_csv(output, output_path)
+    return report

@@ -92,6 +92,11 @@ def read_prompt(spark: SparkSession, path: str) -> str:
     return row[0]
 
 
+def write_text(document: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A table of one text, such as a few-shot section, as one file."""
+    document.write.mode(mode).text(path)
+
+
 def write_requests(requests: DataFrame, path: str, mode: str = "overwrite") -> None:
     """JSON lines, one folder and file per chunk; choose chunks as large as the service takes."""
     (

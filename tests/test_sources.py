@@ -1,15 +1,18 @@
 import datetime as dt
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from reviewmill import schemas
 from reviewmill.operators import features
-from reviewmill.plans import curation
+from reviewmill.plans import curation, evaluation
 from reviewmill.session import shared_dir, spread
 from reviewmill.sources import models, tables
 
 CATS = ["A", "B"]
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # for the fake model below
 AT = dt.datetime(2026, 8, 29, 11, 18, 30)
 REVIEWS = [
     (1, "u", 5, AT, 'line one\nline "two", more'),
@@ -109,6 +112,44 @@ def test_build_splits(spark):
     assert curation.labelled_rows(split, CATS).columns == ["content", "A", "B"]
 
 
+def test_raw_files_to_templates_and_prompt(spark, tmp_path):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    rows = [(i, "u", i % 5 + 1, AT, " ".join(words[(i * k) % 10] + str(i * k) for k in range(1, 9))) for i in range(200)]
+    raw = spark.createDataFrame([*rows, (900, "u", 1, AT, "too short")], schemas.REVIEWS)
+    tables.write_csv(raw, str(tmp_path / "raw"), id_col="review_id")
+    clean = curation.write_clean(spark, str(tmp_path / "raw"), str(tmp_path / "clean"))
+    assert clean.count() == 200
+    root = str(tmp_path / "annotation")
+    curation.prepare_annotation(clean, root, CATS, golden=20, few_shot=5)
+    curation.prepare_annotation(clean.limit(0), root, CATS)
+    parts = [tables.import_template(spark, f"{root}/{n}", CATS)[1].count() for n in ("golden", "few_shot")]
+    assert parts == [20, 5] and spark.read.parquet(f"{root}/pool").count() == 175
+    filled = tables.import_template(spark, f"{root}/few_shot", CATS)[1].drop("failed_checks")
+    filled = filled.withColumns({"A": F.lit("NEG"), "B": F.lit("ABSENT")})
+    tables.write_csv(filled, str(tmp_path / "filled"), id_col="review_id")
+    todo = curation.write_few_shot(spark, str(tmp_path / "filled"), str(tmp_path / "md"), CATS)
+    text = tables.read_prompt(spark, str(tmp_path / "md"))
+    assert todo.count() == 0 and text.count("### Example ") == 5
+    assert text.startswith("## 4. Few-Shot Demonstrations\n\n### Example 1\n**Review:**\n")
+
+
+def load_constant():
+    return lambda texts: [[1.0, -1.0] for _ in texts]
+
+
+def test_evaluate_a_split_from_files(spark, tmp_path):
+    rows = [("a", 1, 0, "test"), ("b", 0, 0, "test"), ("c", 1, 1, "train")]
+    tables.write_splits(spark.createDataFrame(rows, schemas.split(CATS)), str(tmp_path / "s"))
+    out = str(tmp_path / "out")
+    report = evaluation.evaluate_split(spark, str(tmp_path / "s"), "test", load_constant, out, CATS)
+    values = {r.metric: r.value for r in report.collect()}
+    assert values["exact_match_ratio"] == 0.5 and values["B_macro_f1"] == 1.0
+    saved = spark.read.csv(out, header=True).orderBy("content").collect()
+    assert [tuple(r) for r in saved] == [
+        ("a", "NEG", "NEG", "0.7311", "ABSENT", "ABSENT", "0.2689"),
+        ("b", "ABSENT", "NEG", "0.7311", "ABSENT", "ABSENT", "0.2689")]
+
+
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
 
