@@ -84,7 +84,6 @@ def _names(ddl: str) -> list[str]:
     return [x.split()[0] for x in ddl.split(", ")]
 
 
-@F.pandas_udf(STATS)
 def _statistics(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         yield pd.DataFrame([text_statistics(t) for t in texts], columns=_names(STATS), dtype="int64")
@@ -224,7 +223,7 @@ def fit_bulk(stats: DataFrame) -> DataFrame:
 
 
 def measure(docs: DataFrame, out: str, text: str = "text") -> DataFrame:
-    return docs.withColumn(out, _statistics(whole_text(text)))
+    return docs.withColumn(out, F.pandas_udf(_statistics, STATS)(whole_text(text)))
 
 
 def judge(docs: DataFrame, out: str = "rules") -> DataFrame:
