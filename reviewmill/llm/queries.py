@@ -1,4 +1,4 @@
 """Registered queries of this folder, and their SQL twins."""
 
-from . import near_dup, quality_rules  # noqa: F401
+from . import near_dup, quality_rules, secret_scan  # noqa: F401
 from .common import REGISTRY, SQL  # noqa: F401
