@@ -51,9 +51,10 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def unit_hash(*parts: Column) -> Column:
-    """A number in [0, 2**52) from an MD5 digest of ``parts``, the same in any engine."""
-    return F.conv(F.substring(F.md5(F.concat_ws("\x1f", *parts)), 1, 13), 16, 10).cast("bigint")
+def hash40(*parts: Column) -> Column:
+    """A number in [0, 2**40) from an MD5 digest of ``parts``, the same in any engine."""
+    text = F.concat_ws("\x1f", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 10), 16, 10).cast("bigint")
 
 
 # --- byte text in numpy ------------------------------------------------------------
