@@ -1,4 +1,4 @@
 """Registered queries of this folder, and their SQL twins."""
 
-from . import mixing, near_dup, quality_rules, secret_scan  # noqa: F401
+from . import byte_bpe, mixing, near_dup, quality_rules, secret_scan  # noqa: F401
 from .common import REGISTRY, SQL  # noqa: F401
