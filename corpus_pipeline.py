@@ -6,8 +6,9 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from reviewmill.llm import quality_rules
+from reviewmill.llm import byte_bpe, mixing, near_dup, quality_rules, secret_scan
 from reviewmill.session import shared_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -20,8 +21,38 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where(judged[rules]["kept"]).select(*[judged[f"`{c}`"] for c in docs.columns])
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return near_dup.drop_near_duplicates(docs)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents; secrets in their texts are replaced by a marker."""
+    return secret_scan.mask_secrets(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a document comes as often as its source's target has it taken, or not at all."""
+    return mixing.mix(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document of the mix, and whether they decode to its text."""
+    columns = docs.select("doc_id", "source", "text")
+    codec = byte_bpe.Codec(spark)
+    ids = columns.withColumn("ids", codec.encode(F.col("text")))
+    same = codec.decode(F.col("ids")) == F.coalesce("text", F.lit(""))
+    return ids.select(
+        "doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip")
+    )
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", keep_good),
+    ("near_duplicates", one_of_each),
+    ("secrets", without_secrets),
+    ("mix", mixed),
+    ("tokens", encoded),
 ]
 
 #: The robust estimate, the similarity components and the byte-pair merges have no SQL form.
