@@ -13,15 +13,17 @@ def no_spans() -> Column:
     return F.array().cast(f"array<{SPAN}>")
 
 
-def find_spans(text: Column, pattern: str, kind: str, rank: int, group: int = 0, least: int = 1) -> Column:
+def find_spans(
+    text: Column, pattern: Column | str, kind: Column | str, rank: Column | int, group: int = 0, least: int = 1
+) -> Column:
     """All leftmost non-overlapping matches of ``pattern``; a match whose ``group`` is shorter
     than ``least`` characters is dropped, and the search goes on behind it.
 
     What lies between the matches comes from a split, the matches from an extraction; a
     running sum of both lengths gives the places. Texts without a match skip that.
     """
-    lit = F.lit(pattern)
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, lit, F.lit(0))
+    lit, kind, rank = (x if isinstance(x, Column) else F.lit(x) for x in (pattern, kind, rank))
+    gaps, found = F.split(text, lit, -1), F.regexp_extract_all(text, lit, F.lit(0))
     inner = found if group == 0 else F.regexp_extract_all(text, lit, F.lit(group))
     steps = F.zip_with(
         F.slice(F.transform(gaps, F.length), 1, F.size(found)),
@@ -34,14 +36,14 @@ def find_spans(text: Column, pattern: str, kind: str, rank: int, group: int = 0,
         start = acc["at"] + x["gap"]
         end = start + x["whole"]
         span = F.struct(
-            start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind")
+            start.alias("start"), rank.alias("rank"), end.alias("end"), kind.alias("kind")
         )
         more = F.when(x["inner"] >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
         return F.struct(end.alias("at"), more.alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), no_spans().alias("out"))
     all_ = F.aggregate(steps, start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), all_).otherwise(no_spans())
+    return F.when(F.rlike(text, lit), all_).otherwise(no_spans())
 
 
 def spans_text(spans: Column) -> Column:
