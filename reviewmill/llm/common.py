@@ -98,6 +98,10 @@ class WordHasher:
 
     def words(self, text: bytes) -> np.ndarray:
         """Hashes of the words (runs of non-space bytes) of ``text``, in order."""
+        return self.places(text)[2]
+
+    def places(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and hash of every word."""
         b = np.frombuffer(text, np.uint8)
         space = np.ones(len(b) + 2, np.int8)
         space[1:-1] = _SPACE[b]
@@ -114,4 +118,4 @@ class WordHasher:
             s, e = starts[first:last] - lo, ends[first:last] - lo
             out[first:last] = mix64((sums[e] - sums[s]) * self.inverses[s] + (e - s).astype(np.uint64))
             first = last
-        return out
+        return starts, ends, out

@@ -15,7 +15,8 @@ What meets is not paired off:
 3. Nodes that still share a key with a node of another group may hold a link that the lowest
    node did not show. Among those nodes, and only across groups, an exact prefix filter finds
    the pairs to verify: a link of similarity 0.85 needs a common shingle among the rarest 15 %
-   of either side's. No key, bucket or group is capped.
+   of either side's, and parity maps of the sets that differ in few places. No key, bucket or
+   group is capped.
 
 Groups are the connected components of the verified links (alternating large and small stars).
 Sets of shingles are held as 64-bit hashes.
@@ -43,8 +44,10 @@ WIDTH = 5  # words in a shingle
 NUM, DEN = 85, 100  # linked when DEN * intersection >= NUM * union
 CHUNKS, SYMBOLS, BITS = 13, 5, 12
 MAX_DISTANCE = 2 * CHUNKS - 1  # at most one error in some chunk
+LANES = 16  # 64-bit lanes of a set's parity map
 
 SKETCH = "n_shingles long, digest string, chunks array<long>"
+SET = "shingles array<long>, parity array<long>"
 
 
 class Shingler:
@@ -77,6 +80,12 @@ class Shingler:
         shifts = np.arange(SYMBOLS, dtype=np.uint64) * np.uint64(BITS)
         return (symbols << shifts).sum(axis=1, dtype=np.uint64).astype(np.int64).tolist()
 
+    def parity(self, shingles: np.ndarray) -> list[int]:
+        """Bit i tells whether an odd number of shingles fall on place i."""
+        places = (shingles >> np.uint64(40)).astype(np.int64) % (64 * LANES)
+        odd = np.bincount(places, minlength=64 * LANES).astype(np.uint8) & 1
+        return np.packbits(odd).view(np.int64).tolist()
+
 
 def _sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     s = Shingler()
@@ -92,11 +101,15 @@ def _sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=["n_shingles", "digest", "chunks"])
 
 
-def _shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     s = Shingler()
     with np.errstate(over="ignore"):
         for texts in batches:
-            yield pd.Series([s.shingles(t).astype(np.int64) for t in texts], dtype=object)
+            sets = [s.shingles(t) for t in texts]
+            yield pd.DataFrame({
+                "shingles": pd.Series([x.astype(np.int64) for x in sets], dtype=object),
+                "parity": pd.Series([s.parity(x) for x in sets], dtype=object),
+            })
 
 
 def index_keys(chunks: Column) -> Column:
@@ -125,6 +138,13 @@ def _similar(common: Column, a: Column, b: Column) -> Column:
     return DEN * common >= NUM * (a + b - common)
 
 
+def _parity_fits(a: Column, b: Column, n: Column) -> Column:
+    """Exact: sets that differ in few shingles differ in no more places of their parity maps.
+    ``n`` is the sum of both sizes; similar sets differ in ``n * (DEN - NUM) / (DEN + NUM)`` at most."""
+    differing = [F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(LANES)]
+    return (DEN + NUM) * sum(differing[1:], differing[0]) <= (DEN - NUM) * n
+
+
 def _sizes_fit(a: Column, b: Column) -> Column:
     return DEN * F.least(a, b) >= NUM * F.greatest(a, b)
 
@@ -136,8 +156,9 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         return sets.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in cols])
 
     near = (
-        pairs.join(of("low", "n", "chunks"), "low").join(of("node", "n", "chunks"), "node")
+        pairs.join(of("low", "n", "chunks", "parity"), "low").join(of("node", "n", "chunks", "parity"), "node")
         .where(_sizes_fit(F.col("n_low"), F.col("n_node")))
+        .where(_parity_fits(F.col("parity_low"), F.col("parity_node"), F.col("n_low") + F.col("n_node")))
         .where(signature_distance(F.col("chunks_low"), F.col("chunks_node")) <= MAX_DISTANCE)
         .select("low", "node", "n_low", "n_node")
     )
@@ -166,7 +187,8 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
         kept.withColumn("at", F.row_number().over(by_node.orderBy("df", "shingle")))
         .withColumn("at", F.col("at") + F.col("n") - F.count("*").over(by_node))
         .where((F.col("at") <= prefix) & F.col("mixed"))
-        .select("shingle", "node", "label", "n", "at")
+        .join(sets.select("node", "parity"), "node")
+        .select("shingle", "node", "label", "n", "at", "parity")
     )
     a, b = rare.alias("a"), rare.alias("b")
     left = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
@@ -174,7 +196,8 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     return (
         a.join(b, (F.col("a.shingle") == F.col("b.shingle"))
                & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label"))
-               & _sizes_fit(F.col("a.n"), F.col("b.n")) & (left + 1 >= need))
+               & _sizes_fit(F.col("a.n"), F.col("b.n")) & (left + 1 >= need)
+               & _parity_fits(F.col("a.parity"), F.col("b.parity"), F.col("a.n") + F.col("b.n")))
         .select(F.col("a.node").alias("low"), F.col("b.node").alias("node"))
         .distinct()
     )
@@ -219,7 +242,8 @@ def _links(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame
         wanted,
         own["doc_id"].eqNullSafe(wanted["rep.doc_id"]) & (own["text_hash"] == wanted["rep.text_hash"]),
     ).dropDuplicates(["doc_id", "text_hash", "node"])
-    sets = cut_lineage(texts.select("node", "n", "chunks", F.pandas_udf(_shingles, "array<long>")("text").alias("shingles")))
+    made = texts.select("node", "n", "chunks", F.pandas_udf(_sets, SET)("text").alias("set"))
+    sets = cut_lineage(made.select("node", "n", "chunks", "set.*"))
 
     star = members.where("node > low").select("low", "node").distinct()
     first = cut_lineage(_verified(star, sets))

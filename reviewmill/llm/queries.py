@@ -1,4 +1,4 @@
 """Registered queries of this folder, and their SQL twins."""
 
-from . import byte_bpe, license_scan, mixing, near_dup, quality_rules, secret_scan, templates  # noqa: F401
+from . import byte_bpe, license_scan, mixing, near_dup, quality_model, quality_rules, secret_scan, templates  # noqa: F401
 from .common import REGISTRY, SQL  # noqa: F401
