@@ -271,7 +271,7 @@ ORDER BY ts DESC, event_id LIMIT 1000"""
         "SELECT review_id, len(items) AS n_distinct FROM sets",
     )
     out["null_to_empty"] = """
-SELECT doc_id AS review_id, CASE WHEN lang = 'en' THEN text ELSE '' END AS content FROM documents"""
+SELECT doc_id AS review_id, text AS content, CASE WHEN lang = 'en' THEN text ELSE '' END AS english FROM documents"""
     out["head_preview"] = _q(_REVIEW, "SELECT * FROM reviews ORDER BY review_id LIMIT 2")
 
     # near duplicates
@@ -384,6 +384,12 @@ SELECT doc_id AS review_id, CASE quality WHEN 0 THEN 'ABSENT' ELSE 'NEG' END AS
         "SELECT n.review_id FROM gold g JOIN normalized n USING (review_id) WHERE n.content IN "
         "(SELECT content FROM normalized WHERE review_id NOT IN (SELECT review_id FROM gold))",
     )
+    out["split_leaks"] = _q(
+        [*_GOLD, "normalized"],
+        "SELECT n.review_id, 'leak' AS failed_checks FROM gold g JOIN normalized n USING (review_id) "
+        "WHERE n.review_id % 5 <> 0 AND n.content IN (SELECT content FROM normalized JOIN gold USING (review_id) "
+        "WHERE review_id % 5 = 0)",
+    )
     out["dense_row_ids"] = _q(
         ["gold", "chunked"], "SELECT review_id, row_id FROM chunked"
     )
@@ -408,8 +414,18 @@ SELECT doc_id AS review_id, CASE quality WHEN 0 THEN 'ABSENT' ELSE 'NEG' END AS
         "'Label it.' AS system_text, 'Review: \"' || content || '\"' AS user_text, "
         "'NEG,ABSENT' AS toxic_enum, 'LOW_QUALITY,TOXIC' AS required, false AS additional FROM reviews",
     )
+    labels = '{"type":"string","enum":["NEG","ABSENT"]}'
     out["request_files"] = _q(
-        ["gold", "chunked"], "SELECT review_id, CAST(chunk_id AS INT) AS chunk_id FROM chunked"
+        [*_GOLD, "chunked"],
+        "SELECT c.review_id, CAST(c.chunk_id // 2 AS INT) AS chunk_group, concat("
+        "'{\"custom_id\":\"row_', c.review_id, '\",\"method\":\"POST\",\"url\":\"/v1/chat/completions\",\"body\":"
+        "{\"model\":\"m\",\"temperature\":0.0,\"max_completion_tokens\":150,\"messages\":["
+        "{\"role\":\"system\",\"content\":\"Label it.\"},{\"role\":\"user\",\"content\":', "
+        "CAST(to_json(concat('Review: \"', g.content, '\"')) AS VARCHAR), "
+        "'}],\"response_format\":{\"type\":\"json_schema\",\"json_schema\":{\"name\":\"defect_schema\",\"strict\":true,"
+        f"\"schema\":{{\"type\":\"object\",\"properties\":{{\"LOW_QUALITY\":{labels},\"TOXIC\":{labels}}},"
+        "\"required\":[\"LOW_QUALITY\",\"TOXIC\"],\"additionalProperties\":false}}}}}') AS line "
+        "FROM chunked c JOIN gold_reviews g USING (review_id)",
     )
     out["parse_responses"] = _q(_ANSWERS, "SELECT * FROM answers")
     out["response_files"] = out["parse_responses"]
@@ -449,7 +465,15 @@ SELECT doc_id AS review_id, CASE quality WHEN 0 THEN 'ABSENT' ELSE 'NEG' END AS
         "SELECT review_id, CASE WHEN length(content) % 19 = 0 THEN 'ERROR' "
         "WHEN length(content) % 2 = 1 THEN 'NEG' ELSE 'ABSENT' END AS LOW_QUALITY_pred, "
         "CASE WHEN length(content) % 19 = 0 OR length(content) % 13 = 0 THEN 'ERROR' "
-        "WHEN length(content) % 5 = 0 THEN 'NEG' ELSE 'ABSENT' END AS TOXIC_pred FROM reviews",
+        "WHEN length(content) % 5 = 0 THEN 'NEG' ELSE 'ABSENT' END AS TOXIC_pred FROM "
+        "(SELECT review_id, content FROM reviews UNION ALL "
+        "SELECT -review_id - 1, '' FROM reviews WHERE review_id % 5 = 0)",
+    )
+    out["unidentified_answers"] = _q(
+        _ANSWERS,
+        "SELECT a.LOW_QUALITY_pred, a.TOXIC_pred, count(*) AS n, "
+        "(SELECT count(*) FROM answers WHERE review_id % 7 <> 0) AS kept "
+        "FROM answers a WHERE a.review_id % 7 = 0 GROUP BY ALL",
     )
 
     # scoring
@@ -462,6 +486,15 @@ SELECT doc_id AS review_id, CASE quality WHEN 0 THEN 'ABSENT' ELSE 'NEG' END AS
         _PREDICTED,
         "SELECT review_id, LOW_QUALITY_pred AS from_logits, TOXIC_pred AS from_probs FROM predicted",
     )
+    out["score_kind_labels"] = (
+        "SELECT doc_id AS review_id, CAST(toxic AS DOUBLE) AS TOXIC_prob, "
+        "CASE toxic WHEN 1 THEN 'NEG' WHEN 0 THEN 'ABSENT' END AS TOXIC_pred FROM labels"
+    )
+    out["ingest_reviews"] = _q(
+        _REVIEW,
+        "SELECT user_name, score, 1700000000 + review_id AS seconds, content, CAST(1 AS BIGINT) AS n, "
+        "CAST(1 AS BIGINT) AS ids FROM reviews",
+    )
     out["triage_result"] = _q([*_REVIEW, "scored_text"], _TRIAGE)
     out["triage_stream"] = out["triage_result"]
 
@@ -550,7 +583,7 @@ SELECT doc_id AS review_id, CASE quality WHEN 0 THEN 'ABSENT' ELSE 'NEG' END AS
             "words": r"SELECT review_id, LOW_QUALITY, TOXIC, regexp_extract_all(lower(content), '[\p{L}\p{N}_]{2,}') AS t FROM gold_reviews",
             "vocab": "SELECT token, row_number() OVER (ORDER BY n DESC, token) + 1 AS id FROM "
             "(SELECT token, count(*) AS n FROM (SELECT unnest(t) AS token FROM words) GROUP BY token) "
-            "ORDER BY n DESC, token LIMIT 2000",
+            "ORDER BY n DESC, token LIMIT 30000",
             "seqs": "SELECT review_id, list(coalesce(v.id, 1) ORDER BY pos) AS ids FROM "
             "(SELECT review_id, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM words) p "
             "LEFT JOIN vocab v USING (token) WHERE pos <= 128 GROUP BY review_id",

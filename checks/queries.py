@@ -24,7 +24,7 @@ from reviewmill.operators import (
     validation,
 )
 from reviewmill.plans import curation, evaluation
-from reviewmill.session import shared_dir
+from reviewmill.session import cut_lineage, shared_dir
 from reviewmill.sources import tables
 from reviewmill.streaming import triage as stream
 
@@ -155,9 +155,13 @@ def distinct_shingles(spark, sf):
 
 @query
 def null_to_empty(spark, sf):
+    """Whole texts, and beside them a column that is null in the rows not in English."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    content = F.when(F.col("lang") == "en", F.col("text"))
-    return docs.select(F.col("doc_id").alias("review_id"), tx.null_to_empty(content).alias("content"))
+    english = F.when(F.col("lang") == "en", F.col("text"))
+    return docs.select(
+        F.col("doc_id").alias("review_id"), tx.null_to_empty("text").alias("content"),
+        tx.null_to_empty(english).alias("english"),
+    )
 
 
 @query
@@ -348,7 +352,14 @@ def few_shot_blocks(spark, sf):
 
 @query
 def few_shot_markdown(spark, sf):
-    return labeling.few_shot_markdown(_blocks(spark, sf))
+    """The section as it reads from its files, put together for a ten-row sample."""
+    path = _run_dir(spark, "few_shot")
+    tables.write_ordered_text(labeling.few_shot_lines(_blocks(spark, sf)), path)
+    lines = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_name").alias("file"), F.expr("substring(value, 1, length(value) - 1)").alias("text")
+    )
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file", "text"))), lambda x: x["text"]), "\n")
+    return lines.where("text <> ''").agg(whole.alias("markdown"))
 
 
 # --- labelling -----------------------------------------------------------------------
@@ -381,10 +392,13 @@ def label_requests(spark, sf):
 def request_files(spark, sf):
     path = _run_dir(spark, "requests")
     chunks = sampling.assign_chunks(view(spark, sf, "gold_reviews"), 100)
-    tables.write_requests(labeling.label_requests(chunks, "Label it.", "m", CATEGORIES), path)
+    requests = labeling.label_requests(chunks, "Label it.", "m", CATEGORIES)
+    tables.write_requests(requests, path, chunks_per_group=2)
     lines = spark.read.text(path)
     custom_id = F.get_json_object("value", "$.custom_id")
-    return lines.select(labeling.decode_request_id(custom_id).alias("review_id"), "chunk_id")
+    return lines.select(
+        labeling.decode_request_id(custom_id).alias("review_id"), "chunk_group", F.col("value").alias("line")
+    )
 
 
 @query
@@ -440,19 +454,36 @@ def checkpoint_latest(spark, sf):
         failed.select("review_id"), "review_id", "left_semi"
     )
     tables.append_checkpoint(answers, path, 1, CATEGORIES)
-    tables.append_checkpoint(again, path, 2, CATEGORIES)
+    # A repeated attempt replaces itself, and a row answered twice has one result.
+    tables.append_checkpoint(again.unionByName(again), path, 2, CATEGORIES)
+    tables.append_checkpoint(again.unionByName(again), path, 2, CATEGORIES)
     return labeling.latest_predictions(tables.read_checkpoint(spark, path, CATEGORIES), CATEGORIES)
 
 
 @query
 def classify_external(spark, sf):
+    """Every review, and every fifth once more with a null text and a negative id."""
+    rows = view(spark, sf, "reviews").select("review_id", "content")
+    nulls = rows.where("review_id % 5 = 0").select(
+        (-F.col("review_id") - 1).alias("review_id"), F.lit(None).cast("string").alias("content")
+    )
     labelled = scoring.classify_external(
-        view(spark, sf, "reviews").select("review_id", "content"),
-        views.load_flaky_classifier, CATEGORIES, wait=views.no_wait,
+        rows.unionByName(nulls), views.load_flaky_classifier, CATEGORIES, wait=views.no_wait
     )
     return labelled.select("review_id", *PREDS)
 
 
+@query
+def unidentified_answers(spark, sf):
+    """Answers whose id cannot be read are kept beside the checkpoint, not dropped."""
+    path = _run_dir(spark, "checkpoint")
+    broken = F.when(F.col("review_id") % 7 == 0, F.replace("line", F.lit("row_"), F.lit("row?"))).otherwise(F.col("line"))
+    lines = view(spark, sf, "responses").select(broken.alias("line"))
+    tables.append_checkpoint(labeling.parse_responses(lines, CATEGORIES, ALIASES), path, 1, CATEGORIES)
+    lost = tables.read_unidentified(spark, path, 1, CATEGORIES).groupBy(*PREDS).agg(F.count("*").alias("n"))
+    return lost.withColumn("kept", F.lit(tables.read_checkpoint(spark, path, CATEGORIES).count()))
+
+
 # --- scoring -------------------------------------------------------------------------
 
 @query
@@ -477,6 +508,15 @@ def score_kind_auto(spark, sf):
     )
 
 
+@query
+def score_kind_labels(spark, sf):
+    """Integer model outputs are labels already."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = labels.select(F.col("doc_id").alias("review_id"), F.col("toxic").alias("TOXIC_out"))
+    out = metrics.with_predictions(rows, ["TOXIC"], "auto", suffix="_out")
+    return out.select("review_id", "TOXIC_prob", "TOXIC_pred")
+
+
 @query
 def triage_result(spark, sf):
     rows = reviews(spark, sf).select("review_id", "content")
@@ -604,7 +644,7 @@ def top_terms_pos(spark, sf):
 @query
 def fixed_length_rows(spark, sf):
     rows = validation.encode_labels(view(spark, sf, "gold_reviews"), CATEGORIES, "fail")
-    fixed = features.fixed_length_rows(rows, features.build_vocabulary(rows, size=2000), CATEGORIES)
+    fixed = features.fixed_length_rows(rows, features.build_vocabulary(rows), CATEGORIES)
     flat = {
         "input_ids": F.concat_ws(",", F.col("input_ids").cast("array<string>")),
         "labels": F.concat_ws(",", F.col("labels").cast("array<int>").cast("array<string>")),
@@ -615,12 +655,55 @@ def fixed_length_rows(spark, sf):
 
 @query
 def fit_baseline_predictions(spark, sf):
+    """Fitted with the library's defaults on the training split, applied to the held-out rows."""
     rows = validation.encode_labels(view(spark, sf, "gold_reviews"), CATEGORIES, "fail")
-    model = features.fit_baseline(rows, CATEGORIES, features=1 << 12, max_iter=5)
-    scored = features.baseline_logits(model, rows, CATEGORIES)
+    split = sampling.multilabel_split(rows, CATEGORIES)
+    model = features.fit_baseline(split.where("split = 'train'"), CATEGORIES)
+    scored = features.baseline_logits(model, split.where("split = 'valid'"), CATEGORIES)
     return metrics.with_predictions(scored, CATEGORIES).select("review_id", *CATEGORIES, *PREDS)
 
 
+def _pool_and_golden(spark, sf):
+    """Labelled rows: every fifth id is the golden set, the others the pseudo-labelled pool."""
+    gold = view(spark, sf, "gold_reviews")
+    golden = gold.where("review_id % 5 = 0")
+    pool = labeling.rename_predictions(gold.where("review_id % 5 <> 0"), CATEGORIES)
+    return pool, golden
+
+
+@query
+def split_leaks(spark, sf):
+    """Pool rows that the split leaves out because the test holds their text."""
+    pool, golden = _pool_and_golden(spark, sf)
+    _, rejected = curation.build_splits(pool, golden, CATEGORIES)
+    return rejected.select("review_id", F.array_join("failed_checks", ",").alias("failed_checks"))
+
+
+@query
+def train_and_test(spark, sf):
+    """Pseudo-labels -> splits -> fitted baseline -> metrics on the golden set."""
+    pool, golden = _pool_and_golden(spark, sf)
+    rows, _ = curation.build_splits(pool, golden, CATEGORIES)
+    rows = cut_lineage(rows)
+    model = features.fit_baseline(rows.where("split = 'train'"), CATEGORIES)
+    report, _ = evaluation.evaluate(rows.where("split = 'test'"), model, CATEGORIES)
+    return report
+
+
+@query
+def ingest_reviews(spark, sf):
+    """Raw files without ids -> landed reviews; ids are unique, and nothing else changes."""
+    raw, landed = _run_dir(spark, "raw"), _run_dir(spark, "landed")
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("review_id"))
+    rows = view(spark, sf, "reviews").select(
+        F.col("user_name").alias("userName"), "score", at.alias("at"), "content"
+    )
+    tables.write_csv(rows, raw)
+    got = tables.land_reviews(spark, raw, landed)
+    counted = got.groupBy("user_name", "score", F.unix_timestamp("reviewed_at").alias("seconds"), "content")
+    return counted.agg(F.count("*").alias("n"), F.count_distinct("review_id").alias("ids"))
+
+
 @query
 def csv_round_trip(spark, sf):
     path = _run_dir(spark, "csv")

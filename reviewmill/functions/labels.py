@@ -51,13 +51,10 @@ def active_complaints(probs: dict[str, Column], threshold: float = THRESHOLD) ->
 
 
 def encode_label(c, on_error: str = "null") -> Column:
-    """ABSENT -> 0, NEG -> 1, integers unchanged; anything else is null or a failure."""
+    """ABSENT or 0 -> 0, NEG or 1 -> 1; anything else is null or a failure."""
     c = _col(c)
-    code = (
-        F.when(c == ABSENT, F.lit(0).cast("bigint"))
-        .when(c == NEG, F.lit(1).cast("bigint"))
-        .otherwise(c.try_cast("bigint"))
-    )
+    text = c.cast("string")
+    code = F.when(text.isin(ABSENT, "0"), F.lit(0)).when(text.isin(NEG, "1"), F.lit(1)).cast("bigint")
     if on_error == "fail":
         text = F.concat(F.lit("not a label: "), F.coalesce(c.cast("string"), F.lit("null")))
         return F.coalesce(code, F.raise_error(text).cast("bigint"))

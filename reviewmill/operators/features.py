@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import CATEGORIES, MAX_TOKENS_LEN
@@ -16,6 +16,8 @@ from ..functions import text as tx
 PAD_ID = 0
 UNKNOWN_ID = 1
 FIRST_WORD_ID = 2
+MAX_VOCABULARY = 200_000
+SLOTS = 1 << 15
 
 
 def build_vocabulary(
@@ -37,6 +39,25 @@ def build_vocabulary(
     return top.select("token", (rank - 1 + FIRST_WORD_ID).alias("token_id"))
 
 
+def _slot(token) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(SLOTS)).cast("int")
+
+
+def _hash_table(vocabulary: DataFrame) -> DataFrame:
+    """One row with ``_ids``: the vocabulary as an array of small maps by hash slot.
+
+    Spark searches a map from its beginning, so one map of all words would cost a pass over
+    the vocabulary per token.
+    """
+    filled = vocabulary.groupBy(_slot(F.col("token")).alias("slot")).agg(
+        F.map_from_entries(F.collect_list(F.struct("token", "token_id"))).alias("ids")
+    )
+    slots = vocabulary.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot"))
+    by_slot = slots.join(filled, "slot", "left").orderBy("slot").coalesce(1)
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
+    return by_slot.agg(F.collect_list(F.coalesce("ids", none)).alias("_ids"))
+
+
 def fixed_length_rows(
     df: DataFrame,
     vocabulary: DataFrame,
@@ -45,26 +66,27 @@ def fixed_length_rows(
     column: str = "content",
     id_col: str = "review_id",
 ) -> DataFrame:
-    """(id, input_ids, attention_mask, labels): arrays of ``length``, cut or padded."""
+    """(id, input_ids, attention_mask, labels): arrays of ``length``, cut or padded.
+
+    ``vocabulary`` (token, token_id) has a bounded size, at most ``MAX_VOCABULARY`` words; it goes
+    along as one row, and ids are looked up in the row: nothing is exploded or shuffled.
+    """
+    words = vocabulary.count()
+    if words > MAX_VOCABULARY:
+        raise ValueError(f"a vocabulary of {words} words exceeds {MAX_VOCABULARY}")
+    lookup = _hash_table(vocabulary)
     tokens = F.slice(tx.word_tokens(tx.null_to_empty(column)), 1, length)
     labels = F.array(*[F.col(c).cast("float") for c in categories])
-    placed = df.select(id_col, labels.alias("labels"), F.posexplode_outer(tokens).alias("pos", "token"))
-    entry = F.struct("pos", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("id"))
-    rows = (
-        placed.join(F.broadcast(vocabulary), "token", "left")
-        .groupBy(id_col)
-        .agg(
-            F.any_value("labels").alias("labels"),
-            F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), entry))).alias("seq"),
-        )
-        .withColumn("ids", F.transform("seq", lambda s: s["id"]))
-    )
+    placed = df.select(id_col, labels.alias("labels"), tokens.alias("_tokens")).join(F.broadcast(lookup))
+    found = lambda t: F.try_element_at(F.get("_ids", _slot(t)), t)
+    ids = F.transform("_tokens", lambda t: F.coalesce(found(t), F.lit(UNKNOWN_ID)))
+    rows = placed.select(id_col, "labels", ids.alias("ids"))
     missing = F.lit(length) - F.size("ids")
     return rows.select(
         id_col,
         F.concat("ids", F.array_repeat(F.lit(PAD_ID), missing)).alias("input_ids"),
         F.concat(
-            F.transform("ids", lambda _: F.lit(1)), F.array_repeat(F.lit(0), missing)
+            F.array_repeat(F.lit(1), F.size("ids")), F.array_repeat(F.lit(0), missing)
         ).alias("attention_mask"),
         "labels",
     )

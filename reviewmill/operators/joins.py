@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 MAX_HOT_KEYS = 1024
-MIN_HOT_ROWS = 10_000_000
 
 
 def lookup_join(
@@ -19,16 +18,13 @@ def lookup_join(
     ``weight`` is a column of ``table``: how many of the ``total`` rows carry the key.
     Keys above ``total / MAX_HOT_KEYS`` rows number fewer than ``MAX_HOT_KEYS``, so that
     part of the table is broadcast and its rows are never shuffled by the hot key. All
-    other keys take an ordinary shuffled join, in which no key is hot.
+    other keys take an ordinary shuffled join, in which no key is hot. The plan is the same
+    at every size. ``table`` holds keys, ids and numbers, never texts: a broadcast row is small.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unknown join type {how!r}")
-    limit = max(total // MAX_HOT_KEYS, MIN_HOT_ROWS)
-    if total <= limit:
-        return rows.join(table, keys, how)
+    limit = total // MAX_HOT_KEYS
     table = cut_lineage(table)
-    if not table.where(F.col(weight) > limit).limit(1).count():
-        return rows.join(table, keys, how)
     hot = table.where(F.col(weight) > limit)
     cold = table.where(F.col(weight) <= limit)
     hot_rows = rows.join(F.broadcast(hot), keys)

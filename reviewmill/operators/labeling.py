@@ -161,13 +161,15 @@ def parse_responses(
 def latest_predictions(
     attempts: DataFrame, categories=CATEGORIES, id_col: str = "review_id"
 ) -> DataFrame:
-    """The last attempt of every review, from the append-only checkpoint."""
-    values = F.struct(*pred_columns(categories))
-    return (
-        attempts.groupBy(id_col)
-        .agg(F.max("attempt").alias("attempt"), F.max_by(values, "attempt").alias("p"))
-        .select(id_col, "attempt", "p.*")
-    )
+    """The last attempt of every review, from the checkpoint.
+
+    Of several answers of one attempt a label beats ERROR in every category, then the order of
+    the labels decides, so the result does not depend on the order of the rows.
+    """
+    usable = [(F.coalesce(F.col(c), F.lit(ERROR)) != ERROR).cast("int") for c in pred_columns(categories)]
+    rank = F.struct(F.col("attempt"), sum(usable[1:], usable[0]).alias("usable"), *pred_columns(categories))
+    best = attempts.groupBy(id_col).agg(F.max(rank).alias("p"))
+    return best.select(id_col, "p.attempt", *[f"p.{c}" for c in pred_columns(categories)])
 
 
 def attach_predictions(
@@ -239,17 +241,8 @@ def few_shot_blocks(
     return numbered.select(example.alias("example"), block.alias("block"))
 
 
-def few_shot_markdown(blocks: DataFrame, max_examples: int = 1000) -> DataFrame:
-    """One row ``markdown``: the header and the blocks in order, for a hand-labelled sample.
-
-    The examples of one prompt fit one row; a larger table is refused, not cut.
-    """
-    examples = blocks.count()
-    if examples > max_examples:
-        raise ValueError(f"{examples} few-shot examples exceed {max_examples}")
-    ordered = F.array_sort(F.collect_list(F.struct("example", "block")))
-    return blocks.agg(
-        F.concat_ws(
-            "\n", F.lit(FEW_SHOT_HEADER), F.transform(ordered, lambda e: e["block"])
-        ).alias("markdown")
-    )
+def few_shot_lines(blocks: DataFrame) -> DataFrame:
+    """(position, text): the header at 0 and every block at its example number, each ending as
+    it does in the file. Joined in order by line breaks they are the Markdown section."""
+    header = blocks.sparkSession.createDataFrame([(0, FEW_SHOT_HEADER)], "position long, text string")
+    return header.unionByName(blocks.select(F.col("example").alias("position"), F.col("block").alias("text")))

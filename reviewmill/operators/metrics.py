@@ -46,17 +46,25 @@ def with_predictions(
 ) -> DataFrame:
     """Add ``{category}_prob`` and ``{category}_pred`` from model outputs.
 
-    ``kind`` says what the outputs are: ``logit``, ``prob``, or ``auto``, which takes them
-    for logits when any of them lies outside [0, 1].
+    ``kind`` says what the outputs are: ``logit``, ``prob``, ``label`` (the integers 0 and 1, which
+    are labels already and have themselves as probability), or ``auto``, which takes integer
+    columns for labels and others for logits when any of them lies outside [0, 1].
     """
     columns = [f"{c}{suffix}" for c in categories]
     if kind == "auto":
         kind = detect_score_kind(df, columns)
-    if kind not in ("logit", "prob"):
+    if kind not in ("logit", "prob", "label"):
         raise ValueError(f"unknown kind {kind!r}")
     for c, source in zip(categories, columns):
-        prob = lb.sigmoid(source) if kind == "logit" else F.col(source)
+        prob = lb.sigmoid(source) if kind == "logit" else F.col(source).cast("double")
         df = df.withColumn(f"{c}_prob", prob)
+    if kind == "label":
+        names = {0: ABSENT, 1: NEG}
+        picked = {}
+        for c, source in zip(categories, columns):
+            label = F.when(F.col(source) == 0, F.lit(names[0])).when(F.col(source) == 1, F.lit(names[1]))
+            picked[lb.pred(c)] = label
+        return df.withColumns(picked)
     return df.withColumns(
         {lb.pred(c): lb.threshold_label(f"{c}_prob", threshold) for c in categories}
     )

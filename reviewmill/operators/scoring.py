@@ -27,22 +27,19 @@ def score_reviews(
     ``load_model`` runs once per task and returns a function from a list of texts to one
     row of logits per text. Rows stay where they are; works on batches and streams.
     """
-    logits = [f"{c}_logit" for c in categories]
-    schema = T.StructType(list(df.schema.fields))
-    for name in logits:
-        schema = schema.add(name, T.DoubleType())
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load_model()
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else "" for t in pdf[content]]
-            rows: list = []
+        for batch in batches:
+            texts, rows = batch.tolist(), []
             for start in range(0, len(texts), batch_size):
-                rows.extend(list(r) for r in model(texts[start : start + batch_size]))
-            scored = pd.DataFrame(rows, columns=logits, index=pdf.index, dtype="float64")
-            yield pd.concat([pdf, scored], axis=1)
+                rows.extend([float(x) for x in r] for r in model(texts[start : start + batch_size]))
+            yield pd.Series(rows, dtype=object)
 
-    return df.mapInPandas(score, schema)
+    # Only the text goes through Python; the other columns stay in the JVM.
+    run = F.pandas_udf(score, T.ArrayType(T.DoubleType()))
+    scored = df.withColumn("_logits", run(tx.null_to_empty(content)))
+    return scored.select(*df.columns, *[F.col("_logits")[i].alias(f"{c}_logit") for i, c in enumerate(categories)])
 
 
 def triage(
@@ -105,19 +102,19 @@ def classify_external(
     """Add ``{category}_pred`` from a service called once per row.
 
     Rate limits are retried after 1, 2, 4, ... at most 60 seconds and fail the task when
-    the attempts run out; any other failure makes the whole row ERROR. A rerun of a task
+    the attempts run out; any other failure makes the whole row ERROR. Null text is asked
+    about as empty text. A rerun of a task
     calls the service again, so label a table chunk by chunk through the checkpoint.
     """
-    schema = T.StructType(list(df.schema.fields))
-    for name in lb.pred_columns(categories):
-        schema = schema.add(name, T.StringType())
 
-    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def label(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         classify = load_classifier()
-        for pdf in batches:
-            answers = [_call(classify, t, attempts, wait) for t in pdf[content]]
-            for c in categories:
-                pdf[lb.pred(c)] = [ERROR if a is None else a.get(c, ERROR) for a in answers]
-            yield pdf
-
-    return df.mapInPandas(label, schema)
+        for batch in batches:
+            answers = [_call(classify, t, attempts, wait) for t in batch]
+            rows = [[ERROR if a is None else a.get(c, ERROR) for c in categories] for a in answers]
+            yield pd.Series(rows, dtype=object)
+
+    # A service must be asked once per row, whatever later reads of its columns the plan holds.
+    run = F.pandas_udf(label, T.ArrayType(T.StringType())).asNondeterministic()
+    labelled = df.withColumn("_labels", run(tx.null_to_empty(content)))
+    return labelled.select(*df.columns, *[F.col("_labels")[i].alias(lb.pred(c)) for i, c in enumerate(categories)])

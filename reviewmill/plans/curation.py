@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..constants import (
     CATEGORIES,
@@ -17,13 +18,26 @@ from ..operators.cleaning import exact_dedup, length_filter, normalize_reviews
 from ..operators.dedup import drop_duplicate_reviews
 from ..operators.labeling import (
     few_shot_blocks,
-    few_shot_markdown,
+    few_shot_lines,
     project_labels,
     promote_pseudo_labels,
 )
-from ..operators.sampling import curate_samples, dense_row_ids, multilabel_split, with_test_set
+from ..operators.sampling import (
+    curate_samples,
+    dense_row_ids,
+    leaked_rows,
+    multilabel_split,
+    with_test_set,
+)
 from ..operators.validation import encode_labels
-from ..sources.tables import export_template, import_template, read_reviews, write_text
+from ..session import cut_lineage
+from ..sources.tables import (
+    export_template,
+    import_template,
+    land_reviews,
+    read_reviews,
+    write_ordered_text,
+)
 
 
 def clean_exact(
@@ -61,18 +75,23 @@ def build_splits(
     seed: int = SAMPLE_SEED,
     id_col: str = "review_id",
 ) -> tuple[DataFrame, DataFrame]:
-    """(train, valid and test rows with column ``split``, rows without usable labels).
+    """(train, valid and test rows with column ``split``, rows left out with ``failed_checks``).
 
-    Predictions of the pool become its labels; the golden set is the test split.
+    Predictions of the pool become its labels; the golden set is the test split. Rows without
+    usable labels are left out, and so are pool rows whose normalized text is one of the golden
+    set's (check ``leak``): the test must not be trained on.
     """
     promoted = promote_pseudo_labels(labelled, categories)
     pool, bad = encode_labels(promoted, categories, "quarantine")
     test, bad_test = encode_labels(golden, categories, "quarantine")
+    leaks = cut_lineage(leaked_rows(pool, test).select(id_col))
+    pool = pool.join(leaks, id_col, "left_anti")
     split = multilabel_split(pool, list(categories), valid_size, seed, id_col)
     columns = [id_col, "content", *categories]
     rows = with_test_set(split.select(*columns, "split"), test.select(*columns))
     rejected = [id_col, "failed_checks"]
-    return rows, bad.select(rejected).unionByName(bad_test.select(rejected))
+    leaked = leaks.withColumn("failed_checks", F.array(F.lit("leak")))
+    return rows, bad.select(rejected).unionByName(bad_test.select(rejected)).unionByName(leaked)
 
 
 def labelled_rows(split_rows: DataFrame, categories=CATEGORIES) -> DataFrame:
@@ -83,8 +102,12 @@ def labelled_rows(split_rows: DataFrame, categories=CATEGORIES) -> DataFrame:
 def write_clean(
     spark: SparkSession, source: str, target: str, fmt: str = "csv", min_words: int = MIN_WORDS
 ) -> DataFrame:
-    """Raw review files -> cleaned reviews as Parquet."""
-    clean_reviews(read_reviews(spark, source, fmt), min_words).write.mode("overwrite").parquet(target)
+    """Raw review files -> reviews with ids, landed at ``{target}-landed`` -> cleaned reviews.
+
+    The raw files are read once; cleaning works on the landed, splittable table.
+    """
+    landed = land_reviews(spark, source, f"{target.rstrip('/')}-landed", fmt)
+    clean_reviews(landed, min_words).write.mode("overwrite").parquet(target)
     return read_reviews(spark, target)
 
 
@@ -111,5 +134,5 @@ def write_few_shot(
     """Filled-in few-shot template -> Markdown section; returns rows that lack valid labels."""
     good, todo = import_template(spark, annotated, categories)
     blocks = few_shot_blocks(dense_row_ids(good), categories)
-    write_text(few_shot_markdown(blocks), target)
+    write_ordered_text(few_shot_lines(blocks), target)
     return todo

@@ -16,6 +16,18 @@ REVIEWS = T.StructType(
     ]
 )
 
+# Raw review files as scraped: no id; some have an unnamed index column in front.
+RAW = T.StructType(
+    [
+        T.StructField("userName", T.StringType()),
+        T.StructField("score", T.IntegerType()),
+        T.StructField("at", T.TimestampType()),
+        T.StructField("content", T.StringType()),
+    ]
+)
+RAW_INDEXED = T.StructType([T.StructField("_c0", T.LongType()), *RAW.fields])
+RAW_NAMES = {"userName": "user_name", "at": "reviewed_at"}
+
 # One line of a labelling answer, for from_json; the inner content is JSON once more.
 RESPONSE_LINE = (
     "custom_id string, response struct<status_code:int, "

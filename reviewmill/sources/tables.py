@@ -23,8 +23,13 @@ _CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "nullVal
 def read_csv(
     spark: SparkSession, path: str, schema: StructType, timestamp_format: str | None = None
 ) -> DataFrame:
-    """CSV with a header. A multi-line file cannot be split, so land it as Parquet once."""
+    """CSV whose header must be the schema's columns in their order.
+
+    Another order or name is an error, not a shift of values. A multi-line file cannot be split,
+    so land it as Parquet once (``land_reviews``).
+    """
     reader = spark.read.schema(schema).options(**_CSV).option("mode", "FAILFAST")
+    reader = reader.option("enforceSchema", "false")
     if timestamp_format:
         reader = reader.option("timestampFormat", timestamp_format)
     return reader.csv(path)
@@ -33,9 +38,9 @@ def read_csv(
 def write_csv(
     df: DataFrame, path: str, id_col: str | None = None, mode: str = "overwrite"
 ) -> None:
-    """CSV with a header; ``id_col`` puts the row id first, None leaves it out."""
-    columns = [c for c in df.columns if c not in (id_col, "review_id")]
-    kept = ([id_col] if id_col else []) + columns
+    """CSV with a header and all columns of ``df``; ``id_col`` goes first. To leave a column out,
+    drop it before."""
+    kept = [*([id_col] if id_col else []), *[c for c in df.columns if c != id_col]]
     # An unquoted empty field reads back as null, so empty texts are written quoted.
     df.select(*kept).write.mode(mode).options(
         header=True, quote='"', escape='"', emptyValue='""', timestampFormat="yyyy-MM-dd HH:mm:ss"
@@ -53,6 +58,30 @@ def read_reviews(
     return spark.read.schema(schema).format(fmt).load(path).select(*schema.names)
 
 
+def land_reviews(
+    spark: SparkSession, source: str, target: str, fmt: str = "csv", index: bool = False
+) -> DataFrame:
+    """Raw review files (user, score, time, text, without an id) -> the review record as Parquet.
+
+    ``index`` says that the files have an unnamed index column in front. Ids are given once,
+    while the rows are written: file by file, by the place of the row in it. They are unique and
+    stay; they are not dense.
+    """
+    if index:
+        # An unnamed header field reads as _c0, so names are checked here and types cast.
+        rows = spark.read.options(**_CSV).csv(source)
+        if rows.columns != schemas.RAW_INDEXED.names:
+            raise ValueError(f"header {rows.columns} is not {schemas.RAW_INDEXED.names}")
+        rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.RAW.fields])
+    else:
+        rows = read_reviews(spark, source, fmt, schemas.RAW)
+    named = rows.withColumnsRenamed(schemas.RAW_NAMES)
+    columns = [c for c in schemas.REVIEWS.names if c != "review_id"]
+    numbered = named.select(F.monotonically_increasing_id().alias("review_id"), *columns)
+    numbered.write.mode("overwrite").parquet(target)
+    return read_reviews(spark, target)
+
+
 def read_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Parquet, reading only the named columns."""
     return spark.read.parquet(path).select(*columns)
@@ -85,25 +114,38 @@ def predictions_path(root: str, input_name: str, prompt: str, model: str) -> str
 # --- prompts, requests, responses ---------------------------------------------------
 
 def read_prompt(spark: SparkSession, path: str) -> str:
-    """A prompt file as one string."""
-    row = spark.read.text(path, wholetext=True).first()
-    if row is None:
+    """A prompt file as one string; a folder's files are joined in the order of their names."""
+    files = spark.read.text(path, wholetext=True).select("_metadata.file_name", "value")
+    rows = files.orderBy("file_name").collect()
+    if not rows:
         raise FileNotFoundError(path)
-    return row[0]
+    return "".join(r["value"] for r in rows)
+
+
+def write_ordered_text(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """(position, text) as text files that read in order by file name, whatever their number."""
+    ordered = rows.repartitionByRange("position").sortWithinPartitions("position")
+    ordered.select("text").write.mode(mode).text(path)
+
 
+CHUNKS_PER_GROUP = 1000
 
-def write_text(document: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """A table of one text, such as a few-shot section, as one file."""
-    document.write.mode(mode).text(path)
 
+def write_requests(
+    requests: DataFrame, path: str, mode: str = "overwrite", chunks_per_group: int = CHUNKS_PER_GROUP
+) -> None:
+    """JSON lines by chunk: one folder per ``chunks_per_group`` chunks, its lines in chunk order.
 
-def write_requests(requests: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """JSON lines, one folder and file per chunk; choose chunks as large as the service takes."""
+    A billion reviews in chunks of 500 are two thousand folders, not two million.
+    """
+    group = F.floor(F.col("chunk_id") / chunks_per_group).cast("int")
     (
-        requests.select("chunk_id", F.col("line").alias("value"))
-        .repartition("chunk_id")
+        requests.select(group.alias("chunk_group"), "chunk_id", F.col("line").alias("value"))
+        .repartition("chunk_group")
+        .sortWithinPartitions("chunk_group", "chunk_id")
+        .drop("chunk_id")
         .write.mode(mode)
-        .partitionBy("chunk_id")
+        .partitionBy("chunk_group")
         .text(path)
     )
 
@@ -119,25 +161,38 @@ def read_responses(
 # --- label checkpoint ---------------------------------------------------------------
 
 def read_checkpoint(spark: SparkSession, path: str, categories=CATEGORIES) -> DataFrame:
-    """All attempts so far; a missing table or an unreadable file counts as empty."""
-    return (
-        spark.read.schema(schemas.checkpoint(categories))
-        .option("ignoreCorruptFiles", "true")
-        .option("ignoreMissingFiles", "true")
-        .parquet(path)
-        if _exists(spark, path)
-        else spark.createDataFrame([], schemas.checkpoint(categories))
-    )
+    """All attempts so far; a missing table is empty.
+
+    An unreadable file is an error: skipping it would bring older labels back. To start over
+    after damage, begin a new table.
+    """
+    if not _exists(spark, path):
+        return spark.createDataFrame([], schemas.checkpoint(categories))
+    return spark.read.schema(schemas.checkpoint(categories)).parquet(path)
 
 
 def append_checkpoint(
     predictions: DataFrame, path: str, attempt: int, categories=CATEGORIES
 ) -> None:
-    """Add one attempt; earlier rows stay and lose to the higher attempt on reading."""
-    schema = schemas.checkpoint(categories)
-    predictions.withColumn("attempt", F.lit(attempt).cast("bigint")).select(
-        *schema.names
-    ).where(F.col("review_id").isNotNull()).write.mode("append").parquet(path)
+    """Write one attempt; other attempts stay, and the highest wins on reading.
+
+    Each attempt is a partition of its own, so that writing one again replaces it. Answers
+    whose id could not be read go to ``_unidentified`` beside the attempts, one folder each.
+    """
+    rows = predictions.withColumn("attempt", F.lit(attempt).cast("bigint")).select(
+        *schemas.checkpoint(categories).names
+    )
+    named = rows.where(F.col("review_id").isNotNull())
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("attempt").parquet(path)
+    lost = rows.where(F.col("review_id").isNull()).drop("review_id", "attempt")
+    lost.write.mode("overwrite").parquet(f"{path.rstrip('/')}/_unidentified/attempt={attempt}")
+
+
+def read_unidentified(spark: SparkSession, path: str, attempt: int, categories=CATEGORIES) -> DataFrame:
+    """Answers of an attempt without a usable id."""
+    named = schemas.checkpoint(categories)
+    schema = StructType([f for f in named.fields if f.name not in ("review_id", "attempt")])
+    return spark.read.schema(schema).parquet(f"{path.rstrip('/')}/_unidentified/attempt={attempt}")
 
 
 # --- hand annotation ----------------------------------------------------------------

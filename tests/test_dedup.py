@@ -94,7 +94,6 @@ def test_matches_and_similarity(spark):
 
 
 def test_hot_buckets_take_the_split_join(spark, monkeypatch):
-    monkeypatch.setattr(joins, "MIN_HOT_ROWS", 5)
     monkeypatch.setattr(joins, "MAX_HOT_KEYS", 64)
     texts = corpus(11)
     kept, matches = brute_force(texts)

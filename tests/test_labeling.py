@@ -87,7 +87,7 @@ def test_run_with_resume(spark, tmp_path):
 
     first = plan.prepare_requests(spark, reviews, state, str(tmp_path / "r1"), "p", "m", chunk_size=3)
     assert first.count() == 7
-    assert sorted(p.name for p in (tmp_path / "r1").glob("chunk_id=*")) == [f"chunk_id={i}" for i in range(3)]
+    assert sorted(p.name for p in (tmp_path / "r1").glob("chunk_group=*")) == ["chunk_group=0"]
     after = answer(1, [0, 10, 20, 30], "ABSENT")
     assert after.where("DRIVER_OPS_pred is null").count() == 3
     second = plan.prepare_requests(spark, reviews, state, str(tmp_path / "r2"), "p", "m", chunk_size=3)
@@ -97,22 +97,43 @@ def test_run_with_resume(spark, tmp_path):
     assert got == {0: "ABSENT", 10: "ABSENT", 20: "ABSENT", 30: "NEG", 40: "NEG", 50: "NEG", 60: "NEG"}
 
 
-def test_unreadable_checkpoint_counts_as_empty(spark, tmp_path):
-    (tmp_path / "part-0.parquet").write_bytes(b"broken")
-    assert tables.read_checkpoint(spark, str(tmp_path)).count() == 0
-    assert tables.read_checkpoint(spark, str(tmp_path / "missing")).count() == 0
+def _answers(spark, *rows):
+    cats = [f"{c}_pred" for c in CATEGORIES]
+    return spark.createDataFrame([(i, *[label] * len(cats)) for i, label in rows], f"review_id long, {', '.join(c + ' string' for c in cats)}")
+
+
+def test_a_damaged_checkpoint_is_an_error(spark, tmp_path):
+    state = str(tmp_path / "state")
+    assert tables.read_checkpoint(spark, state).count() == 0
+    tables.append_checkpoint(_answers(spark, (1, "ERROR")), state, 1)
+    tables.append_checkpoint(_answers(spark, (1, "NEG")), state, 2)
+    for f in (tmp_path / "state" / "attempt=2").glob("*.parquet"):
+        f.write_bytes(b"broken")
+    with pytest.raises(Exception, match="attempt=2"):
+        lab.latest_predictions(tables.read_checkpoint(spark, state)).collect()
+
+
+def test_repeated_attempts_and_ties(spark, tmp_path):
+    state = str(tmp_path / "state")
+    tables.append_checkpoint(_answers(spark, (1, "ERROR"), (2, "NEG")), state, 1)
+    for _ in range(2):
+        tables.append_checkpoint(_answers(spark, (1, "ERROR"), (1, "NEG"), (None, "NEG")), state, 2)
+    assert tables.read_checkpoint(spark, state).count() == 4
+    got = {r.review_id: (r.attempt, r.DRIVER_OPS_pred) for r in lab.latest_predictions(tables.read_checkpoint(spark, state)).collect()}
+    assert got == {1: (2, "NEG"), 2: (1, "NEG")}
+    assert tables.read_unidentified(spark, state, 2).count() == 1
+    assert tables.read_unidentified(spark, state, 1).count() == 0
 
 
 def test_few_shot_markdown(spark):
     row = (0, ' he said "no" ', " neg", "ABSENT", "absent ")
     df = spark.createDataFrame([row], ["row_id", "content", *CATEGORIES])
-    text = lab.few_shot_markdown(lab.few_shot_blocks(df)).first().markdown
+    lines = lab.few_shot_lines(lab.few_shot_blocks(df)).orderBy("position").collect()
+    text = "\n".join(r.text for r in lines)
     labels = json.dumps(dict(zip(CATEGORIES, ["NEG", "ABSENT", "ABSENT"])), indent=2)
     assert text == "\n".join([
         "## 4. Few-Shot Demonstrations\n",
         "### Example 1\n" + '**Review:**\n"he said \\"no\\""\n\n**Output:**\n' + f"```json\n{labels}\n```\n"])
-    with pytest.raises(ValueError):
-        lab.few_shot_markdown(lab.few_shot_blocks(df.union(df)), max_examples=1)
 
 
 def test_promote_and_template_columns(spark):

@@ -44,7 +44,6 @@ def test_stratified_sample_is_exact_and_partition_free(spark, parts):
 
 
 def test_hot_strata_take_the_split_join(spark, monkeypatch):
-    monkeypatch.setattr(joins, "MIN_HOT_ROWS", 10)
     monkeypatch.setattr(joins, "MAX_HOT_KEYS", 4)
     data = [*rows(), (1, None, "no score")]
     assert ids(sampling.stratified_sample(frame(spark, data), n=80)) == expected_sample(data, 80, 12)

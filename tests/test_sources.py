@@ -30,9 +30,38 @@ def test_csv_round_trip(spark, tmp_path):
     tables.write_csv(reviews(spark), str(tmp_path / "with"), id_col="review_id")
     back = tables.read_reviews(spark, str(tmp_path / "with"), "csv").orderBy("review_id")
     assert [tuple(r) for r in back.collect()] == REVIEWS
-    tables.write_csv(reviews(spark), str(tmp_path / "without"))
+    tables.write_csv(reviews(spark).drop("review_id"), str(tmp_path / "without"))
     header = next((tmp_path / "without").glob("part*")).read_text().splitlines()[0]
     assert header == "user_name,score,reviewed_at,content"
+    tables.write_csv(reviews(spark).withColumn("row_id", F.lit(1)), str(tmp_path / "more"), id_col="row_id")
+    header = next((tmp_path / "more").glob("part*")).read_text().splitlines()[0]
+    assert header == "row_id,review_id,user_name,score,reviewed_at,content"
+
+
+def test_swapped_csv_columns_are_an_error(spark, tmp_path):
+    swapped = reviews(spark).select("review_id", "content", "score", "reviewed_at", "user_name")
+    tables.write_csv(swapped, str(tmp_path / "swapped"))
+    with pytest.raises(Exception, match="(?i)header"):
+        tables.read_reviews(spark, str(tmp_path / "swapped"), "csv").collect()
+
+
+@pytest.mark.parametrize("index", [False, True])
+def test_landing_gives_ids_once(spark, tmp_path, index):
+    raw = reviews(spark).drop("review_id").withColumnsRenamed({v: k for k, v in schemas.RAW_NAMES.items()})
+    if index:
+        raw = raw.select(F.lit(5).alias("_c0"), "*")
+    raw.repartition(3).write.options(header=True, quote='"', escape='"', emptyValue='""',
+                                     timestampFormat="yyyy-MM-dd HH:mm:ss").csv(str(tmp_path / "raw"))
+    for part in (tmp_path / "raw").glob("part*"):  # an index column has no name in such files
+        part.write_text(part.read_text().replace("_c0,", ",", 1))
+    for check in (tmp_path / "raw").glob(".*.crc"):
+        check.unlink()
+    landed = tables.land_reviews(spark, str(tmp_path / "raw"), str(tmp_path / "landed"), index=index)
+    rows = landed.collect()
+    assert landed.columns == schemas.REVIEWS.names
+    assert sorted(str(tuple(r)[1:]) for r in rows) == sorted(str(tuple(r)[1:]) for r in REVIEWS)
+    assert len({r.review_id for r in rows}) == len(rows)
+    assert sorted(r.review_id for r in landed.collect()) == sorted(r.review_id for r in rows)
 
 
 @pytest.mark.parametrize("fmt", ["parquet", "json", "orc"])
@@ -116,7 +145,8 @@ def test_raw_files_to_templates_and_prompt(spark, tmp_path):
     words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
     rows = [(i, "u", i % 5 + 1, AT, " ".join(words[(i * k) % 10] + str(i * k) for k in range(1, 9))) for i in range(200)]
     raw = spark.createDataFrame([*rows, (900, "u", 1, AT, "too short")], schemas.REVIEWS)
-    tables.write_csv(raw, str(tmp_path / "raw"), id_col="review_id")
+    names = {v: k for k, v in schemas.RAW_NAMES.items()}
+    tables.write_csv(raw.drop("review_id").withColumnsRenamed(names), str(tmp_path / "raw"))
     clean = curation.write_clean(spark, str(tmp_path / "raw"), str(tmp_path / "clean"))
     assert clean.count() == 200
     root = str(tmp_path / "annotation")
