@@ -237,18 +237,15 @@ def judge(docs: DataFrame, out: str = "rules") -> DataFrame:
 def _judged(measured: DataFrame, stats: str, out: str) -> DataFrame:
     bulk = fit_bulk(measured.select("lang", "source", F.col(stats).alias("stats")))
     names = [c for c in bulk.columns if c not in ("lang", "source")]
-    bulk = bulk.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), F.struct(*names).alias("_bulk"))
-    left = measured.alias("d")
-    joined = left.join(
-        bulk,
-        F.col("d.lang").eqNullSafe(F.col("_l")) & F.col("d.source").eqNullSafe(F.col("_s")),
-        "left",
-    )
-    s = F.col(f"d.{stats}")
+    lang, source, fitted = fresh(measured, "_lang", "_source", "_bulk")
+    bulk = bulk.select(F.col("lang").alias(lang), F.col("source").alias(source), F.struct(*names).alias(fitted))
+    same = F.col("lang").eqNullSafe(F.col(lang)) & F.col("source").eqNullSafe(F.col(source))
+    joined = measured.join(bulk, same, "left")
+    s = F.col(stats)
     xs = _vector(s)
-    diff = [x - F.col(f"_bulk.m{i}") for i, x in enumerate(xs)]
+    diff = [x - F.col(f"{fitted}.m{i}") for i, x in enumerate(xs)]
     d2 = F.round(reduce(lambda a, b: a + b, [
-        diff[i] * diff[j] * F.col(f"_bulk.p{i}_{j}") * (1 if i == j else 2) for i, j in PAIRS
+        diff[i] * diff[j] * F.col(f"{fitted}.p{i}_{j}") * (1 if i == j else 2) for i, j in PAIRS
     ]), 6)
     failed = base_failed(s)
     d2 = F.when(~failed, d2)
@@ -258,7 +255,7 @@ def _judged(measured: DataFrame, stats: str, out: str) -> DataFrame:
         d2.alias("distance"),
         (~failed & (F.coalesce(d2, F.lit(0.0)) <= CUTOFF)).alias("kept"),
     )
-    return joined.select(*[F.col(f"d.`{c}`") for c in measured.columns if c != stats], verdict.alias(out))
+    return joined.select(*[F.col(f"`{c}`") for c in measured.columns if c != stats], verdict.alias(out))
 
 
 @query()

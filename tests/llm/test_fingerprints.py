@@ -1,0 +1,120 @@
+"""Order MinHash against a plain version, and the edited texts against brute force."""
+
+import hashlib
+import struct
+from collections import defaultdict
+
+import pytest
+import xxhash
+
+from reviewmill.llm import fingerprints as fp
+
+SF = "/root/testdata/sf0.001"
+
+
+def xx(*parts):
+    """Spark's xxhash64: each part hashed with the result so far as the seed, from 42."""
+    seed = 42
+    for p in parts:
+        if p is not None:
+            data = p.encode() if isinstance(p, str) else struct.pack("<q", p) if not isinstance(p, Int) else struct.pack("<i", p)
+            seed = xxhash.xxh64_intdigest(data, seed=seed & (2**64 - 1))
+            seed -= (seed >> 63) << 64
+    return seed
+
+
+class Int(int):
+    """A 32-bit integer."""
+
+
+def brute(text):
+    words = [w.decode() for w in (text or "").encode().split()]
+    n = len(words)
+    bits = max(1, (n + 1).bit_length())
+    while 2**bits < n + 2:
+        bits += 1
+    while bits > 1 and 2 ** (bits - 1) >= n + 2:
+        bits -= 1
+    hashes = [xx(words[i], words[i + 1] if i + 1 < n else None) for i in range(n)]
+    seen, packed = defaultdict(int), []
+    for i, h in enumerate(hashes):
+        packed.append((xx(h, Int(seen[h])) >> bits << bits) | i)
+        seen[h] += 1
+    out, buckets = [], defaultdict(list)
+    for p in sorted(packed):
+        if len(buckets[p >> 59]) < fp.TUPLE:
+            buckets[p >> 59].append(p & ((1 << bits) - 1))
+    for b in sorted(buckets):
+        tuple_ = xx(*[hashes[i] for i in sorted(buckets[b])])
+        out.append(((b + fp.BUCKETS // 2) << 32) | (tuple_ & 0xFFFFFFFF))
+    return out
+
+
+TEXTS = ["", "one", "a b", "a a a a", "to be or not to be that is to be or not", " ".join(f"w{i % 37}" for i in range(900)), "é 日本 é 日本 🙂"]
+
+
+def components(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    return {r["i"]: r["c"] for r in fp.fingerprint_components(df, "c", "t").collect()}
+
+
+def test_components_equal_a_plain_version(spark):
+    got = components(spark, TEXTS)
+    assert [got[i] for i in range(len(TEXTS))] == [brute(t) for t in TEXTS]
+
+
+def test_order_matters(spark):
+    """Same words in another order: a set would not see it."""
+    words = [f"w{i}" for i in range(300)]
+    got = components(spark, [" ".join(words), " ".join(words[150:] + words[:150]), " ".join(reversed(words))])
+    same = lambda a, b: len(set(got[a]) & set(got[b])) / fp.BUCKETS
+    assert 0.2 < same(0, 1) < 0.95 and same(0, 2) < 0.1
+
+
+def test_likeness_falls_with_edits(spark):
+    words = [f"w{i}" for i in range(2000)]
+    texts = [" ".join(words)]
+    for edits in (20, 200, 1000):
+        texts.append(" ".join(f"x{i}" if i % (2000 // edits) == 0 else w for i, w in enumerate(words)))
+    got = components(spark, texts)
+    near = [len(set(got[0]) & set(got[i])) / fp.BUCKETS for i in range(4)]
+    assert near[0] == 1 and near == sorted(near, reverse=True) and near[1] > 0.8 and near[3] < 0.2
+
+
+def test_query_equals_brute_force(spark):
+    rows = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
+    got = {r["doc_id"]: r for r in fp.op2_order_minhash(spark, SF).collect()}
+    assert set(got) == {d for d, _ in rows}
+    hexed = lambda c: "-".join(f"{x:x}" for x in c)
+
+    def like(a, b):
+        filled = {x >> 32 for x in a} | {x >> 32 for x in b}
+        return len(set(a) & set(b)) / len(filled) if filled else 1.0
+
+    for i, (d, t) in enumerate(rows):
+        after = rows[(i + 1) % len(rows)][1]
+        cut = len(t) // 4
+        edited = t[: len(t) - cut] + after[:cut]
+        r, own, changed = got[d], brute(t), brute(edited)
+        assert r["n_chars"] == len(t)
+        assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (hexed(own), hexed(changed))
+        assert r["near_edited"] == pytest.approx(like(own, changed))
+        assert r["near_next"] == pytest.approx(like(own, brute(after)))
+
+
+def test_successors_over_many_ranges(spark):
+    ids = [5, -3, 900, 7, 8, 10**12, 0]
+    df = spark.createDataFrame([(i,) for i in ids * 2], "key long")
+    order = sorted(ids)
+    assert {r["key"]: r["next"] for r in fp.successors(df).collect()} == dict(zip(order, order[1:] + order[:1]))
+
+
+def test_odd_rows(spark, odd, none, tmp_path):
+    for name, df in (("odd", odd), ("none", none)):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    out = fp.op2_order_minhash(spark, f"{tmp_path}/odd").collect()
+    assert len(out) == odd.count()
+    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in out)
+    assert fp.op2_order_minhash(spark, f"{tmp_path}/none").collect() == []
+    assert fp.fingerprint_components(odd, "c", "text").columns == [*odd.columns, "c"]
