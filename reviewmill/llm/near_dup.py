@@ -247,7 +247,7 @@ def _links(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame
 
     star = members.where("node > low").select("low", "node").distinct()
     first = cut_lineage(_verified(star, sets))
-    joined = first.groupBy("node").agg(F.min("low").alias("label"))
+    joined = components(first).withColumnRenamed("component", "label")
     labelled = members.select("key", "node").join(joined, "node", "left").withColumn(
         "label", F.coalesce("label", "node")
     )
@@ -300,7 +300,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with all its columns and one row of each group: the lowest id's."""
     given = docs.columns
-    (own,) = fresh(docs, "text_hash")
+    own, id_, hash_ = fresh(docs, "text_hash", "of_id", "of_hash")
     docs = docs.withColumn(own, F.xxhash64(whole_text()))
     rows, classes = _grouped(docs.select("doc_id", whole_text().alias("text")))
     groups = _groups(classes).where("n_in > 1").select("component", "first", "n_in")
@@ -312,8 +312,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
                 F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
             ).alias("stays"),
         )
-    ).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(own) == F.col("_hash"))
+    ).withColumnsRenamed({"doc_id": id_, "text_hash": hash_})
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(hash_))
     once = docs.join(marked.where("not stays or copies > 1"), same, "left_anti")
     repeated = docs.join(marked.where("stays and copies > 1"), same, "left_semi").dropDuplicates(["doc_id", own])
     return once.unionByName(repeated).select(*[F.col(f"`{c}`") for c in given])
