@@ -39,11 +39,11 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix, and whether they decode to its text."""
     columns = docs.select("doc_id", "source", "text")
-    codec = byte_bpe.Codec(spark)
-    ids = columns.withColumn("ids", codec.encode(F.col("text")))
-    same = codec.decode(F.col("ids")) == F.coalesce("text", F.lit(""))
-    return ids.select(
-        "doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip")
+    rows = byte_bpe.encoded_and_decoded(columns, out="codec")
+    same = F.col("codec.decoded") == F.coalesce("text", F.lit(""))
+    return rows.select(
+        "doc_id", "source", F.size("codec.ids").cast("long").alias("n_tokens"),
+        F.col("codec.ids").alias("ids"), same.alias("round_trip"),
     )
 
 

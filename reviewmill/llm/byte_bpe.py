@@ -35,13 +35,14 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, query, table, whole_text
+from .common import query, table, whole_text
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
-MAX_STATES = 150_000
-MAX_PAIRS = 1_000_000
-MAX_TEXTS = 500_000
+MAX_STATES = 200_000
+MAX_PAIRS = 300_000
+MAX_TEXTS = 200_000
 LONGEST_KEPT = 48  # characters of a stretch that is worth keeping
+SLICE = 512  # rows worked on and handed back at a time
 
 # The characters with the Unicode property White_Space.
 _WHITE = r"\t\n\v\f\r \x85\xa0  -     　"
@@ -54,32 +55,48 @@ def read_ranks(lines: bytes) -> dict[bytes, int]:
 
 
 class Transducer:
+    """States are tuples of numbers ``(last + 1) << 20 | place``: a last token (0: none yet) and the
+    place, in the tree of all proper beginnings of tokens, of the bytes begun since."""
+
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.begins = {token[:i] for token in ranks for i in range(len(token) + 1)}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        places = {b"": 0}
+        self.child: dict[int, int] = {}  # place << 8 | byte -> place
+        self.ends: dict[int, int] = {}  # place << 8 | byte -> token
+        for token, rank in ranks.items():
+            at = 0
+            for i in range(1, len(token)):
+                if token[:i] not in places:
+                    places[token[:i]] = len(places)
+                    self.child[at << 8 | token[i - 1]] = places[token[:i]]
+                at = places[token[:i]]
+            self.ends[at << 8 | token[-1]] = rank
+        self.pairs: dict[int, bool] = {}
         self.reset()
 
     def reset(self) -> None:
-        self.states: list[tuple[tuple[int, bytes], ...]] = [((-1, b""),)]
+        self.states: list[tuple[int, ...]] = [(0,)]
         self.numbers = {self.states[0]: 0}
-        self.next: dict[int, tuple[int, int]] = {}
+        self.next: dict[int, int] = {}  # state << 8 | byte -> next state << 17 | last token
 
     def merge(self, piece: bytes) -> list[int]:
-        """Encoding by the merges themselves; pairs of tokens only, so the input is short."""
-        parts = [piece[i : i + 1] for i in range(len(piece))]
+        """Encoding by the merges themselves; for pairs of tokens only, so the input is short."""
+        parts, ranks = [piece[i : i + 1] for i in range(len(piece))], self.ranks
         while len(parts) > 1:
-            found = [(self.ranks.get(parts[i] + parts[i + 1], -1), i) for i in range(len(parts) - 1)]
-            rank, i = min((f for f in found if f[0] >= 0), default=(-1, -1))
-            if rank < 0:
+            best, at = -1, 0
+            for i in range(len(parts) - 1):
+                rank = ranks.get(parts[i] + parts[i + 1])
+                if rank is not None and (rank < best or best < 0):
+                    best, at = rank, i
+            if best < 0:
                 break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[p] for p in parts]
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return [ranks[p] for p in parts]
 
     def fits(self, last: int, token: int) -> bool:
         """Whether ``token`` may follow ``last`` (-1: may begin)."""
-        known = self.pairs.get((last, token))
+        known = self.pairs.get(last << 17 | token)
         if known is None:
             if len(self.pairs) >= MAX_PAIRS:
                 self.pairs.clear()
@@ -87,27 +104,29 @@ class Transducer:
                 known = self.merge(self.bytes_of[token]) == [token]
             else:
                 known = self.merge(self.bytes_of[last] + self.bytes_of[token]) == [last, token]
-            self.pairs[last, token] = known
+            self.pairs[last << 17 | token] = known
         return known
 
-    def step(self, state: int, byte: int) -> tuple[int, int]:
-        """(next state, last token of the prefix read so far)."""
+    def step(self, state: int, byte: int) -> int:
+        """Next state and last token of the prefix read so far, as in ``next``."""
         out, last = [], -1
-        for before, begun in self.states[state]:
-            grown = begun + bytes([byte])
-            if grown in self.begins:
-                out.append((before, grown))
-                token = self.ranks.get(grown, -1)
-                if last < 0 and token >= 0 and self.fits(before, token):
+        for possible in self.states[state]:
+            key = (possible & 0xFFFFF) << 8 | byte
+            grown = self.child.get(key)
+            if grown:
+                out.append(possible >> 20 << 20 | grown)
+            if last < 0:
+                token = self.ends.get(key)
+                if token is not None and self.fits((possible >> 20) - 1, token):
                     last = token
-        out.append((last, b""))
-        key = tuple(out)
-        number = self.numbers.get(key)
+        out.append((last + 1) << 20)
+        found = tuple(out)
+        number = self.numbers.get(found)
         if number is None:
-            number = self.numbers[key] = len(self.states)
-            self.states.append(key)
-        self.next[state << 8 | byte] = number, last
-        return number, last
+            number = self.numbers[found] = len(self.states)
+            self.states.append(found)
+        to = self.next[state << 8 | byte] = number << 17 | last
+        return to
 
     def encode(self, piece: bytes) -> list[int]:
         """Token ids of one match of the pattern."""
@@ -117,14 +136,17 @@ class Transducer:
         if len(self.states) >= MAX_STATES:
             self.reset()
         out: list[int] = []
-        state, lasts, done = 0, [], 0  # lasts[i]: last token of the prefix ending after byte done + i
-        for at, byte in enumerate(piece, 1):
-            state, last = self.next.get(state << 8 | byte) or self.step(state, byte)
-            lasts.append(last)
-            possible = self.states[state]
-            if len(possible) == 1:  # nothing before this place can change any more
+        state, lasts = 0, []  # last tokens of the prefixes since the last token emitted
+        known, states = self.next, self.states
+        for byte in piece:
+            to = known.get(state << 8 | byte)
+            if to is None:
+                to = self.step(state, byte)
+            state = to >> 17
+            lasts.append(to & 0x1FFFF)
+            if len(states[state]) == 1:  # nothing before this place can change any more
                 self._emit(out, lasts)
-                done, lasts = at, []
+                lasts = []
         if lasts:
             self._emit(out, lasts)
         return out
@@ -134,7 +156,8 @@ class Transducer:
         while i > 0:
             tokens.append(lasts[i - 1])
             i -= len(self.bytes_of[lasts[i - 1]])
-        out.extend(reversed(tokens))
+        tokens.reverse()
+        out += tokens
 
 
 class Encoder:
@@ -152,7 +175,9 @@ class Encoder:
             self.known[text] = ids
 
     def _stretch(self, text: str) -> tuple[int, ...]:
-        pieces = self.pieces.findall(text)
+        # A space and letters are one match of the pattern, whatever comes before and after.
+        body = text[1:] if text[0] == " " else text
+        pieces = [text] if body.isalpha() else self.pieces.findall(text)
         ids: list[int] = []
         for piece in pieces:
             found = self.known.get(piece)
@@ -246,17 +271,32 @@ class Codec:
                     kept[name] = Utf8Machine({rank: token for token, rank in ranks.items()})
             return kept[name]
 
+        def slices(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for rows in batches:
+                for at in range(0, len(rows), SLICE):
+                    yield rows.iloc[at : at + SLICE]
+
         def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             encoder = part("encoder")
-            for texts in batches:
+            for texts in slices(batches):
                 yield pd.Series([np.array(encoder.encode(t), np.int32) for t in texts], dtype=object)
 
         def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             machine = part("decoder")
-            for rows in batches:
+            for rows in slices(batches):
                 yield pd.Series([machine.decode(ids.tolist()) for ids in rows], dtype=object)
 
+        def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            encoder, machine = part("encoder"), part("decoder")
+            for texts in slices(batches):
+                ids = [encoder.encode(t) for t in texts]
+                yield pd.DataFrame({
+                    "ids": pd.Series([np.array(i, np.int32) for i in ids], dtype=object),
+                    "decoded": pd.Series([machine.decode(i) for i in ids], dtype=object),
+                })
+
         self._encode, self._decode = F.pandas_udf(encode, "array<int>"), F.pandas_udf(decode, "string")
+        self._both = F.pandas_udf(both, "ids array<int>, decoded string")
 
     def encode(self, text: Column) -> Column:
         return self._encode(whole_text(text))
@@ -264,24 +304,25 @@ class Codec:
     def decode(self, ids: Column) -> Column:
         return self._decode(ids)
 
+    def there_and_back(self, text: Column) -> Column:
+        """A struct of the ids and the text that they decode to, in one pass."""
+        return self._both(whole_text(text))
+
 
 def tokenize(docs: DataFrame, path: str = VOCABULARY, out: str = "ids") -> DataFrame:
     """``docs`` with ``out``: the token ids of the whole text."""
     return docs.withColumn(out, Codec(docs.sparkSession, path).encode(F.col("text")))
 
 
-def encoded_and_decoded(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """doc_id, ids and decoded of every row: both directions in one pass."""
-    codec = Codec(docs.sparkSession, path)
-    ids, decoded = fresh(docs, "ids", "decoded")
-    both = docs.withColumn(ids, codec.encode(F.col("text")))
-    return both.withColumn(decoded, codec.decode(F.col(ids))).select(
-        "doc_id", F.col(ids).alias("ids"), F.col(decoded).alias("decoded"))
+def encoded_and_decoded(docs: DataFrame, path: str = VOCABULARY, out: str = "codec") -> DataFrame:
+    """``docs`` with a struct ``out``: the token ids of the whole text and what they decode to."""
+    return docs.withColumn(out, Codec(docs.sparkSession, path).there_and_back(F.col("text")))
 
 
 @query()
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = encoded_and_decoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = encoded_and_decoded(docs).select("doc_id", "codec.*")
     return rows.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
