@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 from .common import query, table, whole_text
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
-MAX_STATES = 200_000
+MAX_STATES = 350_000
 MAX_PAIRS = 300_000
-MAX_TEXTS = 200_000
+MAX_TEXTS = 300_000
 LONGEST_KEPT = 48  # characters of a stretch that is worth keeping
 SLICE = 512  # rows worked on and handed back at a time
 
@@ -78,7 +78,7 @@ class Transducer:
     def reset(self) -> None:
         self.states: list[tuple[int, ...]] = [(0,)]
         self.numbers = {self.states[0]: 0}
-        self.next: dict[int, int] = {}  # state << 8 | byte -> next state << 17 | last token
+        self.next: dict[int, int] = {}  # state << 8 | byte -> next state << 18 | settled << 17 | last token
 
     def merge(self, piece: bytes) -> list[int]:
         """Encoding by the merges themselves; for pairs of tokens only, so the input is short."""
@@ -125,7 +125,8 @@ class Transducer:
         if number is None:
             number = self.numbers[found] = len(self.states)
             self.states.append(found)
-        to = self.next[state << 8 | byte] = number << 17 | last
+        # Settled: one possibility is left, nothing before this place can change any more.
+        to = self.next[state << 8 | byte] = number << 18 | (len(out) == 1) << 17 | last
         return to
 
     def encode(self, piece: bytes) -> list[int]:
@@ -137,14 +138,14 @@ class Transducer:
             self.reset()
         out: list[int] = []
         state, lasts = 0, []  # last tokens of the prefixes since the last token emitted
-        known, states = self.next, self.states
+        known = self.next
         for byte in piece:
             to = known.get(state << 8 | byte)
             if to is None:
                 to = self.step(state, byte)
-            state = to >> 17
+            state = to >> 18
             lasts.append(to & 0x1FFFF)
-            if len(states[state]) == 1:  # nothing before this place can change any more
+            if to & 0x20000:
                 self._emit(out, lasts)
                 lasts = []
         if lasts:
@@ -167,20 +168,26 @@ class Encoder:
         spaces = spaces.replace(f"[^[{_WHITE}]", f"[^{_WHITE}")  # inside a class already
         self.pieces = regex.compile(spaces)
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def _keep(self, text: str, ids: tuple[int, ...]) -> None:
+        """Two generations: what is looked up again moves on to the next, the rest goes."""
         if len(text) <= LONGEST_KEPT:
             if len(self.known) >= MAX_TEXTS:
-                self.known.clear()
+                self.older, self.known = self.known, {}
             self.known[text] = ids
 
     def _stretch(self, text: str) -> tuple[int, ...]:
+        old = self.older.get(text)
+        if old is not None:
+            self._keep(text, old)
+            return old
         # A space and letters are one match of the pattern, whatever comes before and after.
         body = text[1:] if text[0] == " " else text
         pieces = [text] if body.isalpha() else self.pieces.findall(text)
         ids: list[int] = []
         for piece in pieces:
-            found = self.known.get(piece)
+            found = self.known.get(piece) or self.older.get(piece)
             if found is None:
                 found = tuple(self.transducer.encode(piece.encode("utf-8")))
                 self._keep(piece, found)
@@ -211,6 +218,7 @@ class Utf8Machine:
         self.bytes_of = bytes_of
         self.lead = {b: (n, lo, hi) for first, last, n, lo, hi in self.LEADS for b in range(first, last + 1)}
         self.steps: dict[tuple[bytes, int], tuple[str, bytes]] = {}
+        self.clean: dict[int, str] = {}  # steps from and to a complete text
 
     def feed(self, pending: bytes, chunk: bytes) -> tuple[str, bytes]:
         """Text of the characters that ``chunk`` completes, and what is still pending."""
@@ -237,6 +245,9 @@ class Utf8Machine:
         return "".join(out), state
 
     def decode(self, ids) -> str:
+        out = list(map(self.clean.get, ids))
+        if None not in out:
+            return "".join(out)
         out, pending, steps = [], b"", self.steps
         for token in ids:
             step = steps.get((pending, token))
@@ -244,6 +255,8 @@ class Utf8Machine:
                 if len(steps) >= MAX_TEXTS:
                     steps.clear()
                 step = steps[pending, token] = self.feed(pending, self.bytes_of[token])
+                if not pending and not step[1]:
+                    self.clean[token] = step[0]
             out.append(step[0])
             pending = step[1]
         if pending:

@@ -16,6 +16,7 @@ places and score 0. Every row is answered for itself; ids play no part.
 from __future__ import annotations
 
 import json
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,7 +41,7 @@ class Family(NamedTuple):
     label: str
     name: str  # a space stands for any white space
     ids: str  # identifiers in metadata
-    keyword: str
+    keys: str  # a text that names the family holds one of these, in lower case
     link: str = ""
     short: bool = False  # the name alone says little: a title needs the word license
 
@@ -50,7 +51,7 @@ class Rule(NamedTuple):
     form: str
     priority: int
     pattern: str
-    keywords: list[str]
+    keywords: list[list[str]]  # of each list the text must hold one
 
 
 def _version(n: str) -> str:
@@ -63,27 +64,27 @@ def _creative(terms: str, words: str, n: str) -> Family:
     return Family(
         f"cc-{spelled}-{n}",
         rf"(?:CC[ -]{terms.replace(' ', '[ -]')}|Creative Commons {words})(?: International| Unported)?[ -]?(?:version )?{n}",
-        rf"CC-{spelled}-{n}", "c", rf"creativecommons\.org/licenses/{spelled}/{n}",
+        rf"CC-{spelled}-{n}", "cc by|cc-by|creative commons", rf"creativecommons\.org/licenses/{spelled}/{n}",
     )
 
 
 FAMILIES = [
-    Family("mit", "(?:MIT|Expat|X11)", "MIT", "mi", r"opensource\.org/licenses?/mit", True),
+    Family("mit", "(?:MIT|Expat|X11)", "MIT", "mit|expat|x11", r"opensource\.org/licenses?/mit", True),
     Family("mit-0", "MIT No Attribution", "MIT-0", "mit"),
     Family("apache-2.0", f"Apache (?:Software )?Licen[cs]e{_version('2.0')}", "Apache-2\\.0", "apache",
            r"apache\.org/licenses/LICENSE-2\.0"),
     Family("apache-1.1", f"Apache (?:Software )?Licen[cs]e{_version('1.1')}", "Apache-1\\.1", "apache"),
     *[Family(f"gpl-{n}", rf"(?:(?:GNU )?General Public Licen[cs]e(?: \(GPL\))?|(?:GNU )?GPL){_version(n)}",
-             rf"GPL-?{n}(?:-only|-or-later|\+)?", "g", rf"gnu\.org/licenses/(?:old-licenses/)?gpl-{n}")
+             rf"GPL-?{n}(?:-only|-or-later|\+)?", "gpl|general public", rf"gnu\.org/licenses/(?:old-licenses/)?gpl-{n}")
       for n in ("1.0", "2.0", "3.0")],
     *[Family(f"lgpl-{n}", rf"(?:(?:GNU )?(?:Lesser|Library) General Public Licen[cs]e|(?:GNU )?LGPL){_version(n)}",
-             rf"LGPL-?{n}(?:-only|-or-later|\+)?", "l", rf"gnu\.org/licenses/(?:old-licenses/)?lgpl-{n}")
+             rf"LGPL-?{n}(?:-only|-or-later|\+)?", "lgpl|general public", rf"gnu\.org/licenses/(?:old-licenses/)?lgpl-{n}")
       for n in ("2.0", "2.1", "3.0")],
     Family("agpl-3.0", f"(?:(?:GNU )?Affero General Public Licen[cs]e|(?:GNU )?AGPL){_version('3.0')}",
-           "AGPL-?3\\.0(?:-only|-or-later|\\+)?", "a", r"gnu\.org/licenses/agpl-3\.0"),
-    *[Family(f"gfdl-{n}", f"(?:GNU )?Free Documentation Licen[cs]e{_version(n)}", f"GFDL-{n}", "gnu")
+           "AGPL-?3\\.0(?:-only|-or-later|\\+)?", "agpl|affero", r"gnu\.org/licenses/agpl-3\.0"),
+    *[Family(f"gfdl-{n}", f"(?:GNU )?Free Documentation Licen[cs]e{_version(n)}", f"GFDL-{n}", "free documentation|gfdl")
       for n in ("1.2", "1.3")],
-    *[Family(f"mpl-{n}", f"(?:Mozilla Public Licen[cs]e|MPL){_version(n)}", f"MPL-{n}", "m", rf"mozilla\.org/(?:en-US/)?MPL/{n}")
+    *[Family(f"mpl-{n}", f"(?:Mozilla Public Licen[cs]e|MPL){_version(n)}", f"MPL-{n}", "mpl|mozilla public", rf"mozilla\.org/(?:en-US/)?MPL/{n}")
       for n in ("1.1", "2.0")],
     Family("bsd-2-clause", "(?:Simplified BSD|BSD[ -]2[ -]Clause|2[ -]clause BSD)", "BSD-2-Clause", "bsd", "", True),
     Family("bsd-3-clause", "(?:New BSD|Modified BSD|BSD[ -]3[ -]Clause|3[ -]clause BSD)", "BSD-3-Clause", "bsd",
@@ -92,41 +93,41 @@ FAMILIES = [
     Family("0bsd", "(?:Zero[ -]Clause BSD|0BSD)", "0BSD", "bsd", "", True),
     Family("bsd", "BSD", "BSD", "bsd", "", True),
     Family("isc", "ISC", "ISC", "isc", r"opensource\.org/licenses?/isc", True),
-    Family("cc0-1.0", "(?:CC0|Creative Commons Zero)(?: 1\\.0)?", "CC0-1\\.0", "c", r"creativecommons\.org/publicdomain/zero"),
+    Family("cc0-1.0", "(?:CC0|Creative Commons Zero)(?: 1\\.0)?", "CC0-1\\.0", "cc0|creative commons zero", r"creativecommons\.org/publicdomain/zero"),
     *[_creative(t, w, n) for n in ("2.0", "3.0", "4.0") for t, w in (
         ("by", "Attribution"), ("by sa", "Attribution[ -]Share ?Alike"),
         ("by nc", "Attribution[ -]Non ?Commercial"), ("by nd", "Attribution[ -]No ?Deriv(?:ative)?s"),
         ("by nc sa", "Attribution[ -]Non ?Commercial[ -]Share ?Alike"),
         ("by nc nd", "Attribution[ -]Non ?Commercial[ -]No ?Deriv(?:ative)?s"))],
     Family("unlicense", "Unlicense", "Unlicense", "unlicense", r"unlicense\.org"),
-    Family("wtfpl", "(?:WTFPL|Do What The F\\w+ You Want To Public Licen[cs]e)", "WTFPL", "w"),
+    Family("wtfpl", "(?:WTFPL|Do What The F\\w+ You Want To Public Licen[cs]e)", "WTFPL", "wtfpl|do what the"),
     Family("zlib", "zlib(?:/libpng)?", "Zlib", "zlib", "", True),
-    Family("bsl-1.0", "Boost Software Licen[cs]e", "BSL-1\\.0", "b", r"boost\.org/LICENSE_1_0"),
-    *[Family(f"epl-{n}", f"(?:Eclipse Public Licen[cs]e|EPL){_version(n)}", f"EPL-{n}", "e", r"eclipse\.org/legal/epl")
+    Family("bsl-1.0", "Boost Software Licen[cs]e", "BSL-1\\.0", "boost|bsl-", r"boost\.org/LICENSE_1_0"),
+    *[Family(f"epl-{n}", f"(?:Eclipse Public Licen[cs]e|EPL){_version(n)}", f"EPL-{n}", "epl|eclipse public", r"eclipse\.org/legal/epl")
       for n in ("1.0", "2.0")],
-    Family("edl-1.0", "Eclipse Distribution Licen[cs]e", "EDL-1\\.0", "eclipse"),
-    *[Family(f"cddl-{n}", f"(?:Common Development and Distribution Licen[cs]e|CDDL){_version(n)}", f"CDDL-{n}", "c")
+    Family("edl-1.0", "Eclipse Distribution Licen[cs]e", "EDL-1\\.0", "eclipse distribution|edl-"),
+    *[Family(f"cddl-{n}", f"(?:Common Development and Distribution Licen[cs]e|CDDL){_version(n)}", f"CDDL-{n}", "cddl|common development")
       for n in ("1.0", "1.1")],
-    *[Family(f"eupl-{n}", f"(?:European Union Public Licen[cs]e|EUPL){_version(n)}", f"EUPL-{n}", "e") for n in ("1.1", "1.2")],
+    *[Family(f"eupl-{n}", f"(?:European Union Public Licen[cs]e|EUPL){_version(n)}", f"EUPL-{n}", "eupl|european union public") for n in ("1.1", "1.2")],
     *[Family(f"artistic-{n}", f"Artistic Licen[cs]e{_version(n)}", f"Artistic-{n}", "artistic") for n in ("1.0", "2.0")],
-    *[Family(f"afl-{n}", f"Academic Free Licen[cs]e{_version(n)}", f"AFL-{n}", "a") for n in ("2.1", "3.0")],
-    *[Family(f"osl-{n}", f"Open Software Licen[cs]e{_version(n)}", f"OSL-{n}", "o") for n in ("2.1", "3.0")],
-    Family("ecl-2.0", "Educational Community Licen[cs]e", "ECL-2\\.0", "e"),
+    *[Family(f"afl-{n}", f"Academic Free Licen[cs]e{_version(n)}", f"AFL-{n}", "academic free|afl-") for n in ("2.1", "3.0")],
+    *[Family(f"osl-{n}", f"Open Software Licen[cs]e{_version(n)}", f"OSL-{n}", "open software|osl-") for n in ("2.1", "3.0")],
+    Family("ecl-2.0", "Educational Community Licen[cs]e", "ECL-2\\.0", "educational community|ecl-"),
     Family("ncsa", "(?:University of Illinois/)?NCSA(?: Open Source)?", "NCSA", "ncsa", "", True),
     Family("postgresql", "PostgreSQL", "PostgreSQL", "postgresql", "", True),
-    Family("psf-2.0", "(?:Python Software Foundation|PSF)", "(?:PSF|Python)-2\\.0", "p", "", True),
+    Family("psf-2.0", "(?:Python Software Foundation|PSF)", "(?:PSF|Python)-2\\.0", "psf|python", "", True),
     Family("php-3.01", "PHP", "PHP-3\\.01", "php", "", True),
     Family("ruby", "Ruby", "Ruby", "ruby", "", True),
     Family("vim", "Vim", "Vim", "vim", "", True),
     Family("openssl", "OpenSSL", "OpenSSL", "openssl", "", True),
-    Family("ofl-1.1", "(?:SIL )?Open Font Licen[cs]e", "OFL-1\\.1", "o", r"scripts\.sil\.org/OFL"),
-    Family("odbl-1.0", "Open (?:Data Commons Open )?Database Licen[cs]e", "ODbL-1\\.0", "o", r"opendatacommons\.org/licenses/odbl"),
-    Family("odc-by-1.0", "Open Data Commons Attribution Licen[cs]e", "ODC-By-1\\.0", "o"),
-    Family("ms-pl", "Microsoft Public Licen[cs]e", "MS-PL", "m"),
-    Family("ms-rl", "Microsoft Reciprocal Licen[cs]e", "MS-RL", "m"),
-    Family("upl-1.0", "Universal Permissive Licen[cs]e", "UPL-1\\.0", "u"),
-    Family("sspl-1.0", "Server Side Public Licen[cs]e", "SSPL-1\\.0", "s"),
-    Family("busl-1.1", "Business Source Licen[cs]e", "BUSL-1\\.1", "bus"),
+    Family("ofl-1.1", "(?:SIL )?Open Font Licen[cs]e", "OFL-1\\.1", "open font|ofl-", r"scripts\.sil\.org/OFL"),
+    Family("odbl-1.0", "Open (?:Data Commons Open )?Database Licen[cs]e", "ODbL-1\\.0", "database lic|odbl", r"opendatacommons\.org/licenses/odbl"),
+    Family("odc-by-1.0", "Open Data Commons Attribution Licen[cs]e", "ODC-By-1\\.0", "open data commons|odc-by"),
+    Family("ms-pl", "Microsoft Public Licen[cs]e", "MS-PL", "microsoft public|ms-pl"),
+    Family("ms-rl", "Microsoft Reciprocal Licen[cs]e", "MS-RL", "microsoft reciprocal|ms-rl"),
+    Family("upl-1.0", "Universal Permissive Licen[cs]e", "UPL-1\\.0", "universal permissive|upl-"),
+    Family("sspl-1.0", "Server Side Public Licen[cs]e", "SSPL-1\\.0", "server side public|sspl"),
+    Family("busl-1.1", "Business Source Licen[cs]e", "BUSL-1\\.1", "business source|busl"),
     Family("elastic-2.0", "Elastic Licen[cs]e", "Elastic-2\\.0", "elastic"),
     Family("unicode", "Unicode", "Unicode-(?:DFS|3)[\\w.-]*", "unicode", "", True),
     Family("openrail", "(?:Creative ?ML )?Open ?RAIL(?:-?[MDS]+)?", "(?:creativeml-)?openrail(?:-m|\\+\\+)?", "rail", "", True),
@@ -134,8 +135,10 @@ FAMILIES = [
 
 _UNDER = (
     r"(?:licen[cs]ed|released|distributed|published|available|provided|covered|issued|shared) "
-    r"(?:\w+ )?under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?"
+    r"under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?"
 )
+#: What such a notice holds: the end of its verb, and under.
+UNDER = ["d under", "e under", "d\nunder", "e\nunder"]
 
 #: Sentences that give a license's own text away.
 TEXTS = [
@@ -165,32 +168,34 @@ def _spaced(pattern: str) -> str:
 
 def build_rules() -> list[Rule]:
     """All rules in their order: sentences first, then every family in every form."""
-    out = [Rule(label, "text", 4, "(?i)" + _spaced(p), [k]) for label, p, k in TEXTS]
+    out = [Rule(label, "text", 4, "(?i)" + _spaced(p), [[k]]) for label, p, k in TEXTS]
     for f in FAMILIES:
         title = rf"(?:{f.name}) licen[cs]e" if f.short else f.name
         forms = [
-            ("identifier", 4, rf"SPDX-License-Identifier:\s*(?:{f.ids})(?![\w.])", ["spdx"]),
-            ("notice", 3, rf"{_UNDER}(?:{f.name})(?: licen[cs]e)?(?!\w)", ["under"]),
+            ("identifier", 4, rf"SPDX-License-Identifier:\s*(?:{f.ids})(?![\w.])", [["spdx"]]),
+            ("notice", 3, rf"{_UNDER}(?:{f.name})(?: licen[cs]e)?(?!\w)", [UNDER]),
             ("title", 2, rf"(?<!\w)(?:{title})(?!\w)", []),
-            ("field", 1, rf"licen[cs]e\s*[:=]\s*[\"']?(?:{f.ids})(?![\w.])", ["licen"]),
+            ("field", 1, rf"licen[cs]e\s*[:=]\s*[\"']?(?:{f.ids})(?![\w.])", [["licen"]]),
         ]
-        if f.link:
-            forms.append(("link", 3, rf"(?:https?://)?(?:www\.)?{f.link}", ["/"]))
         for form, priority, pattern, keys in forms:
-            out.append(Rule(f.label, form, priority, "(?i)" + _spaced(pattern), [*keys, f.keyword]))
+            out.append(Rule(f.label, form, priority, "(?i)" + _spaced(pattern), [*keys, f.keys.split("|")]))
+        if f.link:
+            site = re.match(r"[a-z\\.]+", f.link)[0].replace("\\", "")
+            pattern = rf"(?:https?://)?(?:www\.)?{f.link}"
+            out.append(Rule(f.label, "link", 3, "(?i)" + _spaced(pattern), [[site]]))
     return out
 
 
 RULES = build_rules()
-#: A text without any of these holds no license notice.
+#: A text without any of these is not looked at closely.
 GENERAL = [
-    "licen", "spdx", "public domain", "creativecommons", "creative commons", "gpl", "cc0", "cc by", "cc-by",
-    "permission", "redistribution", "free software", "all rights reserved", "advertising materials",
-    "neither the name", "unencumbered", "confidential", "unauthorized copying", "as-is", "under",
-    "gnu.org", "mozilla.org", "opensource.org", "opendatacommons.org", "sil.org", "eclipse", "wtfpl", "mpl",
-    "epl", "eupl", "cddl", "gnu", "no attribution", "rail",
+    "licen", "spdx", "public domain", "creative", "permission", "redistribution", "free software", "rights reserved",
+    "advertising materials", "neither the name", "unencumbered", "confidential", "unauthorized copying", ".org/", "gpl",
+    "cc by", "cc-by", "cc0", "mpl 1", "mpl 2", "mpl-1", "mpl-2", "epl 1", "epl 2", "epl-1", "epl-2", "eupl", "cddl",
+    "wtfpl", "openrail", "open rail", *UNDER,
 ]
-_RULE = "struct<label:string,priority:int,pattern:string,keywords:array<string>,at:int>"
+KEYS = sorted({k for r in RULES for keys in r.keywords for k in keys})
+_RULE = "struct<label:string,priority:int,pattern:string,keywords:array<array<string>>,at:int>"
 
 
 def _rule_table(rules: list[Rule]) -> Column:
@@ -219,7 +224,8 @@ DETECTION = "struct<start:int,back:int,level:int,at:int,label:string>"
 def _detections(text: Column, low: Column, rules: Column) -> Column:
     """All matches of the rules whose keywords the text holds: by start, longest and highest
     priority first (``back`` and ``level`` are the end and the priority, negated)."""
-    live = F.filter(rules, lambda r: F.forall(r["keywords"], lambda k: F.contains(low, k)))
+    # The keywords that the text holds are found once; a lambda variable keeps them.
+    held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(k)), F.lit(k)) for k in KEYS]))
 
     def found(r):
         spans = find_spans(text, r["pattern"], r["label"], r["at"])
@@ -228,7 +234,11 @@ def _detections(text: Column, low: Column, rules: Column) -> Column:
             s["rank"].alias("at"), s["kind"].alias("label"),
         ))
 
-    return F.array_sort(F.flatten(F.transform(live, found)))
+    def of_rules(have):
+        live = F.filter(rules, lambda r: F.forall(r["keywords"], lambda keys: F.arrays_overlap(keys, have)))
+        return F.array_sort(F.flatten(F.transform(live, found)))
+
+    return F.transform(F.array(held), of_rules)[0]
 
 
 def _unsuppressed(found: Column) -> Column:

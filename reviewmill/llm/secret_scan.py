@@ -129,9 +129,10 @@ def _exact(items) -> set[str] | None:
         if op not in (sre.LITERAL, sre.IN, sre.SUBPATTERN, sre.BRANCH, sre.MAX_REPEAT):
             return None
     c.walk(items)
-    width = sre_parse.SubPattern(sre_parse.State(), list(items)).getwidth()
-    whole = not c.clauses and c.now and {len(s) for s in c.now} <= set(range(width[0], width[1] + 1))
-    return c.now if whole and min(map(len, c.now)) == width[0] and max(map(len, c.now)) == width[1] else None
+    least, most = sre_parse.SubPattern(sre_parse.State(), list(items)).getwidth()
+    lengths = {len(s) for s in c.now}
+    # As many characters as the pattern takes at least and at most: nothing was left out.
+    return c.now if not c.clauses and (min(lengths), max(lengths)) == (least, most) else None
 
 
 def _clauses(items) -> list[list[frozenset[str]]]:
