@@ -79,7 +79,9 @@ def extract_main_text(pages: DataFrame, out: str = "text", html: str = "html", u
     plain = read.where(~boxed).select("page", "blocks", F.lit(None).cast("array<long>").alias("gone"))
     stays = F.filter("blocks", lambda b: F.col("gone").isNull() | ~F.arrays_overlap(b["path"], "gone"))
     text = F.array_join(F.transform(stays, lambda b: b["text"]), " ")
-    return plain.unionByName(several).select("page.*", text.alias(out))
+    (main,) = fresh(pages, "main_text")
+    whole = plain.unionByName(several).select("page", text.alias(main))
+    return whole.select("page.*", main).withColumnRenamed(main, out)
 
 
 @query()

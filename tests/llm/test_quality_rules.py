@@ -42,7 +42,7 @@ def prose(rng, n, junk=False):
 def corpus(spark):
     rng, rows = random.Random(2), []
     for i in range(700):
-        junk = i % 9 == 0
+        junk = i % 10 == 0
         rows.append((i, prose(rng, rng.randint(55, 200), junk), "en", "s1" if i % 3 else "s2"))
     rows += [(1000 + i, prose(rng, 60, i == 0), "de", f"t{i}") for i in range(8)]  # too few to judge
     return rows, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
@@ -105,7 +105,7 @@ def test_distances_equal_a_plain_version(corpus):
 def test_planted_outliers_are_rejected_and_others_kept(corpus):
     _, df = corpus
     kept = {r["doc_id"]: r["rules"]["kept"] for r in qr.judge(df).collect()}
-    assert all(kept[i] == (i % 9 != 0) for i in range(700))
+    assert all(kept[i] == (i % 10 != 0) for i in range(700))
 
 
 def test_odd_rows(odd, none):
