@@ -142,12 +142,13 @@ def successors(ids: DataFrame) -> DataFrame:
 
 def edited_texts(docs: DataFrame) -> DataFrame:
     """doc_id, key, next (key of the successor), text, n_chars and edited: the text whose last quarter
-    is replaced by the beginning of its successor."""
-    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
-    own = docs.select(key.alias("key"), "doc_id", whole_text().alias("text"))
+    is replaced by the beginning of its successor. A null id and the lowest number share a key."""
+    lowest = F.lit(-(1 << 63))
+    own = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), lowest).alias("key"), whole_text().alias("text"))
     need = own.groupBy("key").agg(F.max(F.floor(F.length("text") / 4)).alias("need"))
     follows = cut_lineage(successors(own).join(need, "key"))
-    # Both joins deal the same rows out by the same key, so texts are shuffled once.
+    # Both joins deal the same two columns out by the same key, so Spark shuffles texts once
+    # and reuses that.
     wanted = follows.select(F.col("next").alias("key"), F.col("key").alias("asks"), "need")
     begins = own.join(wanted, "key").select("asks", F.expr("substring(text, 1, cast(need as int))").alias("begin"))
     begins = begins.groupBy("asks").agg(F.min("begin").alias("begin"))
@@ -155,7 +156,8 @@ def edited_texts(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("begin"), F.lit(1), cut))
-    return both.select("doc_id", "key", "next", "text", n.cast("long").alias("n_chars"), edited.alias("edited"))
+    doc_id = F.when(F.col("key") != lowest, F.col("key")).alias("doc_id")
+    return both.select(doc_id, "key", "next", "text", n.cast("long").alias("n_chars"), edited.alias("edited"))
 
 
 @query()
