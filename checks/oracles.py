@@ -568,6 +568,7 @@ SELECT doc_id AS review_id, CASE quality WHEN 0 THEN 'ABSENT' ELSE 'NEG' END AS
         _TERMS[:5], "SELECT df, count(*) AS n_terms, CAST(sum(n) AS BIGINT) AS n_grams FROM "
         "(SELECT count(*) AS df, sum(tf) AS n FROM tf GROUP BY term) GROUP BY df"
     )
+    out["tf_idf"] = _q(_TERMS[:7], "SELECT review_id, term, round(weight, 8) AS weight FROM tfidf")
     out["top_terms_overall"] = _q(_TERMS, top.format("weight"))
     out["top_terms_neg"] = _q(_TERMS, top.format("neg_mean_weight"))
     out["top_terms_pos"] = _q(_TERMS, top.format("pos_mean_weight"))

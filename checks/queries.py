@@ -624,6 +624,12 @@ def document_frequency(spark, sf):
     return per_term.groupBy("df").agg(F.count("*").alias("n_terms"), F.sum("tf").alias("n_grams"))
 
 
+@query
+def tf_idf(spark, sf):
+    weights = terms.tf_idf(_normalized(spark, sf))
+    return weights.withColumn("weight", F.round("weight", 8))
+
+
 @query
 def top_terms_overall(spark, sf):
     return terms.top_terms(terms.term_weights(_normalized(spark, sf)), "weight")

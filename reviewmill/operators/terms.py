@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import STOP_WORDS
@@ -11,6 +11,36 @@ from ..session import cut_lineage
 from .joins import lookup_join
 
 
+def term_counts(
+    df: DataFrame,
+    column: str = "content",
+    id_col: str = "review_id",
+    stop_words=STOP_WORDS,
+    low: int = 2,
+    high: int = 3,
+    carry: tuple[str, ...] = (),
+) -> DataFrame:
+    """(id, carried columns, terms): one array of (term, tf) per row of ``df``, by term.
+
+    Stop words go before n-grams are formed. A document is one row, so its terms are counted
+    in the row: sorted, equal ones are runs. Nothing is shuffled.
+    """
+    kept = [id_col, *carry]
+    tokens = tx.remove_stop_words(tx.word_tokens(column), stop_words)
+    grams = df.select(*kept, tokens.alias("_tokens")).select(
+        *kept, F.sort_array(tx.word_ngrams("_tokens", low, high)).alias("_grams")
+    )
+    places = F.when(F.size("_grams") > 0, F.sequence(F.lit(0), F.size("_grams") - 1))
+    first = F.filter(places, lambda j: (j == 0) | (F.get("_grams", j) != F.get("_grams", j - 1)))
+    runs = grams.select(*kept, "_grams", F.coalesce(first, F.array().cast("array<int>")).alias("_first"))
+    counted = F.transform("_first", lambda at, i: F.struct(
+        F.get("_grams", at).alias("term"),
+        (F.coalesce(F.get("_first", i + 1), F.size("_grams")) - at).cast("bigint").alias("tf"),
+    ))
+    # The size of the runs is named once more so that Spark keeps the steps apart.
+    return runs.select(*kept, F.when(F.size("_first") >= 0, counted).alias("terms"))
+
+
 def term_frequencies(
     df: DataFrame,
     column: str = "content",
@@ -20,10 +50,10 @@ def term_frequencies(
     high: int = 3,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(id, carried columns, term, tf). Stop words go before n-grams are formed.
+    """(id, carried columns, term, tf), one row per term of a document.
 
     The rows are placed by id first, so counting terms per document needs no further
-    shuffle of the many exploded terms.
+    shuffle of the many exploded terms. ``term_counts`` keeps them in the row instead.
     """
     tokens = tx.remove_stop_words(tx.word_tokens(column), stop_words)
     return (
@@ -40,21 +70,30 @@ def _idf(df_count: Column, n_docs: int) -> Column:
     return F.log(F.lit(1.0 + n_docs) / (df_count + 1)) + 1
 
 
-def _raw_weights(tf: DataFrame, n_docs: int) -> DataFrame:
-    """``tf`` with ``raw`` = tf * idf.
+def _common_terms(counted: DataFrame, n_docs: int) -> DataFrame:
+    """(term, df, idf) of the terms in two documents or more; all others share one idf."""
+    rows = counted.select(F.explode("terms").alias("t"))
+    common = rows.groupBy("t.term").agg(F.count("*").alias("df")).where("df > 1")
+    return common.withColumn("idf", _idf(F.col("df"), n_docs))
+
 
-    Most n-grams occur in a single document and share one idf, so only the others are
-    looked up. That table is unique on the term and spreads evenly, which lets each task
-    hash its part instead of sorting the terms.
+def _with_norms(counted: DataFrame, common: DataFrame, n_docs: int, id_col: str) -> DataFrame:
+    """``counted`` with ``norm``, the length of each document's vector of tf * idf.
+
+    Most n-grams occur in a single document. Their part is summed up in the row, for all
+    terms as if each were one of them; only common terms are looked up, to put right theirs.
     """
-    common = (
-        tf.groupBy("term").agg(F.count("*").alias("df")).where("df > 1")
-        .withColumn("idf", _idf(F.col("df"), n_docs))
-        .hint("shuffle_hash")
+    rare = _idf(F.lit(1), n_docs)
+    total = counted.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0]
+    rows = counted.select(id_col, F.inline("terms"))
+    found = lookup_join(rows, common, ["term"], "df", total)
+    square = F.col("tf") * F.col("tf")
+    put_right = found.groupBy(id_col).agg(
+        F.sum(square * (F.col("idf") * F.col("idf") - rare * rare)).alias("_right")
     )
-    found = lookup_join(tf, common, ["term"], "df", tf.count(), "left")
-    idf = F.coalesce("idf", _idf(F.lit(1), n_docs))
-    return found.withColumn("raw", F.col("tf") * idf).drop("df", "idf")
+    squares = F.aggregate("terms", F.lit(0).cast("bigint"), lambda s, t: s + t["tf"] * t["tf"])
+    length = F.sqrt(squares * rare * rare + F.coalesce("_right", F.lit(0.0)))
+    return counted.join(put_right, id_col, "left").withColumn("norm", length).drop("_right")
 
 
 def tf_idf(
@@ -66,10 +105,15 @@ def tf_idf(
     high: int = 3,
 ) -> DataFrame:
     """(id, term, weight): tf * (ln((1 + N) / (1 + df)) + 1), scaled to unit length per document."""
-    tf = cut_lineage(term_frequencies(df, column, id_col, stop_words, low, high))
-    raw = _raw_weights(tf, df.count())
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(id_col)))
-    return raw.select(id_col, "term", (F.col("raw") / norm).alias("weight"))
+    counted = cut_lineage(term_counts(df, column, id_col, stop_words, low, high))
+    n_docs = counted.count()
+    common = cut_lineage(_common_terms(counted, n_docs))
+    normed = cut_lineage(_with_norms(counted, common, n_docs, id_col))
+    total = normed.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0]
+    rows = normed.select(id_col, "norm", F.inline("terms"))
+    idf = F.coalesce("idf", _idf(F.lit(1), n_docs))
+    found = lookup_join(rows, common, ["term"], "df", total, "left")
+    return found.select(id_col, "term", (F.col("tf") * idf / F.col("norm")).alias("weight"))
 
 
 def term_weights(
@@ -88,7 +132,7 @@ def term_weights(
     positive a score of at least 4, unless given.
 
     A term's total is its idf times the sum of tf / norm over documents, so weights of
-    single rows are never written: one pass yields the norms, a second the sums.
+    single rows are never written. What is cut from its lineage is one array per document.
     """
     negative = F.col("score") <= 2 if negative is None else negative
     positive = F.col("score") >= 4 if positive is None else positive
@@ -98,16 +142,15 @@ def term_weights(
             "pos": F.coalesce(positive, F.lit(False)),
         }
     )
-    sizes = sided.agg(
+    counted = cut_lineage(
+        term_counts(sided, column, id_col, stop_words, low, high, ("neg", "pos"))
+    )
+    sizes = counted.agg(
         F.count("*").alias("n"), F.count_if("neg").alias("n_neg"), F.count_if("pos").alias("n_pos")
     ).first()
-    tf = cut_lineage(
-        term_frequencies(sided, column, id_col, stop_words, low, high, ("neg", "pos"))
-    )
-    raw = _raw_weights(tf.select(id_col, "term", "tf"), sizes["n"])
-    norms = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    normed = _with_norms(counted, _common_terms(counted, sizes["n"]), sizes["n"], id_col)
     scaled = F.col("tf") / F.col("norm")
-    sums = tf.join(norms, id_col).groupBy("term").agg(
+    sums = normed.select("neg", "pos", "norm", F.inline("terms")).groupBy("term").agg(
         F.count("*").alias("df"),
         F.sum(scaled).alias("all"),
         F.sum(F.when(F.col("neg"), scaled)).alias("neg"),
