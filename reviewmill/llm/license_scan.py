@@ -1,8 +1,9 @@
 """Licenses: ordered signature rules behind a keyword prefilter.
 
-A rule is a regular expression with a label, a priority and keywords. A text is looked at closely
-only if it holds one of a few general keywords, and a rule runs only if the text holds all of
-the rule's. Detections are code-point intervals. One that lies inside another of the same or a
+A rule is a regular expression with a label, a priority and keywords that each of its matches holds.
+A text is looked at closely only if it holds one of a few general keywords, and a rule runs only if
+the text holds the rule's. Keywords are sought in lower case with every run of white space made one
+space, so that no match is lost to them. Detections are code-point intervals. One that lies inside another of the same or a
 higher priority is suppressed, so a full notice silences the names and fields inside it;
 equal intervals go to the higher priority, then to the earlier rule.
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +46,7 @@ class Family(NamedTuple):
     keys: str  # a text that names the family holds one of these, in lower case
     link: str = ""
     short: bool = False  # the name alone says little: a title needs the word license
+    alone: str = ""  # keys of names without the word license
 
 
 class Rule(NamedTuple):
@@ -51,7 +54,7 @@ class Rule(NamedTuple):
     form: str
     priority: int
     pattern: str
-    keywords: list[list[str]]  # of each list the text must hold one
+    keywords: list[list[str]]  # of each list every match holds one; the first opens the text
 
 
 def _version(n: str) -> str:
@@ -59,32 +62,41 @@ def _version(n: str) -> str:
     return rf",? ?(?:version |v\.? ?|-)?{major}" + (rf"(?:\.{minor})?" if minor == "0" else rf"\.{minor}")
 
 
+def _short(name: str, majors: str) -> str:
+    """Keys of a short name in front of a version; the bare letters are in many words."""
+    return "|".join(name + c for c in f" ,v-{majors}")
+
+
 def _creative(terms: str, words: str, n: str) -> Family:
     spelled = "-".join(terms.split())
     return Family(
         f"cc-{spelled}-{n}",
         rf"(?:CC[ -]{terms.replace(' ', '[ -]')}|Creative Commons {words})(?: International| Unported)?[ -]?(?:version )?{n}",
         rf"CC-{spelled}-{n}", "cc by|cc-by|creative commons", rf"creativecommons\.org/licenses/{spelled}/{n}",
+        alone="cc by|cc-by|creative commons",
     )
 
 
 FAMILIES = [
     Family("mit", "(?:MIT|Expat|X11)", "MIT", "mit|expat|x11", r"opensource\.org/licenses?/mit", True),
-    Family("mit-0", "MIT No Attribution", "MIT-0", "mit"),
+    Family("mit-0", "MIT No Attribution", "MIT-0", "mit", alone="no attribution"),
     Family("apache-2.0", f"Apache (?:Software )?Licen[cs]e{_version('2.0')}", "Apache-2\\.0", "apache",
            r"apache\.org/licenses/LICENSE-2\.0"),
     Family("apache-1.1", f"Apache (?:Software )?Licen[cs]e{_version('1.1')}", "Apache-1\\.1", "apache"),
     *[Family(f"gpl-{n}", rf"(?:(?:GNU )?General Public Licen[cs]e(?: \(GPL\))?|(?:GNU )?GPL){_version(n)}",
-             rf"GPL-?{n}(?:-only|-or-later|\+)?", "gpl|general public", rf"gnu\.org/licenses/(?:old-licenses/)?gpl-{n}")
+             rf"GPL-?{n}(?:-only|-or-later|\+)?", "gpl|general public", rf"gnu\.org/licenses/(?:old-licenses/)?gpl-{n}",
+             alone="gpl")
       for n in ("1.0", "2.0", "3.0")],
     *[Family(f"lgpl-{n}", rf"(?:(?:GNU )?(?:Lesser|Library) General Public Licen[cs]e|(?:GNU )?LGPL){_version(n)}",
-             rf"LGPL-?{n}(?:-only|-or-later|\+)?", "lgpl|general public", rf"gnu\.org/licenses/(?:old-licenses/)?lgpl-{n}")
+             rf"LGPL-?{n}(?:-only|-or-later|\+)?", "lgpl|general public", rf"gnu\.org/licenses/(?:old-licenses/)?lgpl-{n}",
+             alone="lgpl")
       for n in ("2.0", "2.1", "3.0")],
     Family("agpl-3.0", f"(?:(?:GNU )?Affero General Public Licen[cs]e|(?:GNU )?AGPL){_version('3.0')}",
-           "AGPL-?3\\.0(?:-only|-or-later|\\+)?", "agpl|affero", r"gnu\.org/licenses/agpl-3\.0"),
+           "AGPL-?3\\.0(?:-only|-or-later|\\+)?", "agpl|affero", r"gnu\.org/licenses/agpl-3\.0", alone="agpl"),
     *[Family(f"gfdl-{n}", f"(?:GNU )?Free Documentation Licen[cs]e{_version(n)}", f"GFDL-{n}", "free documentation|gfdl")
       for n in ("1.2", "1.3")],
-    *[Family(f"mpl-{n}", f"(?:Mozilla Public Licen[cs]e|MPL){_version(n)}", f"MPL-{n}", "mpl|mozilla public", rf"mozilla\.org/(?:en-US/)?MPL/{n}")
+    *[Family(f"mpl-{n}", f"(?:Mozilla Public Licen[cs]e|MPL){_version(n)}", f"MPL-{n}", _short("mpl", n[0]) + "|mozilla public", rf"mozilla\.org/(?:en-US/)?MPL/{n}",
+             alone=_short("mpl", n[0]))
       for n in ("1.1", "2.0")],
     Family("bsd-2-clause", "(?:Simplified BSD|BSD[ -]2[ -]Clause|2[ -]clause BSD)", "BSD-2-Clause", "bsd", "", True),
     Family("bsd-3-clause", "(?:New BSD|Modified BSD|BSD[ -]3[ -]Clause|3[ -]clause BSD)", "BSD-3-Clause", "bsd",
@@ -93,22 +105,24 @@ FAMILIES = [
     Family("0bsd", "(?:Zero[ -]Clause BSD|0BSD)", "0BSD", "bsd", "", True),
     Family("bsd", "BSD", "BSD", "bsd", "", True),
     Family("isc", "ISC", "ISC", "isc", r"opensource\.org/licenses?/isc", True),
-    Family("cc0-1.0", "(?:CC0|Creative Commons Zero)(?: 1\\.0)?", "CC0-1\\.0", "cc0|creative commons zero", r"creativecommons\.org/publicdomain/zero"),
+    Family("cc0-1.0", "(?:CC0|Creative Commons Zero)(?: 1\\.0)?", "CC0-1\\.0", "cc0|creative commons zero", r"creativecommons\.org/publicdomain/zero",
+           alone="cc0|creative commons zero"),
     *[_creative(t, w, n) for n in ("2.0", "3.0", "4.0") for t, w in (
         ("by", "Attribution"), ("by sa", "Attribution[ -]Share ?Alike"),
         ("by nc", "Attribution[ -]Non ?Commercial"), ("by nd", "Attribution[ -]No ?Deriv(?:ative)?s"),
         ("by nc sa", "Attribution[ -]Non ?Commercial[ -]Share ?Alike"),
         ("by nc nd", "Attribution[ -]Non ?Commercial[ -]No ?Deriv(?:ative)?s"))],
     Family("unlicense", "Unlicense", "Unlicense", "unlicense", r"unlicense\.org"),
-    Family("wtfpl", "(?:WTFPL|Do What The F\\w+ You Want To Public Licen[cs]e)", "WTFPL", "wtfpl|do what the"),
+    Family("wtfpl", "(?:WTFPL|Do What The F\\w+ You Want To Public Licen[cs]e)", "WTFPL", "wtfpl|do what the", alone="wtfpl"),
     Family("zlib", "zlib(?:/libpng)?", "Zlib", "zlib", "", True),
     Family("bsl-1.0", "Boost Software Licen[cs]e", "BSL-1\\.0", "boost|bsl-", r"boost\.org/LICENSE_1_0"),
-    *[Family(f"epl-{n}", f"(?:Eclipse Public Licen[cs]e|EPL){_version(n)}", f"EPL-{n}", "epl|eclipse public", r"eclipse\.org/legal/epl")
+    *[Family(f"epl-{n}", f"(?:Eclipse Public Licen[cs]e|EPL){_version(n)}", f"EPL-{n}", _short("epl", n[0]) + "|eclipse public", r"eclipse\.org/legal/epl",
+             alone=_short("epl", n[0]))
       for n in ("1.0", "2.0")],
     Family("edl-1.0", "Eclipse Distribution Licen[cs]e", "EDL-1\\.0", "eclipse distribution|edl-"),
-    *[Family(f"cddl-{n}", f"(?:Common Development and Distribution Licen[cs]e|CDDL){_version(n)}", f"CDDL-{n}", "cddl|common development")
+    *[Family(f"cddl-{n}", f"(?:Common Development and Distribution Licen[cs]e|CDDL){_version(n)}", f"CDDL-{n}", "cddl|common development", alone="cddl")
       for n in ("1.0", "1.1")],
-    *[Family(f"eupl-{n}", f"(?:European Union Public Licen[cs]e|EUPL){_version(n)}", f"EUPL-{n}", "eupl|european union public") for n in ("1.1", "1.2")],
+    *[Family(f"eupl-{n}", f"(?:European Union Public Licen[cs]e|EUPL){_version(n)}", f"EUPL-{n}", "eupl|european union public", alone="eupl") for n in ("1.1", "1.2")],
     *[Family(f"artistic-{n}", f"Artistic Licen[cs]e{_version(n)}", f"Artistic-{n}", "artistic") for n in ("1.0", "2.0")],
     *[Family(f"afl-{n}", f"Academic Free Licen[cs]e{_version(n)}", f"AFL-{n}", "academic free|afl-") for n in ("2.1", "3.0")],
     *[Family(f"osl-{n}", f"Open Software Licen[cs]e{_version(n)}", f"OSL-{n}", "open software|osl-") for n in ("2.1", "3.0")],
@@ -133,12 +147,12 @@ FAMILIES = [
     Family("openrail", "(?:Creative ?ML )?Open ?RAIL(?:-?[MDS]+)?", "(?:creativeml-)?openrail(?:-m|\\+\\+)?", "rail", "", True),
 ]
 
-_UNDER = (
-    r"(?:licen[cs]ed|released|distributed|published|available|provided|covered|issued|shared) "
-    r"under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?"
-)
-#: What such a notice holds: the end of its verb, and under.
-UNDER = ["d under", "e under", "d\nunder", "e\nunder"]
+VERBS = [
+    "licensed", "licenced", "released", "distributed", "published", "available", "provided", "covered", "issued", "shared",
+]
+_UNDER = rf"(?:{'|'.join(VERBS)}) (?:\w+ )?under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?"
+#: What such a notice holds beside a verb.
+UNDER = " under "
 
 #: Sentences that give a license's own text away.
 TEXTS = [
@@ -156,9 +170,9 @@ TEXTS = [
     ("zlib", "This software is provided 'as-is', without any express or implied warranty", "as-is"),
     ("bsl-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining", "organization obtaining"),
     ("proprietary", "(?:copyright|\\(c\\)|©) .{0,80}all rights reserved", "all rights reserved"),
-    ("proprietary", "(?:proprietary and confidential|unauthorized copying of this file)", "confidential"),
+    ("proprietary", "(?:proprietary and confidential|unauthorized copying of this file)", "confidential|unauthorized copying"),
     ("cc", "This work is licensed under a Creative Commons", "creative commons"),
-    ("gpl", "under the GNU (?:General Public|GPL)", "gnu"),
+    ("gpl", "under the GNU (?:General Public|GPL)", "under the gnu"),
 ]
 
 
@@ -168,13 +182,13 @@ def _spaced(pattern: str) -> str:
 
 def build_rules() -> list[Rule]:
     """All rules in their order: sentences first, then every family in every form."""
-    out = [Rule(label, "text", 4, "(?i)" + _spaced(p), [[k]]) for label, p, k in TEXTS]
+    out = [Rule(label, "text", 4, "(?i)" + _spaced(p), [k.split("|")]) for label, p, k in TEXTS]
     for f in FAMILIES:
         title = rf"(?:{f.name}) licen[cs]e" if f.short else f.name
         forms = [
             ("identifier", 4, rf"SPDX-License-Identifier:\s*(?:{f.ids})(?![\w.])", [["spdx"]]),
-            ("notice", 3, rf"{_UNDER}(?:{f.name})(?: licen[cs]e)?(?!\w)", [UNDER]),
-            ("title", 2, rf"(?<!\w)(?:{title})(?!\w)", []),
+            ("notice", 3, rf"{_UNDER}(?:{f.name})(?: licen[cs]e)?(?!\w)", [[UNDER], VERBS]),
+            ("title", 2, rf"(?<!\w)(?:{title})(?!\w)", [["licen", *filter(None, f.alone.split("|"))]]),
             ("field", 1, rf"licen[cs]e\s*[:=]\s*[\"']?(?:{f.ids})(?![\w.])", [["licen"]]),
         ]
         for form, priority, pattern, keys in forms:
@@ -187,13 +201,9 @@ def build_rules() -> list[Rule]:
 
 
 RULES = build_rules()
-#: A text without any of these is not looked at closely.
-GENERAL = [
-    "licen", "spdx", "public domain", "creative", "permission", "redistribution", "free software", "rights reserved",
-    "advertising materials", "neither the name", "unencumbered", "confidential", "unauthorized copying", ".org/", "gpl",
-    "cc by", "cc-by", "cc0", "mpl 1", "mpl 2", "mpl-1", "mpl-2", "epl 1", "epl 2", "epl-1", "epl-2", "eupl", "cddl",
-    "wtfpl", "openrail", "open rail", *UNDER,
-]
+_FIRST = {k for r in RULES for k in r.keywords[0]}
+#: A text without any of these holds no match of any rule.
+GENERAL = sorted(k for k in _FIRST if not any(o != k and o in k for o in _FIRST))
 KEYS = sorted({k for r in RULES for keys in r.keywords for k in keys})
 _RULE = "struct<label:string,priority:int,pattern:string,keywords:array<array<string>>,at:int>"
 
@@ -271,10 +281,13 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES, out: str = "licenses", text
     """``docs`` with a struct ``out``: n_words, base (spans), found (detections that stand)."""
     given = docs.columns
     body, low, base = fresh(docs, "_body", "_low", "_base")
-    rows = docs.withColumn(body, whole_text(text)).withColumn(low, F.lower(body))
-    general = F.lit(False)
-    for k in GENERAL:
-        general = general | F.contains(F.col(low), F.lit(k))
+    rows = docs.withColumn(body, whole_text(text))
+    rows = rows.withColumn(low, F.regexp_replace(F.lower(body), r"[^\S ]\s*| \s+", " "))
+
+    def holds(words):
+        return reduce(lambda a, b: a | b, [F.contains(F.col(low), F.lit(k)) for k in words])
+
+    general = holds([k for k in GENERAL if k != UNDER]) | (holds([UNDER]) & holds(VERBS))
     rows = rows.withColumn(base, _base_spans(F.col(body)))
     none = F.array().cast(f"array<{DETECTION}>")
     found = F.when(general, _unsuppressed(_detections(F.col(body), F.col(low), _rule_table(rules)))).otherwise(none)

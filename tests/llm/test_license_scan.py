@@ -1,5 +1,6 @@
 """License scan: base phrases, keyword gates and suppression against brute force."""
 
+import random
 import re
 
 import pytest
@@ -92,3 +93,53 @@ def test_odd_rows(odd, none):
     assert out.columns == [*odd.columns, "lic"] and out.count() == odd.count()
     assert all(r["lic"]["n_words"] == brute_base(r["text"])[0] for r in out.collect())
     assert ls.scan(none, out="lic").collect() == []
+
+
+def ungated(text):
+    """All rules on the text, without any keyword."""
+    found = sorted(
+        (m.start(), -m.end(), -r.priority, i, r.label)
+        for i, r in enumerate(ls.RULES) for m in re.finditer(r.pattern, text, re.ASCII)
+    )
+    return [d for d in found if not any(o < d and o[0] <= d[0] and o[1] <= d[1] and o[2] <= d[2] for o in found)]
+
+
+def example(tree, rng):
+    """A random text that the parsed pattern matches."""
+    out = ""
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            out += rng.choice([chr(arg).lower(), chr(arg).upper()]) if chr(arg).isascii() else chr(arg)
+        elif op == "ANY":
+            out += "x"
+        elif op == "IN":
+            kind, value = rng.choice(arg)
+            one = {"CATEGORY_SPACE": rng.choice(" \t\n\r"), "CATEGORY_WORD": "w"}.get(str(value))
+            out += one or chr(value[0] if str(kind) == "RANGE" else value)
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, high, inner = arg
+            out += "".join(example(inner, rng) for _ in range(rng.randint(low, min(high, low + 2))))
+        elif op == "SUBPATTERN":
+            out += example(arg[3], rng)
+        elif op == "BRANCH":
+            out += example(rng.choice(arg[1]), rng)
+        else:
+            assert op in ("ASSERT", "ASSERT_NOT"), op
+    return out
+
+
+def test_no_match_is_lost_to_a_keyword(spark):
+    told = [
+        "uses MPL v2.0", "MPLv2.0", "MPL version 2.0", "EPL v1.0", "MIT No Attribution", "licensed only under MIT",
+        "distributed solely under MIT", "Unauthorized copying of this file", "released under\tMIT",
+        "provided 'as-is', without any express or implied warranty", "This software is provided 'as-is', without any express or implied warranty",
+        "released  under the\r\n MIT", "GNU General\n  Public License v2", "CC\tBY 4.0", "all rights\nreserved, (c) us, all  rights\treserved",
+    ]
+    rng = random.Random(5)
+    made = [example(re._parser.parse(r.pattern), rng) for r in ls.RULES for _ in range(4)]
+    texts = [f"{before}{t}{after}" for t in [*told, *made] for before, after in [("", ""), ("prose ", " more.")]]
+    rows = ls.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()
+    for r in rows:
+        assert [tuple(d) for d in r["licenses"]["found"]] == ungated(r["text"]), r["text"]
+    assert sum(bool(r["licenses"]["found"]) for r in rows) > 0.9 * len(rows)
