@@ -223,18 +223,18 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def takes(docs: DataFrame, weights: list[int] = WEIGHTS) -> DataFrame:
-    """Per document: doc_id, size, source_size, target and copies, the times the mix takes it."""
+    """Per document: doc_id, size, source_size, target and copies, the times the mix is to take it.
+
+    From the block sums alone, without a mix; ``counted`` counts in the mix itself.
+    """
     rows = cut_lineage(_measured(docs))
     sources = cut_lineage(source_targets(rows, weights))
     placed = _place(rows, sources).withColumn("_id", F.col("doc_id"))
     return _copies(placed, cut_lineage(_last_pass(placed)))
 
 
-def mix(docs: DataFrame, weights: list[int] = WEIGHTS, shards: int = SHARDS) -> DataFrame:
-    """The mix itself: ``docs``, each row once per copy, by shard and locally shuffled."""
-    rows = cut_lineage(_measured(docs))
-    sources = cut_lineage(source_targets(rows, weights))
-    placed = _place(rows, sources)
+def _dealt(docs: DataFrame, placed: DataFrame, sources: DataFrame, shards: int) -> DataFrame:
+    """``docs``, each row once per copy, by shard and locally shuffled, from their measured rows."""
     last = cut_lineage(_last_pass(placed))
     plan = cut_lineage(mixing_plan(placed, last, shards))
     # The same expressions on the whole rows: no row needs an identity to be found again.
@@ -251,6 +251,39 @@ def mix(docs: DataFrame, weights: list[int] = WEIGHTS, shards: int = SHARDS) ->
     return out.select("_doc.*")
 
 
+def mix(docs: DataFrame, weights: list[int] = WEIGHTS, shards: int = SHARDS) -> DataFrame:
+    """The mix itself: ``docs``, each row once per copy, by shard and locally shuffled."""
+    rows = cut_lineage(_measured(docs))
+    sources = cut_lineage(source_targets(rows, weights))
+    return _dealt(docs, _place(rows, sources), sources, shards)
+
+
+def counted(docs: DataFrame, weights: list[int] = WEIGHTS, shards: int = SHARDS) -> DataFrame:
+    """Per document: doc_id, size, source_size, target and copies, counted in the finished mix.
+
+    Rows equal in id, source and text are interchangeable and share their copies out. A row of the
+    mix that is no document's shows up with a null target.
+    """
+    rows = cut_lineage(_measured(docs))
+    sources = cut_lineage(source_targets(rows, weights))
+    placed = _place(rows, sources)
+    mixed = cut_lineage(_dealt(docs, placed, sources, shards))
+    key = ["doc_id", "source", "size", "u"]
+    given = placed.select(*key, "source_size", "target", F.lit(1).alias("rows"), F.lit(0).alias("drawn"))
+    drawn = _measured(mixed).withColumns({
+        "source_size": F.lit(None).cast("long"), "target": F.lit(None).cast("double"),
+        "rows": F.lit(0), "drawn": F.lit(1),
+    })
+    both = given.unionByName(drawn).groupBy(*key).agg(
+        F.max("source_size").alias("source_size"), F.max("target").alias("target"),
+        F.sum("rows").alias("rows"), F.sum("drawn").alias("drawn"),
+    )
+    n = F.greatest(F.col("rows"), F.lit(1))
+    each = both.withColumn("n", n).withColumn("at", F.explode(F.sequence(F.lit(1).cast("long"), n)))
+    copies = F.expr("drawn div n") + (F.col("at") <= F.col("drawn") % F.col("n")).cast("long")
+    return each.select("doc_id", "size", "source_size", "target", copies.alias("copies"))
+
+
 _TWIN = f"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
@@ -289,7 +322,7 @@ FROM t"""
 
 @query(_TWIN)
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taken = takes(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    taken = counted(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return taken.select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
     )

@@ -106,3 +106,18 @@ def test_odd_rows(odd, none):
 def test_shards_are_a_power_of_two(spark):
     with pytest.raises(ValueError):
         mx.split_quotas(spark.createDataFrame([(0, 1)], "rank int, quota long"), 3)
+
+
+def test_the_query_counts_in_the_finished_mix(spark, monkeypatch, tmp_path, many, odd):
+    def rows(df):
+        return Counter((r["doc_id"], r["size"], r["source_size"], r["target"], r["copies"]) for r in df.collect())
+
+    assert rows(mx.counted(many, shards=8)) == rows(mx.takes(many))
+    assert rows(mx.counted(odd, shards=4)) == rows(mx.takes(odd))
+    many.write.parquet(f"{tmp_path}/documents.parquet")
+    whole = Counter({r["doc_id"]: r["taken"] for r in mx.op3_mix_sources(spark, str(tmp_path)).collect()})
+    # A plan that loses one block draw of the tree shows in the query.
+    plan = mx.mixing_plan
+    monkeypatch.setattr(mx, "mixing_plan", lambda *a: plan(*a).where("not (rank = 0 and block = 0 and copy = 0)"))
+    less = Counter({r["doc_id"]: r["taken"] for r in mx.op3_mix_sources(spark, str(tmp_path)).collect()})
+    assert set(less) == set(whole) and sum(less.values()) < sum(whole.values())
