@@ -2,7 +2,7 @@
 
 Every page is read once into text blocks, each with the hashes of the element subtrees that
 enclose it and could belong to a template. Spark counts per host on how many different pages a
-subtree occurs; one that recurs on many is the site's, and the blocks inside it go. Elements
+subtree occurs; one that recurs on ``MIN_PAGES`` or more is the site's, however large the host is, and the blocks inside it go. Elements
 that never belong to an article (menus, footers, side bars, forms, scripts, marked adverts,
 notices and comments) are left out while reading. Where a page marks its article, only that
 is read, and inside it only boxes such as div or section can be templates: a paragraph that many
@@ -30,7 +30,6 @@ from .common import fresh, query, table, whole_text
 from .html_tree import read_page
 
 MIN_PAGES = 5  # different pages of a host on which a template occurs, at least
-MIN_SHARE = 0.1  # and the share of the host's different pages
 BLOCKS = "page_hash long, blocks array<struct<text:string,path:array<long>>>"
 
 
@@ -53,9 +52,8 @@ def site_templates(read: DataFrame) -> DataFrame:
     """(host, subtree) of all templates among read pages (host, page_hash, blocks)."""
     paths = F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["path"])))
     found = read.select("host", "page_hash", F.explode(paths).alias("subtree")).distinct()
-    pages = read.select("host", "page_hash").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    n = found.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
-    return n.join(pages, "host").where(F.col("n") >= MIN_SHARE * F.col("pages")).select("host", "subtree")
+    n = found.groupBy("host", "subtree").agg(F.count("*").alias("n"))
+    return n.where(F.col("n") >= MIN_PAGES).select("host", "subtree")
 
 
 def extract_main_text(pages: DataFrame, out: str = "text", html: str = "html", url: str = "url") -> DataFrame:

@@ -63,3 +63,12 @@ def test_odd_rows(spark):
     texts = sorted(r["text"] for r in out.collect())
     assert texts == ["", "", "", ("long words " * 50_000).strip(), "t"]
     assert tp.extract_main_text(df.limit(0)).collect() == []
+
+
+def test_a_box_on_many_pages_goes_whatever_the_size_of_the_host(spark):
+    # 200 pages; 20 adverts in turn, each on 10 different pages, and one box on fewer than MIN_PAGES.
+    rows = [(i, f"http://big.example/{i}", f"<div><p>Buy product {'abcdefghijklmnopqrst'[i % 20]} today</p></div><p>Text number {'x' * i}.</p>") for i in range(200)]
+    rows += [(200 + i, f"http://big.example/{i}", f"<div><p>A rare box</p></div><p>Other {'y' * i}.</p>") for i in range(tp.MIN_PAGES - 1)]
+    got = {r["page_id"]: r["text"] for r in tp.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Text number {'x' * i}." for i in range(200))
+    assert all(got[200 + i] == f"A rare box Other {'y' * i}." for i in range(tp.MIN_PAGES - 1))
