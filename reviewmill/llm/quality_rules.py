@@ -7,12 +7,14 @@ Mahalanobis distance from it are rejected, as are texts that fail two fixed rule
 The estimate covers all rows. Concentration steps run in Spark: distances are computed in the
 scan, rows are summed up per group and distance bin, and the bins that hold the nearest
 ``SUPPORT`` of a group give the next centre and covariance. A group's rows never meet in one task;
-only its bins do.
+only its bins do. Equal texts of a group weigh once in the estimate, so that copies of an odd text
+do not pull it to themselves; of different texts, fewer than half can be odd. There is one start and a
+fixed number of steps: no determinants are compared.
 
 Defined results: null or empty text has no words and fails the base rule. Null language or
-source is a value of its own. Groups of fewer than ``MIN_GROUP`` judged rows are pooled by
+source is a value of its own. Groups of fewer than ``MIN_GROUP`` different texts are pooled by
 language, then over all; a pool that is still too small judges nobody. Repeated rows are
-judged each, and count each.
+judged each, and count once.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -32,7 +35,7 @@ from .common import fresh, query, table, whole_text
 
 MIN_WORDS = 50
 MAX_REPEAT_SHARE = 50  # percent of the words
-SUPPORT = 0.75  # share of a group's rows that the estimate rests on
+SUPPORT = 0.5  # share of a group's different texts that the estimate rests on
 MIN_GROUP = 200
 STEPS = 3
 CUTOFF = 60.0  # squared Mahalanobis distance; 0.9999 quantile of chi-square(6) is 27.9
@@ -122,7 +125,7 @@ _PARAMS = "cell string, " + ", ".join(
 
 def _chi2(share: float) -> float:
     """Quantile of chi-square with DIMS degrees of freedom (Wilson-Hilferty)."""
-    z = {0.75: 0.6744897501960817}[share]
+    z = NormalDist().inv_cdf(share)
     return DIMS * (1 - 2 / (9 * DIMS) + z * (2 / (9 * DIMS)) ** 0.5) ** 3
 
 
@@ -158,7 +161,7 @@ def _concentrate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _cells(stats: DataFrame) -> DataFrame:
-    """(lang, source) -> the pool it is judged in. One row per pair; counted over all rows."""
+    """(lang, source) -> the pool it is judged in. One row per pair; counted over different texts."""
     key = lambda *c: F.to_json(F.struct(*c))  # noqa: E731  a null field is left out
     n = stats.groupBy("lang", "source").agg(F.count("*").alias("n"))
     n = n.withColumns({"own": key("lang", "source"), "shared": key("lang")})
@@ -206,14 +209,16 @@ def _nearest(rows: DataFrame, params: DataFrame) -> DataFrame:
 def fit_bulk(stats: DataFrame) -> DataFrame:
     """MCD centre and inverse covariance per (lang, source).
 
-    ``stats`` has lang, source and the struct ``stats``; rows that fail the base rules do not
-    count. One row per pair of language and source that can be judged.
+    ``stats`` has lang, source, text_hash and the struct ``stats``; rows that fail the base rules do
+    not count. One row per pair of language and source that can be judged.
     """
     s = F.col("stats")
-    judged = stats.where(~base_failed(s)).select("lang", "source", *_vector(s))
+    judged = stats.where(~base_failed(s)).select("lang", "source", "text_hash", *_vector(s))
+    judged = cut_lineage(judged.distinct())
     cells = cut_lineage(_cells(judged))
     same = lambda a, b: a["lang"].eqNullSafe(b["lang"]) & a["source"].eqNullSafe(b["source"])
-    rows = judged.join(cells, same(judged, cells)).select("cell", *X)
+    # Pools of several sources hold a text once, too.
+    rows = cut_lineage(judged.join(cells, same(judged, cells)).select("cell", "text_hash", *X).distinct())
     size = rows.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_GROUP)
     start = _quartiles(rows).join(size.select("cell"), "cell")
     params = cut_lineage(start.mapInPandas(_start, _PARAMS))
@@ -229,13 +234,13 @@ def measure(docs: DataFrame, out: str, text: str = "text") -> DataFrame:
 def judge(docs: DataFrame, out: str = "rules") -> DataFrame:
     """``docs`` (lang, source, text and any others) with a struct column ``out``: the statistics,
     base_failed, distance (null where not judged) and kept."""
-    (stats,) = fresh(docs, "stats")
-    measured = cut_lineage(measure(docs, stats))
-    return _judged(measured, stats, out)
+    stats, digest = fresh(docs, "stats", "text_hash")
+    measured = cut_lineage(measure(docs, stats).withColumn(digest, F.xxhash64(whole_text())))
+    return _judged(measured, stats, digest, out)
 
 
-def _judged(measured: DataFrame, stats: str, out: str) -> DataFrame:
-    bulk = fit_bulk(measured.select("lang", "source", F.col(stats).alias("stats")))
+def _judged(measured: DataFrame, stats: str, digest: str, out: str) -> DataFrame:
+    bulk = fit_bulk(measured.select("lang", "source", F.col(digest).alias("text_hash"), F.col(stats).alias("stats")))
     names = [c for c in bulk.columns if c not in ("lang", "source")]
     lang, source, fitted = fresh(measured, "_lang", "_source", "_bulk")
     bulk = bulk.select(F.col("lang").alias(lang), F.col("source").alias(source), F.struct(*names).alias(fitted))
@@ -255,14 +260,14 @@ def _judged(measured: DataFrame, stats: str, out: str) -> DataFrame:
         d2.alias("distance"),
         (~failed & (F.coalesce(d2, F.lit(0.0)) <= CUTOFF)).alias("kept"),
     )
-    return joined.select(*[F.col(f"`{c}`") for c in measured.columns if c != stats], verdict.alias(out))
+    return joined.select(*[F.col(f"`{c}`") for c in measured.columns if c not in (stats, digest)], verdict.alias(out))
 
 
 @query()
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
-    measured = cut_lineage(measure(docs, "stats").drop("text"))
-    r = _judged(measured, "stats", "rules")
+    measured = measure(docs, "stats").withColumn("text_hash", F.xxhash64(whole_text()))
+    r = _judged(cut_lineage(measured.drop("text")), "stats", "text_hash", "rules")
     return r.select(
         "doc_id", "rules.n_words", "rules.word_chars", "rules.n_symbols", "rules.n_dup_lines",
         "rules.n_repeat_words", "rules.base_failed", "rules.kept", "rules.distance",

@@ -116,3 +116,19 @@ def test_odd_rows(odd, none):
         assert r["verdict"]["base_failed"] == (n < 50 or 100 * repeated > 50 * n)
         assert r["verdict"]["kept"] == (not r["verdict"]["base_failed"])
     assert qr.judge(none, "verdict").collect() == []
+
+
+@pytest.mark.parametrize("copies", [True, False])
+def test_a_third_of_odd_texts_does_not_pull_the_estimate(spark, copies):
+    rng = random.Random(3)
+    odd = prose(rng, 80, True)
+    rows = [(i, prose(rng, rng.randint(55, 200)), "en", "s") for i in range(600)]
+    rows += [(1000 + i, odd if copies else prose(rng, 80, True), "en", "s") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"]: r["rules"]["kept"] for r in qr.judge(df).collect()}
+    assert all(kept[d] == (d < 1000) for d in kept)
+    distance = {r["doc_id"]: r["rules"]["distance"] for r in qr.judge(df).collect()}
+    # The others are judged as without the odd texts, where those are copies of one.
+    if copies:
+        alone = qr.judge(df.where("doc_id < 1000")).collect()
+        assert all(distance[r["doc_id"]] == pytest.approx(r["rules"]["distance"], rel=0.2, abs=0.1) for r in alone)
