@@ -368,14 +368,16 @@ SELECT doc_id AS review_id, CASE quality WHEN 0 THEN 'ABSENT' ELSE 'NEG' END AS
         "SELECT CASE WHEN taken THEN 'valid' ELSE 'train' END, 'TOXIC', TOXIC, count(*) FROM split GROUP BY ALL",
     )
     out["build_splits"] = _q(
-        [*_GOLD, "answers"],
+        [*_GOLD, "answers", "normalized"],
         "SELECT review_id, CASE WHEN taken THEN 'valid' ELSE 'train' END AS split, "
         "CAST(LOW_QUALITY = 'NEG' AS BIGINT) AS LOW_QUALITY, CAST(TOXIC = 'NEG' AS BIGINT) AS TOXIC "
         "FROM pool_split UNION ALL SELECT review_id, 'test', CAST(LOW_QUALITY = 'NEG' AS BIGINT), "
         "CAST(TOXIC = 'NEG' AS BIGINT) FROM gold_reviews WHERE score = 5",
         {
             "pool": "SELECT review_id, LOW_QUALITY_pred AS LOW_QUALITY, TOXIC_pred AS TOXIC FROM answers "
-            "JOIN reviews USING (review_id) WHERE score < 5 AND LOW_QUALITY_pred <> 'ERROR' AND TOXIC_pred <> 'ERROR'",
+            "JOIN reviews USING (review_id) WHERE score < 5 AND LOW_QUALITY_pred <> 'ERROR' AND TOXIC_pred <> 'ERROR' "
+            "AND review_id NOT IN (SELECT review_id FROM normalized WHERE content IN (SELECT n.content "
+            "FROM normalized n JOIN gold_reviews g USING (review_id) WHERE g.score = 5))",
             "pool_split": _sample("pool", "LOW_QUALITY, TOXIC", "floor(0.2E0 * {n} + 0.5)", 12),
         },
     )
