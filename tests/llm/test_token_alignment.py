@@ -117,3 +117,17 @@ def test_highest_keeps_ties():
 
 def test_files_are_public_vocabularies():
     assert all(Path(p).is_file() for p in (ta.BYTE_BPE, ta.PIECE_BPE))
+
+
+def test_quick_encoder_gives_the_same_ids():
+    import duckdb
+
+    aligner = ta.Aligner(Path(ta.BYTE_BPE).read_text("utf-8"), Path(ta.PIECE_BPE).read_bytes())
+    rng = random.Random(9)
+    below = [chr(c) for c in range(1, ord(ta.LATIN))]
+    texts = ["".join(rng.choices(below, k=rng.randrange(1, 60))) for _ in range(3000)]
+    texts += [f"{a}{c}{b}" for c in below for a, b in (("x", "y"), (" ", " "), ("1", "\n"), ("'s", " !"))]
+    texts += [t for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    spaced = [" " + t for t in texts]
+    want = [e.ids for e in aligner.a.encode_batch_fast(spaced, add_special_tokens=False)]
+    assert aligner.quick is not None and aligner._byte_bpe(spaced) == want
