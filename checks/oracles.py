@@ -5,7 +5,7 @@ from __future__ import annotations
 from reviewmill.constants import STOP_WORDS
 from reviewmill.functions.minhash import BASE, PRIME, band_layout, permutations
 
-from .views import SQL
+from .views import CATEGORIES, SQL, TEN_LABELS, flag_sql
 
 _WS = (
     r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}"
@@ -225,6 +225,35 @@ def _q(names: list[str], select: str, extra: dict[str, str] | None = None) -> st
     )
 
 
+def _iterative_sizes() -> dict[str, str]:
+    """CTEs up to ``sizes`` (mask, v): one step per label, the one with the fewest open rows each time."""
+    bits = [f"CASE WHEN {c} = 'NEG' THEN {1 << i} ELSE 0 END" for i, c in enumerate(CATEGORIES)]
+    bits += [f"CASE WHEN {flag_sql(c)} THEN {1 << i} ELSE 0 END" for i, c in enumerate(TEN_LABELS) if c not in CATEGORIES]
+    out = {
+        "masks": f"SELECT review_id, {' + '.join(bits)} AS mask FROM gold_reviews",
+        "t0": "SELECT mask, count(*) AS n, CAST(NULL AS BIGINT) AS v FROM masks GROUP BY mask",
+    }
+    k = len(TEN_LABELS)
+    for i in range(k):
+        out[f"p{i}"] = (
+            "SELECT l, left_n, greatest(0, least(left_n, CAST(floor(0.2E0 * n + 0.5) AS BIGINT) - got)) AS need FROM "
+            "(SELECT l, sum(n) AS n, coalesce(sum(n) FILTER (WHERE v IS NULL), 0) AS left_n, coalesce(sum(v), 0) AS got "
+            f"FROM t{i}, (SELECT unnest(range({k})) AS l) WHERE (mask >> l) & 1 = 1 GROUP BY l) WHERE left_n > 0 "
+            "ORDER BY left_n, l LIMIT 1"
+        )
+        out[f"m{i}"] = f"SELECT mask, n, v, left_n, need, v IS NULL AND l IS NOT NULL AND (mask >> l) & 1 = 1 AS now FROM t{i} LEFT JOIN p{i} ON true"
+        out[f"t{i + 1}"] = (
+            "SELECT mask, n, CASE WHEN NOT now THEN v ELSE need * n // left_n + CAST(row_number() OVER "
+            "(PARTITION BY now ORDER BY need * n % left_n DESC, mask) <= need - sum(need * n // left_n) OVER "
+            f"(PARTITION BY now) AS BIGINT) END AS v FROM m{i}"
+        )
+    out["sizes"] = (
+        f"SELECT mask, CASE WHEN mask > 0 THEN v ELSE greatest(0, least(n, CAST(floor(0.2E0 * (SELECT sum(n) FROM t{k}) + 0.5) "
+        f"AS BIGINT) - (SELECT coalesce(sum(v), 0) FROM t{k}))) END AS v FROM t{k}"
+    )
+    return out
+
+
 _TRIAGE = """
 SELECT review_id, content,
   CASE WHEN p1 >= 0.5 THEN 'NEG' ELSE 'ABSENT' END AS low_quality_label,
@@ -300,6 +329,28 @@ SELECT doc_id AS review_id, text AS content, CASE WHEN lang = 'en' THEN text ELS
         "SELECT c.review_id, c.content FROM cleaned c JOIN keepers USING (review_id)", _VERIFIED_CTE,
     )
 
+    alike = [*_CLEAN, "chars", "shingles", "sets"]
+    classes = {
+        "classes": "SELECT review_id, items, min(review_id) OVER (PARTITION BY list_sort(items)) AS class_id FROM sets",
+        "firsts": "SELECT review_id AS id, items, len(items) AS n FROM classes WHERE review_id = class_id",
+        "compared": "SELECT a.id AS class_id, b.id AS similar_id, len(list_intersect(a.items, b.items)) AS c, "
+        "a.n + b.n AS n FROM firsts a JOIN firsts b ON a.id < b.id "
+        "AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) AND a.n > 0",
+        "pairs": "SELECT class_id, similar_id, round(c * 1.0E0 / (n - c), 8) AS jaccard FROM compared "
+        "WHERE 100 * c >= 85 * (n - c)",
+    }
+    out["similar_classes"] = _q(alike, "SELECT review_id, class_id FROM classes", classes)
+    out["similar_pairs"] = _q(alike, "SELECT * FROM pairs", classes)
+    out["similar_lookup"] = _q(
+        alike,
+        "SELECT review_id, class_id, 1.0E0 AS jaccard FROM classes WHERE review_id % 100 = 0 UNION ALL "
+        "SELECT c.review_id, p.similar_id, p.jaccard FROM classes c JOIN pairs p USING (class_id) "
+        "WHERE c.review_id % 100 = 0 UNION ALL "
+        "SELECT c.review_id, p.class_id, p.jaccard FROM classes c JOIN pairs p ON p.similar_id = c.class_id "
+        "WHERE c.review_id % 100 = 0",
+        classes,
+    )
+
     # counts
     out["value_counts"] = _q(_REVIEW, "SELECT user_name, count(*) AS n FROM reviews GROUP BY user_name")
     out["composition"] = _q(
@@ -361,6 +412,12 @@ SELECT doc_id AS review_id, CASE quality WHEN 0 THEN 'ABSENT' ELSE 'NEG' END AS
         [*_GOLD, "split"],
         "SELECT review_id, LOW_QUALITY, TOXIC, CASE WHEN taken THEN 'valid' ELSE 'train' END AS split FROM split",
     )
+    out["multilabel_split_iterative"] = _q(
+        [*_GOLD],
+        "SELECT review_id, CASE WHEN row_number() OVER (PARTITION BY mask ORDER BY md5(concat('12:', review_id)), review_id) "
+        "<= v THEN 'valid' ELSE 'train' END AS split FROM masks JOIN sizes USING (mask)",
+        _iterative_sizes(),
+    )
     out["label_rates"] = _q(
         [*_GOLD, "split"],
         "SELECT CASE WHEN taken THEN 'valid' ELSE 'train' END AS split, 'LOW_QUALITY' AS category, "

@@ -20,6 +20,7 @@ from reviewmill.operators import (
     metrics,
     sampling,
     scoring,
+    similarity,
     terms,
     validation,
 )
@@ -204,6 +205,27 @@ def near_dup_matches(spark, sf):
     return found.withColumn("jaccard", F.round("jaccard", 8))
 
 
+@query
+def similar_classes(spark, sf):
+    members, _ = similarity.similar_pairs(_cleaned(spark, sf))
+    return members
+
+
+@query
+def similar_pairs(spark, sf):
+    _, pairs = similarity.similar_pairs(_cleaned(spark, sf))
+    return pairs.withColumn("jaccard", F.round("jaccard", 8))
+
+
+@query
+def similar_lookup(spark, sf):
+    """Every hundredth review against all."""
+    rows = _cleaned(spark, sf)
+    members, pairs = similarity.similar_pairs(rows)
+    found = similarity.similar_to(rows.where("review_id % 100 = 0"), members, pairs)
+    return found.withColumn("jaccard", F.round("jaccard", 8))
+
+
 @query
 def clean_reviews(spark, sf):
     return (
@@ -307,6 +329,14 @@ def multilabel_split(spark, sf):
     return split.select("review_id", *CATEGORIES, "split")
 
 
+@query
+def multilabel_split_iterative(spark, sf):
+    """Ten categories, so that most label combinations have few rows."""
+    rows = views.ten_labels(view(spark, sf, "gold_reviews"))
+    split = sampling.iterative_multilabel_split(rows, views.TEN_LABELS)
+    return split.select("review_id", "split")
+
+
 @query
 def label_rates(spark, sf):
     split = sampling.multilabel_split(view(spark, sf, "gold_reviews"), CATEGORIES)

@@ -82,6 +82,23 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Eight more categories: by arithmetic on the id, from every 40th row to every second one.
+_FLAGS = {f"FLAG_{i}": (7 * i + 3, 2 + 5 * i) for i in range(8)}
+TEN_LABELS = [*CATEGORIES, *_FLAGS]
+
+
+def flag_sql(name: str) -> str:
+    factor, rate = _FLAGS[name]
+    return f"(review_id * {factor} + review_id // 7) % 97 < {rate}"
+
+
+def ten_labels(gold: DataFrame) -> DataFrame:
+    flags = {
+        c: F.when(F.expr(flag_sql(c).replace("//", "div")), F.lit("NEG")).otherwise(F.lit("ABSENT")) for c in _FLAGS
+    }
+    return gold.withColumns(flags)
+
+
 # --- deterministic stand-ins for a neural model and a labelling service --------------
 
 def load_length_model():

@@ -17,7 +17,6 @@ PAD_ID = 0
 UNKNOWN_ID = 1
 FIRST_WORD_ID = 2
 MAX_VOCABULARY = 200_000
-SLOTS = 1 << 15
 
 
 def build_vocabulary(
@@ -39,25 +38,6 @@ def build_vocabulary(
     return top.select("token", (rank - 1 + FIRST_WORD_ID).alias("token_id"))
 
 
-def _slot(token) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(SLOTS)).cast("int")
-
-
-def _hash_table(vocabulary: DataFrame) -> DataFrame:
-    """One row with ``_ids``: the vocabulary as an array of small maps by hash slot.
-
-    Spark searches a map from its beginning, so one map of all words would cost a pass over
-    the vocabulary per token.
-    """
-    filled = vocabulary.groupBy(_slot(F.col("token")).alias("slot")).agg(
-        F.map_from_entries(F.collect_list(F.struct("token", "token_id"))).alias("ids")
-    )
-    slots = vocabulary.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot"))
-    by_slot = slots.join(filled, "slot", "left").orderBy("slot").coalesce(1)
-    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
-    return by_slot.agg(F.collect_list(F.coalesce("ids", none)).alias("_ids"))
-
-
 def fixed_length_rows(
     df: DataFrame,
     vocabulary: DataFrame,
@@ -68,19 +48,23 @@ def fixed_length_rows(
 ) -> DataFrame:
     """(id, input_ids, attention_mask, labels): arrays of ``length``, cut or padded.
 
-    ``vocabulary`` (token, token_id) has a bounded size, at most ``MAX_VOCABULARY`` words; it goes
-    along as one row, and ids are looked up in the row: nothing is exploded or shuffled.
+    ``vocabulary`` (token, token_id) has a bounded size, at most ``MAX_VOCABULARY`` words, so it is broadcast.
+    The first ``length`` words of a row, no more, are looked up one by one and put together again by place;
+    texts do not move. The id must be unique.
     """
     words = vocabulary.count()
     if words > MAX_VOCABULARY:
         raise ValueError(f"a vocabulary of {words} words exceeds {MAX_VOCABULARY}")
-    lookup = _hash_table(vocabulary)
     tokens = F.slice(tx.word_tokens(tx.null_to_empty(column)), 1, length)
     labels = F.array(*[F.col(c).cast("float") for c in categories])
-    placed = df.select(id_col, labels.alias("labels"), tokens.alias("_tokens")).join(F.broadcast(lookup))
-    found = lambda t: F.try_element_at(F.get("_ids", _slot(t)), t)
-    ids = F.transform("_tokens", lambda t: F.coalesce(found(t), F.lit(UNKNOWN_ID)))
-    rows = placed.select(id_col, "labels", ids.alias("ids"))
+    # The words are a column of their own before they are exploded, so that they are extracted once.
+    cut = df.select(id_col, labels.alias("labels"), tokens.alias("_tokens"))
+    words_ = cut.select(id_col, "labels", F.posexplode_outer("_tokens").alias("_place", "token"))
+    placed = words_.join(F.broadcast(vocabulary.select("token", "token_id")), "token", "left")
+    known = F.when(F.col("token").isNotNull(), F.coalesce("token_id", F.lit(UNKNOWN_ID)).cast("int"))
+    entry = F.when(known.isNotNull(), F.struct("_place", known.alias("i")))
+    grouped = placed.groupBy(id_col).agg(F.first("labels").alias("labels"), F.sort_array(F.collect_list(entry)).alias("_ids"))
+    rows = grouped.select(id_col, "labels", F.col("_ids.i").alias("ids"))
     missing = F.lit(length) - F.size("ids")
     return rows.select(
         id_col,

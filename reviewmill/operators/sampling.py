@@ -7,17 +7,19 @@ cut is found on a histogram of the hash and only rows in the cut's own bin are r
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import CHUNK_SIZE, FEW_SHOT_COUNT, GOLDEN_COUNT, SAMPLE_SEED, VALID_SIZE
+from ..constants import CHUNK_SIZE, FEW_SHOT_COUNT, GOLDEN_COUNT, NEG, SAMPLE_SEED, VALID_SIZE
 from ..functions.text import normalize_text
 from ..session import cut_lineage
 from .joins import lookup_join
 
 _HEX_DIGITS = 4  # 16 ** 4 histogram bins per stratum
+MAX_LABELS = 16  # of an iterative split
 
 
 def sample_order(seed: int, id_col: str = "review_id") -> Column:
@@ -37,13 +39,14 @@ def half_up_size(fraction: float) -> Callable[[Column], Column]:
 def mark_sample(
     df: DataFrame,
     strata: list[str],
-    size: Callable[[Column], Column],
+    size: Callable[[Column], Column] | DataFrame,
     seed: int,
     id_col: str = "review_id",
 ) -> DataFrame:
     """``df`` with a boolean ``taken``: exactly ``size(count)`` rows of each stratum.
 
-    Rows with a null stratum belong to no stratum and are dropped.
+    ``size`` may also be a small table of the strata and their ``_size``. Rows with a null stratum belong to
+    no stratum and are dropped.
     """
     for s in strata:
         df = df.where(F.col(s).isNotNull())
@@ -55,12 +58,16 @@ def mark_sample(
         hashed = hashed.withColumn("_all", F.lit(0))
 
     stratum = Window.partitionBy(*strata_cols)
+    bins = hashed.groupBy(*strata_cols, "_bin").agg(F.count("*").alias("_n"))
+    if isinstance(size, DataFrame):
+        bins, planned = bins.join(F.broadcast(size), strata_cols), F.col("_size")
+    else:
+        planned = size(F.col("_total"))
     cuts = cut_lineage(
-        hashed.groupBy(*strata_cols, "_bin")
-        .agg(F.count("*").alias("_n"))
+        bins
         .withColumn("_total", F.sum("_n").over(stratum))
         .withColumn("_upto", F.sum("_n").over(stratum.orderBy("_bin")))
-        .withColumn("_size", size(F.col("_total")))
+        .withColumn("_size", planned)
         .withColumn("_need", F.col("_size") - (F.col("_upto") - F.col("_n")))
         .where((F.col("_need") > 0) & (F.col("_need") <= F.col("_n")))
         .select(*strata_cols, F.col("_bin").alias("_cut"), "_need", "_total")
@@ -138,6 +145,74 @@ def multilabel_split(
     ).drop("taken")
 
 
+def iterative_sizes(histogram: dict[int, int], n_labels: int, fraction: float) -> dict[int, int]:
+    """How many rows of each label combination to take so that every label's share is ``fraction``.
+
+    A combination is a number whose bit i tells whether label i is positive. The label with the fewest rows
+    left goes first: what it still lacks is shared out among its open combinations in proportion to their
+    rows, left-over rows going to the largest remainders, ties to the lower combination. Its combinations
+    are closed then, so later, more frequent labels cannot spoil it and make up for it with rows of their own.
+    """
+
+    def wanted(rows: int) -> int:
+        return math.floor(fraction * rows + 0.5)
+
+    def share_out(combinations: list[int], need: int) -> None:
+        rows = sum(histogram[c] for c in combinations)
+        need = max(0, min(rows, need))
+        for c in combinations:
+            taken[c] = need * histogram[c] // rows
+        by_remainder = sorted(combinations, key=lambda c: (-(need * histogram[c] % rows), c))
+        for c in by_remainder[: need - sum(taken[c] for c in combinations)]:
+            taken[c] += 1
+
+    taken: dict[int, int] = {}
+    with_label = [[c for c in histogram if c >> i & 1] for i in range(n_labels)]
+    want = [wanted(sum(histogram[c] for c in held)) for held in with_label]
+    while True:
+        open_rows = [(sum(histogram[c] for c in held if c not in taken), i) for i, held in enumerate(with_label)]
+        left = [x for x in open_rows if x[0]]
+        if not left:
+            break
+        _, label = min(left)
+        got = sum(taken.get(c, 0) for c in with_label[label])
+        share_out([c for c in with_label[label] if c not in taken], want[label] - got)
+    if histogram.get(0):
+        share_out([0], wanted(sum(histogram.values())) - sum(taken.values()))
+    return taken
+
+
+def iterative_multilabel_split(
+    df: DataFrame,
+    categories: list[str],
+    valid_size: float = VALID_SIZE,
+    seed: int = SAMPLE_SEED,
+    id_col: str = "review_id",
+) -> DataFrame:
+    """``df`` with ``split`` = train or valid, every label's positive share as near to ``valid_size`` as rows allow.
+
+    Rows of a combination are interchangeable, so the greedy, iterative part works on the histogram of
+    combinations alone, rarest label first; the rows themselves are cut exactly per combination, by a hash of
+    their id. Unlike ``multilabel_split`` this holds with many categories too, where most combinations have a
+    row or two. The histogram is read by the driver: at most 2 ** ``MAX_LABELS`` numbers.
+
+    Positive is ``NEG`` or 1; rows with a null label are dropped. Labels' rates are kept, the number of rows
+    only follows from them.
+    """
+    if len(categories) > MAX_LABELS:
+        raise ValueError(f"{len(categories)} categories exceed {MAX_LABELS}")
+    bits = [F.when(F.col(c).cast("string").isin(NEG, "1"), 1 << i).otherwise(0) for i, c in enumerate(categories)]
+    known = df
+    for c in categories:
+        known = known.where(F.col(c).isNotNull())
+    combined = known.withColumn("_labels", sum(bits, F.lit(0)))
+    histogram = {r["_labels"]: r["count"] for r in combined.groupBy("_labels").count().collect()}
+    sizes = iterative_sizes(histogram, len(categories), valid_size)
+    planned = df.sparkSession.createDataFrame(list(sizes.items()), "_labels int, _size long")
+    marked = mark_sample(combined, ["_labels"], planned, seed, id_col)
+    return marked.withColumn("split", F.when(F.col("taken"), "valid").otherwise("train")).drop("taken", "_labels")
+
+
 def with_test_set(split_df: DataFrame, test: DataFrame) -> DataFrame:
     """Add a fixed external table as split ``test``."""
     return split_df.unionByName(test.withColumn("split", F.lit("test")))

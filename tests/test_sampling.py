@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 import pytest
@@ -113,3 +114,58 @@ def test_counts_ignore_nulls(spark):
     assert [tuple(r) for r in counts.value_counts(df, "score").collect()] == [(5, 2), (1, 1)]
     shares = {r.score: r.share for r in counts.composition(df, "score").collect()}
     assert shares == {5: 0.5, 1: 0.25}
+
+
+def label_rows(n, k, seed, rates=None):
+    rng = random.Random(seed)
+    rates = rates or [0.02 + 0.05 * i for i in range(k)]
+    return [(3 * i + 1, *[int(rng.random() < r) for r in rates]) for i in range(n)]
+
+
+@pytest.mark.parametrize("n, k, seed", [(60, 3, 1), (400, 10, 2), (1500, 10, 3), (97, 6, 4), (30, 10, 5)])
+def test_iterative_sizes_keep_every_rate(n, k, seed):
+    rows = label_rows(n, k, seed)
+    histogram = Counter(sum(v << i for i, v in enumerate(r[1:])) for r in rows)
+    sizes = sampling.iterative_sizes(dict(histogram), k, 0.2)
+    assert set(sizes) == set(histogram) and all(0 <= sizes[c] <= histogram[c] for c in sizes)
+    for i in range(k):
+        positive = sum(m for c, m in histogram.items() if c >> i & 1)
+        assert abs(sum(v for c, v in sizes.items() if c >> i & 1) - 0.2 * positive) <= 1
+
+
+def test_iterative_split_takes_the_planned_rows(spark):
+    k, data = 10, label_rows(500, 10, 8)
+    names = [f"c{i}" for i in range(k)]
+    df = spark.createDataFrame(data, ["review_id", *names]).repartition(5)
+    with_null = df.union(df.limit(1).withColumn("c3", F.lit(None).cast("long")).withColumn("review_id", F.lit(-5)))
+    rows = sampling.iterative_multilabel_split(with_null, names).collect()
+    assert sorted(r.review_id for r in rows) == sorted(r[0] for r in data)
+    again = sampling.iterative_multilabel_split(df.repartition(2), names).collect()
+    assert {r.review_id: r.split for r in rows} == {r.review_id: r.split for r in again}
+    for c in names:
+        positive = [r for r in rows if r[c]]
+        assert abs(sum(r.split == "valid" for r in positive) - 0.2 * len(positive)) <= 1
+    groups = {}
+    for r in rows:
+        groups.setdefault(tuple(r[c] for c in names), []).append(r)
+    for members in groups.values():
+        valid = sorted(r.review_id for r in members if r.split == "valid")
+        assert valid == lowest([r.review_id for r in members], 12, len(valid))
+
+
+def test_split_by_combination_misses_rates_that_the_iterative_one_keeps(spark):
+    names = [f"c{i}" for i in range(10)]
+    df = spark.createDataFrame(label_rows(300, 10, 9, [0.5] * 10), ["review_id", *names])
+    by_combination = sampling.multilabel_split(df, names).where("split = 'valid'").count()
+    iterative = sampling.iterative_multilabel_split(df, names).where("split = 'valid'").count()
+    # The labels' rates are kept, not the number of rows: a row may hold five labels or none.
+    assert by_combination < 10 and 48 <= iterative <= 72
+
+
+def test_iterative_split_of_odd_tables(spark):
+    df = spark.createDataFrame([], "review_id long, a string, b string")
+    assert sampling.iterative_multilabel_split(df, ["a", "b"]).count() == 0
+    with pytest.raises(ValueError):
+        sampling.iterative_multilabel_split(df, ["a"] * 17)
+    none = spark.createDataFrame([(i, "ABSENT") for i in range(10)], "review_id long, a string")
+    assert sampling.iterative_multilabel_split(none, ["a"]).where("split = 'valid'").count() == 2
