@@ -662,17 +662,17 @@ def tf_idf(spark, sf):
 
 @query
 def top_terms_overall(spark, sf):
-    return terms.top_terms(terms.term_weights(_normalized(spark, sf)), "weight")
+    return terms.top_weighted_terms(_normalized(spark, sf), "weight")
 
 
 @query
 def top_terms_neg(spark, sf):
-    return terms.top_terms(terms.term_weights(_normalized(spark, sf)), "neg_mean_weight")
+    return terms.top_weighted_terms(_normalized(spark, sf), "neg_mean_weight")
 
 
 @query
 def top_terms_pos(spark, sf):
-    return terms.top_terms(terms.term_weights(_normalized(spark, sf)), "pos_mean_weight")
+    return terms.top_weighted_terms(_normalized(spark, sf), "pos_mean_weight")
 
 
 # --- features, models, files ---------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..constants import STOP_WORDS
@@ -10,6 +10,7 @@ from ..functions import text as tx
 from ..session import cut_lineage
 from .joins import lookup_join
 
+MAX_CONTENDERS = 100_000  # terms that are broadcast
 
 def term_counts(
     df: DataFrame,
@@ -77,8 +78,8 @@ def _common_terms(counted: DataFrame, n_docs: int) -> DataFrame:
     return common.withColumn("idf", _idf(F.col("df"), n_docs))
 
 
-def _with_norms(counted: DataFrame, common: DataFrame, n_docs: int, id_col: str) -> DataFrame:
-    """``counted`` with ``norm``, the length of each document's vector of tf * idf.
+def _norms(counted: DataFrame, common: DataFrame, n_docs: int, id_col: str) -> DataFrame:
+    """(id, norm): the length of each document's vector of tf * idf.
 
     Most n-grams occur in a single document. Their part is summed up in the row, for all
     terms as if each were one of them; only common terms are looked up, to put right theirs.
@@ -92,8 +93,13 @@ def _with_norms(counted: DataFrame, common: DataFrame, n_docs: int, id_col: str)
         F.sum(square * (F.col("idf") * F.col("idf") - rare * rare)).alias("_right")
     )
     squares = F.aggregate("terms", F.lit(0).cast("bigint"), lambda s, t: s + t["tf"] * t["tf"])
-    length = F.sqrt(squares * rare * rare + F.coalesce("_right", F.lit(0.0)))
-    return counted.join(put_right, id_col, "left").withColumn("norm", length).drop("_right")
+    own = counted.select(id_col, (squares * rare * rare).alias("_squares"))
+    length = F.sqrt(F.col("_squares") + F.coalesce("_right", F.lit(0.0)))
+    return own.join(put_right, id_col, "left").select(id_col, length.alias("norm"))
+
+
+def _with_norms(counted: DataFrame, common: DataFrame, n_docs: int, id_col: str) -> DataFrame:
+    return counted.join(_norms(counted, common, n_docs, id_col), id_col)
 
 
 def tf_idf(
@@ -134,6 +140,13 @@ def term_weights(
     A term's total is its idf times the sum of tf / norm over documents, so weights of
     single rows are never written. What is cut from its lineage is one array per document.
     """
+    counted, sizes = _sided_counts(df, column, id_col, stop_words, low, high, negative, positive)
+    normed = _with_norms(counted, _common_terms(counted, sizes["n"]), sizes["n"], id_col)
+    return _mean_weights(normed.select("neg", "pos", "norm", F.inline("terms")), sizes)
+
+
+def _sided_counts(df, column, id_col, stop_words, low, high, negative, positive) -> tuple[DataFrame, Row]:
+    """Term counts of every document with its side, cut, and the number of documents on each."""
     negative = F.col("score") <= 2 if negative is None else negative
     positive = F.col("score") >= 4 if positive is None else positive
     sided = df.withColumns(
@@ -148,9 +161,13 @@ def term_weights(
     sizes = counted.agg(
         F.count("*").alias("n"), F.count_if("neg").alias("n_neg"), F.count_if("pos").alias("n_pos")
     ).first()
-    normed = _with_norms(counted, _common_terms(counted, sizes["n"]), sizes["n"], id_col)
+    return counted, sizes
+
+
+def _mean_weights(rows: DataFrame, sizes: Row) -> DataFrame:
+    """Mean weights of the terms in ``rows`` (neg, pos, norm, term, tf), which hold all rows of a term."""
     scaled = F.col("tf") / F.col("norm")
-    sums = normed.select("neg", "pos", "norm", F.inline("terms")).groupBy("term").agg(
+    sums = rows.groupBy("term").agg(
         F.count("*").alias("df"),
         F.sum(scaled).alias("all"),
         F.sum(F.when(F.col("neg"), scaled)).alias("neg"),
@@ -170,6 +187,63 @@ def term_weights(
     )
 
 
+def _contenders(held: DataFrame, weighed, sizes: Row, by: str, n: int, digits: int) -> DataFrame | None:
+    """Terms of ``held`` (term, df, bound) that can be among the ``n`` first; None when all terms can.
+
+    A term's weight in a document is at most 1, so its mean is at most ``bound``, the number of the side's
+    documents that hold it, over their number. The terms of the largest bounds are weighed first; what cannot
+    reach the n-th of them is left out. ``weighed`` gives the mean weights of a few terms.
+    """
+    documents = sizes[{"weight": "n", "neg_mean_weight": "n_neg", "pos_mean_weight": "n_pos"}[by]]
+    if not documents:
+        return None
+    first = held.orderBy(F.desc("bound"), "term").limit(4 * n)
+    leading = top_terms(weighed(first.select("term")), by, n, digits).select(by).collect()
+    reached = (leading[-1][0] if len(leading) == n else 0.0) - 10.0**-digits  # weights are compared rounded
+    # Terms of a single document are not in ``held``.
+    return held.where(F.col("bound") >= reached * documents) if reached * documents > 1 else None
+
+
+def top_weighted_terms(
+    df: DataFrame,
+    by: str = "weight",
+    n: int = 40,
+    digits: int = 8,
+    column: str = "content",
+    id_col: str = "review_id",
+    stop_words=STOP_WORDS,
+    low: int = 2,
+    high: int = 3,
+    negative: Column | None = None,
+    positive: Column | None = None,
+) -> DataFrame:
+    """``top_terms(term_weights(df), by, n, digits)`` without weighing the terms that cannot be among them.
+
+    Most n-grams are rare and cannot have a large mean weight, whatever their texts; they are counted but
+    neither weighed nor shuffled a second time. Terms that can are broadcast while they are at most
+    ``MAX_CONTENDERS``; otherwise, and in small tables, where rare terms can lead, all are weighed.
+    """
+    counted, sizes = _sided_counts(df, column, id_col, stop_words, low, high, negative, positive)
+    side = {"weight": F.lit(True), "neg_mean_weight": F.col("neg"), "pos_mean_weight": F.col("pos")}[by]
+    rows = counted.select(side.alias("_side"), F.inline("terms")).groupBy("term")
+    held = rows.agg(F.count("*").alias("df"), F.count_if("_side").alias("bound")).where("df > 1")
+    held = cut_lineage(held.withColumn("idf", _idf(F.col("df"), sizes["n"])))
+    norms = cut_lineage(_norms(counted, held.drop("bound"), sizes["n"], id_col))
+    terms = counted.select(id_col, "neg", "pos", F.inline("terms"))
+
+    def weighed(chosen: DataFrame) -> DataFrame:
+        # Terms are chosen before their rows meet the norms, so few rows move.
+        rows = terms.join(F.broadcast(chosen), "term", "left_semi")
+        return _mean_weights(rows.join(norms, id_col), sizes)
+
+    chosen = _contenders(held, weighed, sizes, by, n, digits)
+    if chosen is None or chosen.count() > MAX_CONTENDERS:
+        weights = _mean_weights(terms.join(norms, id_col), sizes)
+    else:
+        weights = weighed(chosen.select("term"))
+    return top_terms(weights, by, n, digits)
+
+
 def top_terms(weights: DataFrame, by: str = "weight", n: int = 40, digits: int = 8) -> DataFrame:
     """The ``n`` terms of largest rounded weight; ties go to the alphabetically first term."""
     rounded = weights.select(

@@ -1,4 +1,5 @@
 import math
+import random
 import sys
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from reviewmill.functions import labels as lb
-from reviewmill.operators import features, metrics, scoring, validation
+from reviewmill.operators import features, metrics, scoring, terms, validation
 from reviewmill.plans.evaluation import evaluate
 
 CATS = ["A", "B"]
@@ -158,3 +159,39 @@ def test_mismatches_compare_nulls(spark):
     assert [r.review_id for r in metrics.mismatches(gold, pred, CATS).collect()] == [2]
     assert metrics.pair(gold, pred, CATS).count() == 2
     assert gold.select(F.count("*")).first()[0] == 3
+
+
+def test_vocabulary_look_up_has_no_keyless_join(spark):
+    df = spark.createDataFrame([(1, "aa bb", 1, 0)], "review_id bigint, content string, A int, B int")
+    plan = features.fixed_length_rows(df, features.build_vocabulary(df, size=2), CATS, 6)._jdf.queryExecution().toString()
+    assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("by", ["weight", "neg_mean_weight", "pos_mean_weight"])
+@pytest.mark.parametrize("size", [12, 1500])
+def test_bounded_top_terms_equal_all_weights_and_weigh_few(spark, monkeypatch, by, size):
+    """With few documents all terms are weighed; with many, only the frequent ones."""
+    rng = random.Random(4)
+    frequent = ["app crashed again", "driver came late", "wrong map shown", "refund never arrived"]
+    rows = []
+    for i in range(size):
+        own = [f"word{rng.randrange(10**5)}" for _ in range(rng.randrange(9))]
+        rows.append((i, rng.randrange(1, 6), " ".join([*own, rng.choice(frequent), rng.choice(frequent)])))
+    df = spark.createDataFrame(rows, "review_id bigint, score int, content string").repartition(4)
+    seen = []
+    weigh = terms._mean_weights
+    monkeypatch.setattr(terms, "_mean_weights", lambda r, s: seen.append(r.select("term").distinct().count()) or weigh(r, s))
+    got = [tuple(r) for r in terms.top_weighted_terms(df, by, 10).collect()]
+    few, seen[:] = list(seen), []
+    assert got == [tuple(r) for r in terms.top_terms(terms.term_weights(df), by, 10).collect()]
+    if size > 1000:
+        assert max(few) < seen[0] / 20
+    else:
+        assert few[-1] == seen[0]
+
+
+def test_bounded_top_terms_of_odd_tables(spark):
+    none = spark.createDataFrame([], "review_id bigint, score int, content string")
+    assert terms.top_weighted_terms(none).count() == 0
+    one_side = spark.createDataFrame([(1, 5, "aa bb cc"), (2, 5, None)], "review_id bigint, score int, content string")
+    assert [r.neg_mean_weight for r in terms.top_weighted_terms(one_side, "neg_mean_weight").collect()] == [None] * 3
