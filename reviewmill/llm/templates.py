@@ -1,12 +1,13 @@
 """Main text of web pages, without the site's templates.
 
-Every page is read once into text blocks, each with the hashes of the element subtrees that
-enclose it and could belong to a template. Spark counts per host on how many different pages a
-subtree occurs; one that recurs on ``MIN_PAGES`` or more is the site's, however large the host is, and the blocks inside it go. Elements
-that never belong to an article (menus, footers, side bars, forms, scripts, marked adverts,
-notices and comments) are left out while reading. Where a page marks its article, only that
-is read, and inside it only boxes such as div or section can be templates: a paragraph that many
-articles share is text.
+Every page is read once: hashes of the element subtrees of the whole page, and text blocks with
+the hashes of the subtrees around them. Spark counts per host on how many different pages a
+subtree occurs; one that recurs on ``MIN_PAGES`` or more is the site's, however large the host is, and
+goes first. Of what is left, a page that marks its article gives the article alone, another one
+all its text; elements that never belong to an article (menus, footers, side bars, forms, scripts,
+marked adverts, notices and reader comments) are left out of both. A box that the site shows as an
+article on all its pages is so no article. Inside an article only boxes such as div or section
+can be templates: a paragraph that many articles share is text.
 
 Equal pages count as one, so that copies of a page do not turn its content into a template. Only
 (host, page hash, subtree hash) rows are shuffled, combined before.
@@ -30,7 +31,7 @@ from .common import fresh, query, table, whole_text
 from .html_tree import read_page
 
 MIN_PAGES = 5  # different pages of a host on which a template occurs, at least
-BLOCKS = "page_hash long, blocks array<struct<text:string,path:array<long>>>"
+READ = "page_hash long, subtrees array<long>, blocks array<struct<text:string,main:boolean,path:array<long>>>"
 
 
 def host_of(url: Column) -> Column:
@@ -42,47 +43,51 @@ def _read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for pages in batches:
         rows = []
         for html in pages:
-            blocks = read_page(html)
-            whole = xxhash.xxh3_64_intdigest("\n".join(b[0] for b in blocks)) - (1 << 63)
-            rows.append((whole, [{"text": t, "path": p} for t, p in blocks]))
-        yield pd.DataFrame(rows, columns=["page_hash", "blocks"])
+            known_by, subtrees, blocks = read_page(html)
+            rows.append((known_by, subtrees, [{"text": t, "main": m, "path": p} for t, m, p in blocks]))
+        yield pd.DataFrame(rows, columns=["page_hash", "subtrees", "blocks"])
 
 
 def site_templates(read: DataFrame) -> DataFrame:
-    """(host, subtree) of all templates among read pages (host, page_hash, blocks)."""
-    paths = F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["path"])))
-    found = read.select("host", "page_hash", F.explode(paths).alias("subtree")).distinct()
+    """(host, subtree) of all templates among read pages (host, page_hash, subtrees)."""
+    found = read.select("host", "page_hash", F.explode("subtrees").alias("subtree")).distinct()
     n = found.groupBy("host", "subtree").agg(F.count("*").alias("n"))
     return n.where(F.col("n") >= MIN_PAGES).select("host", "subtree")
 
 
-def extract_main_text(pages: DataFrame, out: str = "text", html: str = "html", url: str = "url") -> DataFrame:
-    """``pages`` without ``html`` and with the main text in ``out``."""
-    given = [c for c in pages.columns if c != html and c != out]
+def extract_main_text(
+    pages: DataFrame, out: str = "text", html: str = "html", url: str = "url", counted: str | None = None
+) -> DataFrame:
+    """``pages`` without ``html`` and with the main text in ``out``; in ``counted``, if named, the
+    number of the page's different subtrees that are templates of its host."""
+    added = [out, *([counted] if counted else [])]
+    given = [c for c in pages.columns if c != html and c not in added]
     keep = F.struct(*[F.col(f"`{c}`") for c in given])
     read = cut_lineage(
         pages.select(
             keep.alias("page"), host_of(F.col(url)).alias("host"),
-            F.pandas_udf(_read, BLOCKS)(whole_text(html)).alias("read"),
+            F.pandas_udf(_read, READ)(whole_text(html)).alias("read"),
         ).select("page", "host", "read.*", F.monotonically_increasing_id().alias("row"))
     )
-    boxed = F.exists("blocks", lambda b: F.size(b["path"]) > 0)
     # Per page the templates it holds: no more than its own subtrees.
-    paths = F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["path"])))
-    inside = read.where(boxed).select("row", "host", F.explode(paths).alias("subtree"))
+    inside = read.select("row", "host", F.explode("subtrees").alias("subtree"))
     gone = inside.join(site_templates(read), ["host", "subtree"]).groupBy("row").agg(
         F.collect_set("subtree").alias("gone")
     )
-    several = read.where(boxed).join(gone, "row", "left").select("page", "blocks", "gone")
-    plain = read.where(~boxed).select("page", "blocks", F.lit(None).cast("array<long>").alias("gone"))
+    found = read.select("row", "page", "blocks").join(gone, "row", "left")
     stays = F.filter("blocks", lambda b: F.col("gone").isNull() | ~F.arrays_overlap(b["path"], "gone"))
-    text = F.array_join(F.transform(stays, lambda b: b["text"]), " ")
-    (main,) = fresh(pages, "main_text")
-    whole = plain.unionByName(several).select("page", text.alias(main))
-    return whole.select("page.*", main).withColumnRenamed(main, out)
+    article = F.filter("stays", lambda b: b["main"])
+    chosen = F.when(F.size(article) > 0, article).otherwise(F.col("stays"))
+    text = F.array_join(F.transform(chosen, lambda b: b["text"]), " ")
+    names = fresh(pages, "main_text", "templates")
+    n = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
+    whole = found.select("page", "gone", stays.alias("stays")).select("page", text.alias(names[0]), n.alias(names[1]))
+    renamed = dict(zip(names, added, strict=False))
+    return whole.select("page.*", *renamed).withColumnsRenamed(renamed)
 
 
 @query()
 def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    text = extract_main_text(pages, counted="n_templates")
+    return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_templates")

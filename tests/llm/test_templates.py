@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from reviewmill.llm import html_tree
 from reviewmill.llm import templates as tp
 from reviewmill.llm.html_tree import read_page
 
@@ -12,7 +13,8 @@ SF = "/root/testdata/sf0.001"
 
 
 def text(html):
-    return " ".join(t for t, _ in read_page(html))
+    _, _, blocks = read_page(html)
+    return " ".join([t for t, main, _ in blocks if main] or [t for t, _, _ in blocks])
 
 
 @pytest.mark.parametrize(("html", "want"), [
@@ -24,7 +26,15 @@ def text(html):
     ("<ul><li>a<li>b</ul><table><tr><td>1<td>2</table>", "a b 1 2"), ("<p>a\n\t b&nbsp; c</p>", "a b c"), ("<p>broken <p class=\"x", "broken"),
     ("<style>p{}</style><title>t</title><body class='sidebar-left'><p>kept", "kept"), ("<p>a</p></div></p>b", "a b"),
     ("<article><header><h1>Title</h1></header><p>x</article>", "Title x"), ("<header>site</header><p>x", "x"),
-    ("<article>main</article><article class='comment'>no</article>", "main"), ("<" * 2000, "<" * 2000),
+    ("<article>main</article><article class='comment'>no</article>", "main"),
+    ("<main><p>Real story</p></main><div class='comments'><article><p>first comment</p></article></div>", "Real story"),
+    ("<div id=c><p>The text</p></div><article class='comment'>c1</article><article class='comment'>c2</article>", "The text"),
+    ("<article><p>Real story.</p><div class='comments'><article><p>c1</p></article></div></article>", "Real story."),
+    ("<div class='post with-sidebar'><p>Body</p></div>", "Body"), ("<div class='sidebar layout'><p>Body</p></div>", "Body"),
+    ("<div class=sidebar><article>teaser</article></div><p>A much longer body than that</p>", "A much longer body than that"),
+    ("<div class=sidebar><article>an article in a frame</article><nav>menu</nav></div>", "an article in a frame"),
+    ("<article></article><p>body", "body"), ("<article class='post comments-open'>body</article>", "body"),
+    ("<span><article>in</article>out</span>", "in"), ("a<article>b</article>c<article>d</article>e", "b d"), ("<" * 2000, "<" * 2000),
     ("<p>" * 3000 + "deep", "deep"), ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
 ])
 def test_reading(html, want):
@@ -72,3 +82,54 @@ def test_a_box_on_many_pages_goes_whatever_the_size_of_the_host(spark):
     got = {r["page_id"]: r["text"] for r in tp.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"Text number {'x' * i}." for i in range(200))
     assert all(got[200 + i] == f"A rare box Other {'y' * i}." for i in range(tp.MIN_PAGES - 1))
+
+
+def _frame(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def test_a_box_shown_as_an_article_everywhere_is_none(spark):
+    teaser = "<div id=t><article><p>Read our prize story</p></article></div>"
+    rows = [(i, "http://a.example/", f"{teaser}<div><p>The real text {'z' * (i + 1)} of this page</p></div>") for i in range(8)]
+    # Copies of one article with other words around them: it stays.
+    rows += [(100 + i, "http://b.example/", f"<article><p>A story told by many</p></article><p>{'w' * (i + 1)}</p>") for i in range(8)]
+    got = {r["page_id"]: r for r in tp.extract_main_text(_frame(spark, rows), counted="n").collect()}
+    assert all(got[i]["text"] == f"The real text {'z' * (i + 1)} of this page" and got[i]["n"] == 1 for i in range(8))
+    assert all(got[100 + i]["text"] == "A story told by many" and got[100 + i]["n"] == 0 for i in range(8))
+
+
+LISTS = [("MARKS", set()), ("COMMENTS", set()), ("ROLES", set()), ("ARTICLES", set()), ("DROPPED", {"head", "script", "style"})]
+
+
+@pytest.mark.parametrize("lists", [True, False])
+def test_counts_over_a_table_equal_a_plain_count(spark, monkeypatch, lists):
+    for name, value in [] if lists else LISTS:
+        monkeypatch.setattr(html_tree, name, value)
+    sf = "/root/testdata/sf0.1"
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()
+    seen, of_page = {}, {}
+    for r in pages:
+        host = re.match(r"^(?:https?:)?//(?:[^/?#@]*@)?([^/?#:]*)", r["url"] or "")
+        known_by, subtrees, blocks = read_page(r["html"] or "")
+        keys = {(host[1].lower() if host else "", s): s for s in subtrees}
+        of_page[r["page_id"]] = keys, blocks
+        for k in keys:
+            seen.setdefault(k, set()).add(known_by)
+    got = {r["page_id"]: r for r in tp.op4_html_main_text(spark, sf).collect()}
+    assert set(got) == set(of_page)
+    for i, (keys, blocks) in of_page.items():
+        gone = {s for k, s in keys.items() if len(seen[k]) >= tp.MIN_PAGES}
+        stays = [(t, main) for t, main, path in blocks if gone.isdisjoint(path)]
+        assert got[i]["n_templates"] == len(gone)
+        assert got[i]["text"] == " ".join([t for t, main in stays if main] or [t for t, _ in stays])
+    assert sum(r["n_templates"] for r in got.values()) > 100
+
+
+def test_counting_alone_finds_menus_and_footers(spark, monkeypatch):
+    """Without any list of tags or words, the menu, notice and footer of a site still go."""
+    for name, value in LISTS:
+        monkeypatch.setattr(html_tree, name, value)
+    page = "<nav><ul><li>Home<li>News</ul></nav><div class=cookie>We use cookies</div><article><p>{}</p></article><footer>Page {} of our site</footer>"
+    rows = [(i, "http://a.example/", page.format(f"Story {'s' * i}", i)) for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in tp.extract_main_text(_frame(spark, rows)).collect()}
+    assert got == {i: f"Story {'s' * i}".strip() for i in range(9)}
