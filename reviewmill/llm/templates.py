@@ -55,39 +55,38 @@ def site_templates(read: DataFrame) -> DataFrame:
     return n.where(F.col("n") >= MIN_PAGES).select("host", "subtree")
 
 
-def extract_main_text(
-    pages: DataFrame, out: str = "text", html: str = "html", url: str = "url", counted: str | None = None
-) -> DataFrame:
-    """``pages`` without ``html`` and with the main text in ``out``; in ``counted``, if named, the
-    number of the page's different subtrees that are templates of its host."""
-    added = [out, *([counted] if counted else [])]
-    given = [c for c in pages.columns if c != html and c not in added]
-    keep = F.struct(*[F.col(f"`{c}`") for c in given])
-    read = cut_lineage(
-        pages.select(
-            keep.alias("page"), host_of(F.col(url)).alias("host"),
-            F.pandas_udf(_read, READ)(whole_text(html)).alias("read"),
-        ).select("page", "host", "read.*", F.monotonically_increasing_id().alias("row"))
-    )
-    # Per page the templates it holds: no more than its own subtrees.
-    inside = read.select("row", "host", F.explode("subtrees").alias("subtree"))
+def read_pages(pages: DataFrame, keep: Column, html: str = "html", url: str = "url") -> DataFrame:
+    """(page: ``keep``, host, page_hash, subtrees, blocks, row), one row per page."""
+    return pages.select(
+        keep.alias("page"), host_of(F.col(url)).alias("host"),
+        F.pandas_udf(_read, READ)(whole_text(html)).alias("read"),
+    ).select("page", "host", "read.*", F.monotonically_increasing_id().alias("row"))
+
+
+def extract_main_text(pages: DataFrame, out: str = "text", html: str = "html", url: str = "url") -> DataFrame:
+    """``pages`` without ``html`` and with the main text in ``out``."""
+    given = [c for c in pages.columns if c != html and c != out]
+    read = cut_lineage(read_pages(pages, F.struct(*[F.col(f"`{c}`") for c in given]), html, url))
+    # Only a page with a block inside a subtree that could be a template has anything to lose by
+    # the counts; the texts of the others are not shuffled.
+    boxed = F.exists("blocks", lambda b: F.size(b["path"]) > 0)
+    paths = F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["path"])))
+    inside = read.where(boxed).select("row", "host", F.explode(paths).alias("subtree"))
     gone = inside.join(site_templates(read), ["host", "subtree"]).groupBy("row").agg(
         F.collect_set("subtree").alias("gone")
     )
-    found = read.select("row", "page", "blocks").join(gone, "row", "left")
+    several = read.where(boxed).join(gone, "row", "left").select("page", "blocks", "gone")
+    plain = read.where(~boxed).select("page", "blocks", F.lit(None).cast("array<long>").alias("gone"))
     stays = F.filter("blocks", lambda b: F.col("gone").isNull() | ~F.arrays_overlap(b["path"], "gone"))
     article = F.filter("stays", lambda b: b["main"])
     chosen = F.when(F.size(article) > 0, article).otherwise(F.col("stays"))
     text = F.array_join(F.transform(chosen, lambda b: b["text"]), " ")
-    names = fresh(pages, "main_text", "templates")
-    n = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
-    whole = found.select("page", "gone", stays.alias("stays")).select("page", text.alias(names[0]), n.alias(names[1]))
-    renamed = dict(zip(names, added, strict=False))
-    return whole.select("page.*", *renamed).withColumnsRenamed(renamed)
+    (main,) = fresh(pages, "main_text")
+    whole = plain.unionByName(several).select("page", stays.alias("stays")).select("page", text.alias(main))
+    return whole.select("page.*", main).withColumnRenamed(main, out)
 
 
 @query()
 def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    text = extract_main_text(pages, counted="n_templates")
-    return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_templates")
+    text = extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -93,9 +93,9 @@ def test_a_box_shown_as_an_article_everywhere_is_none(spark):
     rows = [(i, "http://a.example/", f"{teaser}<div><p>The real text {'z' * (i + 1)} of this page</p></div>") for i in range(8)]
     # Copies of one article with other words around them: it stays.
     rows += [(100 + i, "http://b.example/", f"<article><p>A story told by many</p></article><p>{'w' * (i + 1)}</p>") for i in range(8)]
-    got = {r["page_id"]: r for r in tp.extract_main_text(_frame(spark, rows), counted="n").collect()}
-    assert all(got[i]["text"] == f"The real text {'z' * (i + 1)} of this page" and got[i]["n"] == 1 for i in range(8))
-    assert all(got[100 + i]["text"] == "A story told by many" and got[100 + i]["n"] == 0 for i in range(8))
+    got = {r["page_id"]: r for r in tp.extract_main_text(_frame(spark, rows)).collect()}
+    assert all(got[i]["text"] == f"The real text {'z' * (i + 1)} of this page" for i in range(8))
+    assert all(got[100 + i]["text"] == "A story told by many" for i in range(8))
 
 
 LISTS = [("MARKS", set()), ("COMMENTS", set()), ("ROLES", set()), ("ARTICLES", set()), ("DROPPED", {"head", "script", "style"})]
@@ -120,9 +120,11 @@ def test_counts_over_a_table_equal_a_plain_count(spark, monkeypatch, lists):
     for i, (keys, blocks) in of_page.items():
         gone = {s for k, s in keys.items() if len(seen[k]) >= tp.MIN_PAGES}
         stays = [(t, main) for t, main, path in blocks if gone.isdisjoint(path)]
-        assert got[i]["n_templates"] == len(gone)
         assert got[i]["text"] == " ".join([t for t, main in stays if main] or [t for t, _ in stays])
-    assert sum(r["n_templates"] for r in got.values()) > 100
+    frame = spark.createDataFrame(pages)
+    counted = tp.site_templates(tp.read_pages(frame, tp.F.col("page_id"))).collect()
+    assert {(r["host"], r["subtree"]) for r in counted} == {k for k, on in seen.items() if len(on) >= tp.MIN_PAGES}
+    assert len(counted) == len({tuple(r) for r in counted}) > 50
 
 
 def test_counting_alone_finds_menus_and_footers(spark, monkeypatch):
