@@ -10,10 +10,12 @@ token.
 
 **Splitting.** The pattern of the vocabulary splits a text before the merges. Its matches never
 cross from a non-space to a white-space character, so a text is first cut there, and what a
-stretch encodes to is looked up or worked out once.
+stretch encodes to is looked up or worked out once. The ids of a stretch are kept packed, four bytes
+each, so that those of a text are joined without a Python object per id.
 
 **Decoding.** Token bytes run through a UTF-8 state machine that keeps the incomplete character at
-the end; a step (pending bytes, token) is worked out once and looked up from then on.
+the end; a step (pending bytes, token) is worked out once and looked up from then on. So is a step over
+the packed ids of a whole stretch that begins and ends between two characters.
 
 Caches live in each Python worker's copy of the broadcast vocabulary, so later tasks of the worker
 find them; each is emptied when it reaches its bound. Results never depend on them.
@@ -26,11 +28,12 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -167,17 +170,17 @@ class Encoder:
         spaces = pattern.replace(r"\s", f"[{_WHITE}]").replace(r"\S", f"[^{_WHITE}]")
         spaces = spaces.replace(f"[^[{_WHITE}]", f"[^{_WHITE}")  # inside a class already
         self.pieces = regex.compile(spaces)
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}  # text -> packed ids
+        self.older: dict[str, bytes] = {}
 
-    def _keep(self, text: str, ids: tuple[int, ...]) -> None:
+    def _keep(self, text: str, ids: bytes) -> None:
         """Two generations: what is looked up again moves on to the next, the rest goes."""
         if len(text) <= LONGEST_KEPT:
             if len(self.known) >= MAX_TEXTS:
                 self.older, self.known = self.known, {}
             self.known[text] = ids
 
-    def _stretch(self, text: str) -> tuple[int, ...]:
+    def _stretch(self, text: str) -> bytes:
         old = self.older.get(text)
         if old is not None:
             self._keep(text, old)
@@ -185,23 +188,30 @@ class Encoder:
         # A space and letters are one match of the pattern, whatever comes before and after.
         body = text[1:] if text[0] == " " else text
         pieces = [text] if body.isalpha() else self.pieces.findall(text)
-        ids: list[int] = []
+        parts: list[bytes] = []
         for piece in pieces:
             found = self.known.get(piece) or self.older.get(piece)
             if found is None:
-                found = tuple(self.transducer.encode(piece.encode("utf-8")))
+                found = array("i", self.transducer.encode(piece.encode("utf-8"))).tobytes()
                 self._keep(piece, found)
-            ids += found
+            parts.append(found)
+        ids = b"".join(parts)
         if len(pieces) > 1:
-            self._keep(text, tuple(ids))
-        return tuple(ids)
+            self._keep(text, ids)
+        return ids
+
+    def packed(self, text: str) -> tuple[bytes, list[bytes]]:
+        """The packed ids of a text: whole, and stretch by stretch."""
+        stretches = _STRETCH.findall(text)
+        parts = list(map(self.known.get, stretches))
+        try:
+            return b"".join(parts), parts
+        except TypeError:  # some are not known yet
+            parts = [self._stretch(s) if ids is None else ids for s, ids in zip(stretches, parts, strict=True)]
+            return b"".join(parts), parts
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        known = self.known
-        for stretch in _STRETCH.findall(text):
-            out += known.get(stretch) or self._stretch(stretch)
-        return out
+        return np.frombuffer(self.packed(text)[0], np.int32).tolist()
 
 
 class Utf8Machine:
@@ -219,6 +229,8 @@ class Utf8Machine:
         self.lead = {b: (n, lo, hi) for first, last, n, lo, hi in self.LEADS for b in range(first, last + 1)}
         self.steps: dict[tuple[bytes, int], tuple[str, bytes]] = {}
         self.clean: dict[int, str] = {}  # steps from and to a complete text
+        self.whole: dict[bytes, str] = {}  # the same over packed ids
+        self.older: dict[bytes, str] = {}
 
     def feed(self, pending: bytes, chunk: bytes) -> tuple[str, bytes]:
         """Text of the characters that ``chunk`` completes, and what is still pending."""
@@ -244,11 +256,13 @@ class Utf8Machine:
                 out.append("�")
         return "".join(out), state
 
-    def decode(self, ids) -> str:
-        out = list(map(self.clean.get, ids))
-        if None not in out:
-            return "".join(out)
-        out, pending, steps = [], b"", self.steps
+    def run(self, pending: bytes, ids) -> tuple[str, bytes]:
+        """Text of the characters that ``ids`` complete, and what is still pending."""
+        if not pending:
+            out = list(map(self.clean.get, ids))
+            if None not in out:
+                return "".join(out), b""
+        out, steps = [], self.steps
         for token in ids:
             step = steps.get((pending, token))
             if step is None:
@@ -259,9 +273,41 @@ class Utf8Machine:
                     self.clean[token] = step[0]
             out.append(step[0])
             pending = step[1]
-        if pending:
-            out.append("�")
-        return "".join(out)
+        return "".join(out), pending
+
+    def decode(self, ids) -> str:
+        text, pending = self.run(b"", ids)
+        return f"{text}\ufffd" if pending else text
+
+    def decode_packed(self, parts: list[bytes]) -> str:
+        """Text of packed ids that come in parts, wherever these are cut."""
+        out = list(map(self.whole.get, parts))
+        try:
+            return "".join(out)
+        except TypeError:  # some steps are not known yet
+            pass
+        pending = b""
+        for k, part in enumerate(parts):
+            if not pending:
+                text = out[k] if out[k] is not None else self.older.get(part)
+                if text is None:
+                    text, pending = self.run(b"", np.frombuffer(part, np.int32).tolist())
+                if out[k] is None and not pending and len(text) <= LONGEST_KEPT:
+                    if len(self.whole) >= MAX_TEXTS:
+                        self.older, self.whole = self.whole, {}
+                    self.whole[part] = text
+            else:
+                text, pending = self.run(pending, np.frombuffer(part, np.int32).tolist())
+            out[k] = text
+        return "".join([*out, "\ufffd"] if pending else out)
+
+
+def _list_array(packed: list[bytes]) -> pa.Array:
+    """Packed ids of several texts as one array of arrays."""
+    offsets = np.zeros(len(packed) + 1, np.int32)
+    np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
+    values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(packed))])
+    return pa.ListArray.from_arrays(pa.array(offsets), values)
 
 
 class Codec:
@@ -284,32 +330,33 @@ class Codec:
                     kept[name] = Utf8Machine({rank: token for token, rank in ranks.items()})
             return kept[name]
 
-        def slices(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def slices(batches: Iterator[pa.Array]) -> Iterator[list]:
             for rows in batches:
                 for at in range(0, len(rows), SLICE):
-                    yield rows.iloc[at : at + SLICE]
+                    yield rows[at : at + SLICE].to_pylist()
 
-        def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             encoder = part("encoder")
             for texts in slices(batches):
-                yield pd.Series([np.array(encoder.encode(t), np.int32) for t in texts], dtype=object)
+                yield _list_array([encoder.packed(t)[0] for t in texts])
 
-        def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             machine = part("decoder")
             for rows in slices(batches):
-                yield pd.Series([machine.decode(ids.tolist()) for ids in rows], dtype=object)
+                yield pa.array([machine.decode(ids) for ids in rows], pa.string())
 
-        def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             encoder, machine = part("encoder"), part("decoder")
             for texts in slices(batches):
-                ids = [encoder.encode(t) for t in texts]
-                yield pd.DataFrame({
-                    "ids": pd.Series([np.array(i, np.int32) for i in ids], dtype=object),
-                    "decoded": pd.Series([machine.decode(i) for i in ids], dtype=object),
-                })
-
-        self._encode, self._decode = F.pandas_udf(encode, "array<int>"), F.pandas_udf(decode, "string")
-        self._both = F.pandas_udf(both, "ids array<int>, decoded string")
+                packed, decoded = [], []
+                for t in texts:
+                    ids, parts = encoder.packed(t)
+                    packed.append(ids)
+                    decoded.append(machine.decode_packed(parts))
+                yield pa.StructArray.from_arrays([_list_array(packed), pa.array(decoded, pa.string())], ["ids", "decoded"])
+
+        self._encode, self._decode = F.arrow_udf(encode, "array<int>"), F.arrow_udf(decode, "string")
+        self._both = F.arrow_udf(both, "ids array<int>, decoded string")
 
     def encode(self, text: Column) -> Column:
         return self._encode(whole_text(text))

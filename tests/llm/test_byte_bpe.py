@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -57,6 +58,8 @@ def test_emptied_caches_change_nothing(ranks, library, monkeypatch):
     text = " ".join(t for t in ODD_TEXTS if t and len(t) < 200)
     e = bpe.Encoder(ranks, public_tokenizers.PATTERN)
     assert e.encode(text) == library.encode_ordinary(text)
+    m = bpe.Utf8Machine({r: t for t, r in ranks.items()})
+    assert m.decode_packed(e.packed(text)[1]) == m.decode_packed(e.packed(text)[1]) == text
 
 
 @settings(max_examples=300, deadline=None)
@@ -65,7 +68,12 @@ def test_utf8_machine_on_any_chunks(chunks):
     """Valid parts come out whole however they are cut; broken bytes give replacement signs."""
     m = bpe.Utf8Machine(dict(enumerate(chunks)))
     whole = b"".join(chunks)
-    assert m.decode(range(len(chunks))) == whole.decode("utf-8", "replace")
+    want = whole.decode("utf-8", "replace")
+    assert m.decode(range(len(chunks))) == want
+    packed = np.arange(len(chunks), dtype=np.int32).tobytes()
+    for size in (4, 8, 12):  # the second time from what is kept
+        parts = [packed[i : i + size] for i in range(0, len(packed), size)]
+        assert m.decode_packed(parts) == m.decode_packed(parts) == want
 
 
 def test_odd_rows(spark, odd, none, library):
