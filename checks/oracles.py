@@ -511,6 +511,28 @@ SELECT doc_id AS review_id, CASE quality WHEN 0 THEN 'ABSENT' ELSE 'NEG' END AS
         "SELECT (SELECT count(*) FROM done) AS classified_rows, count(*) AS total_rows, "
         "CAST(ceil(count(*) / 100) AS BIGINT) AS total_chunks FROM gold", first,
     )
+    compacted = (
+        "SELECT review_id, CASE WHEN LOW_QUALITY_pred = 'ERROR' OR TOXIC_pred = 'ERROR' THEN 2 ELSE 1 END "
+        "AS attempt, CASE WHEN LOW_QUALITY_pred = 'ERROR' OR TOXIC_pred = 'ERROR' THEN LOW_QUALITY "
+        "ELSE LOW_QUALITY_pred END AS LOW_QUALITY_pred, "
+        "CASE WHEN LOW_QUALITY_pred = 'ERROR' OR TOXIC_pred = 'ERROR' THEN TOXIC ELSE TOXIC_pred END AS TOXIC_pred, "
+        "merges FROM gold JOIN answers USING (review_id) CROSS JOIN (VALUES (1), (2)) AS m(merges)"
+    )
+    out["checkpoint_compacted"] = _q(_ANSWERS, compacted)
+    out["model_after_interrupted_save"] = _q(
+        _REVIEW, "SELECT review_id, score, score >= 2 AS good_latest, score >= 4 AS good, 0.8E0 AS val_f1 FROM reviews"
+    )
+    table_rows = (
+        "SELECT review_id, LOW_QUALITY_pred, TOXIC_pred, 'data/gold' AS input, 'short' AS prompt, 'scorer' AS model FROM predicted "
+        "UNION ALL SELECT review_id, LOW_QUALITY_pred, TOXIC_pred, 'data/gold', 'short', 'answers v2' FROM answers "
+        "WHERE LOW_QUALITY_pred <> 'ERROR'"
+    )
+    out["predictions_table"] = _q([*_PREDICTED, "answers"], table_rows)
+    out["predictions_exact_match"] = _q(
+        [*_PREDICTED, "answers"],
+        "SELECT model, count(*) AS rows, round(avg(CAST(t.LOW_QUALITY_pred = g.LOW_QUALITY AND t.TOXIC_pred = g.TOXIC AS DOUBLE)), 9) "
+        f"AS exact_match_ratio FROM ({table_rows}) t JOIN gold g USING (review_id) GROUP BY model",
+    )
     out["checkpoint_latest"] = _q(
         _ANSWERS,
         "SELECT review_id, CASE WHEN LOW_QUALITY_pred = 'ERROR' OR TOXIC_pred = 'ERROR' THEN 2 ELSE 1 END "

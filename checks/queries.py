@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ from reviewmill.operators import (
 )
 from reviewmill.plans import curation, evaluation
 from reviewmill.session import cut_lineage, shared_dir
-from reviewmill.sources import tables
+from reviewmill.sources import models, tables
 from reviewmill.streaming import triage as stream
 
 from . import views
@@ -490,6 +492,68 @@ def checkpoint_latest(spark, sf):
     return labeling.latest_predictions(tables.read_checkpoint(spark, path, CATEGORIES), CATEGORIES)
 
 
+@query
+def checkpoint_compacted(spark, sf):
+    """The same attempts merged into a snapshot between and after them, beside a merge that broke off."""
+    path = _run_dir(spark, "checkpoint")
+    answers = _answers(spark, sf)
+    _, failed = validation.validate_labels(answers, PREDS)
+    again = labeling.rename_predictions(view(spark, sf, "gold"), CATEGORIES).join(
+        failed.select("review_id"), "review_id", "left_semi"
+    )
+    tables.append_checkpoint(answers, path, 1, CATEGORIES)
+    tables.compact_checkpoint(spark, path, CATEGORIES, ids_per_range=1000)
+    tables.append_checkpoint(again, path, 2, CATEGORIES)
+    answers.limit(0).write.parquet(f"{path}/_snapshot/version=2/id_range=0")
+    once = labeling.latest_predictions(tables.read_checkpoint(spark, path, CATEGORIES), CATEGORIES)
+    tables.compact_checkpoint(spark, path, CATEGORIES)
+    twice = labeling.latest_predictions(tables.read_checkpoint(spark, path, CATEGORIES), CATEGORIES)
+    return once.withColumn("merges", F.lit(1)).unionByName(twice.withColumn("merges", F.lit(2)))
+
+
+@query
+def model_after_interrupted_save(spark, sf):
+    """The best model's rows after a later save broke off before its pointer was written."""
+    root = _run_dir(spark, "models")
+    rows = view(spark, sf, "reviews")
+
+    def rule(at_least: int) -> PipelineModel:
+        return PipelineModel([SQLTransformer(statement=f"SELECT *, score >= {at_least} AS good FROM __THIS__")])
+
+    models.save_model(spark, rule(4), root, 0, {"val_f1": 0.8}, "f1")
+    models.save_model(spark, rule(2), root, 1, {"val_f1": 0.6}, "f1")
+    rule(1).write().save(f"{root}/models/000000003")
+    best, metrics_row = models.load_model(spark, root, "f1")
+    latest, _ = models.load_model(spark, root, "f1", "latest")
+    judged = latest.transform(rows.select("review_id", "score")).withColumnRenamed("good", "good_latest")
+    return best.transform(judged).withColumn("val_f1", F.lit(metrics_row["val_f1"]))
+
+
+def _predictions_table(spark, sf) -> str:
+    root = _run_dir(spark, "predictions")
+    predicted, answers = _predicted(spark, sf), _answers(spark, sf)
+    tables.write_predictions(predicted, root, "data/gold", "short", "scorer", CATEGORIES)
+    tables.write_predictions(answers, root, "data/gold", "short", "answers v2", CATEGORIES)
+    tables.write_predictions(answers, root, "data/gold", "long", "answers v2", CATEGORIES)
+    # The same run again: its earlier rows go.
+    tables.write_predictions(answers.where("LOW_QUALITY_pred <> 'ERROR'"), root, "data/gold", "short", "answers v2", CATEGORIES)
+    return root
+
+
+@query
+def predictions_table(spark, sf):
+    return tables.read_predictions(spark, _predictions_table(spark, sf), CATEGORIES, prompt="short")
+
+
+@query
+def predictions_exact_match(spark, sf):
+    """Share of right rows per model, from the table of predictions."""
+    runs = tables.read_predictions(spark, _predictions_table(spark, sf), CATEGORIES, "data/gold", "short")
+    paired = runs.join(view(spark, sf, "gold"), "review_id")
+    matrix = metrics.confusion_matrix(paired, CATEGORIES, ["model"])
+    return metrics.exact_match(matrix, ["model"]).withColumn("exact_match_ratio", F.round("exact_match_ratio", 9))
+
+
 @query
 def classify_external(spark, sf):
     """Every review, and every fifth once more with a null text and a negative id."""

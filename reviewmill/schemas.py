@@ -48,6 +48,13 @@ def checkpoint(categories=CATEGORIES) -> T.StructType:
     return T.StructType([*keys, *labels])
 
 
+def predictions(categories=CATEGORIES) -> T.StructType:
+    """Labels of many runs; files are partitioned by the run's input, prompt and model."""
+    labels = [T.StructField(f"{c}_pred", T.StringType()) for c in categories]
+    run = [T.StructField(c, T.StringType()) for c in ("input", "prompt", "model")]
+    return T.StructType([T.StructField("review_id", T.LongType()), *labels, *run])
+
+
 def split(categories=CATEGORIES) -> T.StructType:
     """Text and 0/1 labels; files are partitioned by ``split``."""
     labels = [T.StructField(c, T.LongType()) for c in categories]

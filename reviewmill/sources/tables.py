@@ -10,8 +10,9 @@ from pyspark.sql.types import StructType
 
 from .. import schemas
 from ..constants import CATEGORIES, SPLITS
-from ..operators.labeling import parse_responses
+from ..operators.labeling import latest_predictions, parse_responses
 from ..operators.validation import validate_labels
+from . import versions
 
 # Quotes are doubled inside quoted fields, and texts may hold line breaks.
 # The null marker cannot occur in text, so a quoted empty field stays an empty text.
@@ -111,6 +112,39 @@ def predictions_path(root: str, input_name: str, prompt: str, model: str) -> str
     return "{}/input={}/prompt={}/model={}".format(root.rstrip("/"), *clean)
 
 
+def _run_folder(root: str, **run: str) -> str:
+    """Partition folder of a run; signs that a folder name may not hold are escaped as Spark reads
+    them, so that two runs never share one and their names come back unchanged."""
+    if not all(run.values()):
+        raise ValueError("an input, prompt or model needs a name")
+
+    def spelled(value: str) -> str:
+        return re.sub(r"[\x00-\x7f]", lambda m: m[0] if re.match(r"[\w.-]", m[0]) else f"%{ord(m[0]):02X}", value)
+
+    return "/".join([root.rstrip("/"), *[f"{column}={spelled(value)}" for column, value in run.items()]])
+
+
+def write_predictions(
+    predictions: DataFrame, root: str, input_name: str, prompt: str, model: str, categories=CATEGORIES
+) -> None:
+    """Write one run's labels; an earlier result of the same run goes, even when the new one is empty."""
+    path = _run_folder(root, input=input_name, prompt=prompt, model=model)
+    names = [f.name for f in schemas.predictions(categories).fields][:-3]
+    predictions.select(*names).write.mode("overwrite").parquet(path)
+
+
+def read_predictions(
+    spark: SparkSession, root: str, categories=CATEGORIES,
+    input_name: str | None = None, prompt: str | None = None, model: str | None = None,
+) -> DataFrame:
+    """Labels of all runs, or of those with the given input, prompt and model: only their folders are read."""
+    rows = spark.read.schema(schemas.predictions(categories)).parquet(root)
+    for column, value in (("input", input_name), ("prompt", prompt), ("model", model)):
+        if value is not None:
+            rows = rows.where(F.col(column) == value)
+    return rows
+
+
 # --- prompts, requests, responses ---------------------------------------------------
 
 def read_prompt(spark: SparkSession, path: str) -> str:
@@ -160,15 +194,92 @@ def read_responses(
 
 # --- label checkpoint ---------------------------------------------------------------
 
+IDS_PER_RANGE = 10_000_000
+
+
+def _attempts(spark: SparkSession, path: str, categories, after: int | None) -> DataFrame:
+    rows = spark.read.schema(schemas.checkpoint(categories)).parquet(path)
+    return rows if after is None else rows.where(F.col("attempt") > after)
+
+
+def _snapshot(spark: SparkSession, path: str, categories, ranges: dict[str, int]) -> DataFrame:
+    """Rows of the named id ranges, each from the version that holds it."""
+    schema = schemas.checkpoint(categories)
+    if not ranges:
+        return spark.createDataFrame([], schema)
+    home = f"{path.rstrip('/')}/_snapshot"
+    folders = [f"{home}/version={v}/id_range={r}" for r, v in ranges.items()]
+    return spark.read.schema(schema).parquet(*folders)
+
+
 def read_checkpoint(spark: SparkSession, path: str, categories=CATEGORIES) -> DataFrame:
-    """All attempts so far; a missing table is empty.
+    """All attempts that still count: the snapshot, if there is one, and every later attempt.
 
-    An unreadable file is an error: skipping it would bring older labels back. To start over
-    after damage, begin a new table.
+    A missing table is empty. An unreadable file is an error: skipping it would bring older labels
+    back. To start over after damage, begin a new table.
     """
-    if not _exists(spark, path):
+    if not versions.exists(spark, path):
         return spark.createDataFrame([], schemas.checkpoint(categories))
-    return spark.read.schema(schemas.checkpoint(categories)).parquet(path)
+    found = versions.current(spark, f"{path.rstrip('/')}/_manifest")
+    if found is None:
+        return _attempts(spark, path, categories, None)
+    state = found[1]
+    merged = _snapshot(spark, path, categories, state["ranges"])
+    return merged.unionByName(_attempts(spark, path, categories, state["attempt"]))
+
+
+def compact_checkpoint(
+    spark: SparkSession, path: str, categories=CATEGORIES, ids_per_range: int = IDS_PER_RANGE
+) -> int:
+    """Merge all attempts into the snapshot, one row per review; returns the snapshot's version.
+
+    Only id ranges with later attempts are written anew; the manifest names the version of each
+    range and is written last, so a merge that breaks off changes nothing and is repeated whole. The
+    manifest has one entry per range of ``ids_per_range`` ids, which the first merge fixes. Merged
+    attempts stay on disk until ``prune_checkpoint``.
+    """
+    home = path.rstrip("/")
+    found = versions.current(spark, f"{home}/_manifest")
+    version, state = found or (0, {"attempt": None, "ids_per_range": ids_per_range, "ranges": {}})
+    id_range = F.floor(F.col("review_id") / F.lit(state["ids_per_range"])).cast("bigint").alias("id_range")
+    newer = _attempts(spark, path, categories, state["attempt"])
+    touched = newer.groupBy(id_range).agg(F.max("attempt").alias("attempt")).collect()  # a row per range
+    if not touched:
+        return version
+    names = [str(r["id_range"]) for r in touched]
+    old = _snapshot(spark, path, categories, {n: state["ranges"][n] for n in names if n in state["ranges"]})
+    latest = latest_predictions(old.unionByName(newer), categories).withColumn("id_range", id_range)
+    (
+        latest.select(*schemas.checkpoint(categories).names, "id_range")
+        .repartitionByRange("id_range", "review_id")
+        .sortWithinPartitions("id_range", "review_id")
+        .write.mode("overwrite").partitionBy("id_range").parquet(f"{home}/_snapshot/version={version + 1}")
+    )
+    versions.publish(spark, f"{home}/_manifest", version + 1, {
+        "attempt": max(r["attempt"] for r in touched), "ids_per_range": state["ids_per_range"],
+        "ranges": {**state["ranges"], **dict.fromkeys(names, version + 1)},
+    })
+    return version + 1
+
+
+def prune_checkpoint(spark: SparkSession, path: str) -> None:
+    """Delete what the current manifest no longer needs: merged attempts and replaced ranges.
+
+    Run it when nobody reads by an older manifest.
+    """
+    home = path.rstrip("/")
+    found = versions.current(spark, f"{home}/_manifest")
+    if found is None:
+        return
+    last, state = found
+    for name in versions.children(spark, home):
+        if name.startswith("attempt=") and int(name[8:]) <= state["attempt"]:
+            versions.delete(spark, f"{home}/{name}")
+    for folder in versions.children(spark, f"{home}/_snapshot"):
+        version = int(folder.removeprefix("version="))
+        for name in versions.children(spark, f"{home}/_snapshot/{folder}") if version <= last else []:
+            if name.startswith("id_range=") and state["ranges"].get(name[9:]) != version:
+                versions.delete(spark, f"{home}/_snapshot/{folder}/{name}")
 
 
 def append_checkpoint(
@@ -177,8 +288,12 @@ def append_checkpoint(
     """Write one attempt; other attempts stay, and the highest wins on reading.
 
     Each attempt is a partition of its own, so that writing one again replaces it. Answers
-    whose id could not be read go to ``_unidentified`` beside the attempts, one folder each.
+    whose id could not be read go to ``_unidentified`` beside the attempts, one folder each. An
+    attempt that a snapshot has merged cannot be written again.
     """
+    found = versions.current(predictions.sparkSession, f"{path.rstrip('/')}/_manifest")
+    if found is not None and attempt <= found[1]["attempt"]:
+        raise ValueError(f"attempt {attempt} is merged already; go on with {found[1]['attempt'] + 1}")
     rows = predictions.withColumn("attempt", F.lit(attempt).cast("bigint")).select(
         *schemas.checkpoint(categories).names
     )
@@ -220,8 +335,3 @@ def import_template(
 def append_metrics(row: DataFrame, path: str) -> None:
     row.write.mode("append").parquet(path)
 
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)

@@ -125,6 +125,40 @@ def test_repeated_attempts_and_ties(spark, tmp_path):
     assert tables.read_unidentified(spark, state, 1).count() == 0
 
 
+def _latest(spark, state):
+    rows = lab.latest_predictions(tables.read_checkpoint(spark, state)).collect()
+    return {r.review_id: (r.attempt, r.DRIVER_OPS_pred) for r in rows}
+
+
+def test_compaction(spark, tmp_path):
+    state = str(tmp_path / "state")
+    tables.append_checkpoint(_answers(spark, (1, "ERROR"), (2, "NEG"), (25, "NEG"), (-3, "NEG")), state, 1)
+    assert tables.compact_checkpoint(spark, state, ids_per_range=10) == 1
+    tables.append_checkpoint(_answers(spark, (1, "NEG"), (1, "ERROR"), (4, "ABSENT")), state, 2)
+    want = {1: (2, "NEG"), 2: (1, "NEG"), 4: (2, "ABSENT"), 25: (1, "NEG"), -3: (1, "NEG")}
+    assert _latest(spark, state) == want
+    # A merge that broke off has files, broken ones even, but no manifest.
+    half = tmp_path / "state" / "_snapshot" / "version=2" / "id_range=0"
+    half.mkdir(parents=True)
+    (half / "part-0.parquet").write_bytes(b"broken")
+    assert _latest(spark, state) == want
+    assert tables.compact_checkpoint(spark, state) == 2 == tables.compact_checkpoint(spark, state)
+    assert _latest(spark, state) == want and tables.read_checkpoint(spark, state).count() == 5
+    # Only the range with new answers was written again.
+    assert [p.name for p in (tmp_path / "state" / "_snapshot" / "version=2").glob("id_range=*")] == ["id_range=0"]
+    with pytest.raises(ValueError, match="go on with 3"):
+        tables.append_checkpoint(_answers(spark, (1, "NEG")), state, 2)
+    tables.prune_checkpoint(spark, state)
+    assert _latest(spark, state) == want and not list((tmp_path / "state").glob("attempt=*"))
+    assert not (tmp_path / "state" / "_snapshot" / "version=1" / "id_range=0").exists()
+    tables.append_checkpoint(_answers(spark, (25, "ERROR")), state, 3)
+    assert _latest(spark, state) == {**want, 25: (3, "ERROR")}
+    for f in half.glob("*.parquet"):
+        f.write_bytes(b"broken")
+    with pytest.raises(Exception, match="id_range=0"):
+        _latest(spark, state)
+
+
 def test_few_shot_markdown(spark):
     row = (0, ' he said "no" ', " neg", "ABSENT", "absent ")
     df = spark.createDataFrame([row], ["row_id", "content", *CATEGORIES])

@@ -3,6 +3,8 @@ import sys
 
 import pytest
 from pyspark import cloudpickle
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
 
 from reviewmill import schemas
@@ -130,6 +132,49 @@ def test_model_keeps_best_and_latest(spark, tmp_path):
         models.load_model(spark, str(tmp_path / "none"), "f1")
 
 
+def test_a_save_that_breaks_off_changes_nothing(spark, tmp_path):
+    root = str(tmp_path / "run")
+
+    def rule(n):
+        return PipelineModel([SQLTransformer(statement=f"SELECT {n} AS n FROM __THIS__")])
+
+    class Broken:
+        def write(self):
+            raise OSError("disk")
+
+    def loaded(which):
+        model, row = models.load_model(spark, root, "f1", which)
+        return model.transform(spark.range(1)).first()["n"], row["epoch"]
+
+    assert models.save_model(spark, rule(1), root, 0, {"f1": 0.5}, "f1")
+    with pytest.raises(OSError, match="disk"):
+        models.save_model(spark, Broken(), root, 1, {"f1": 0.9}, "f1")
+    rule(7).write().save(f"{root}/models/000000002")  # written, but no pointer
+    assert loaded("best") == loaded("latest") == (1, 0)
+    assert models.save_model(spark, rule(3), root, 1, {"f1": 0.6}, "f1")
+    assert not models.save_model(spark, rule(4), root, 2, {"f1": 0.6}, "f1")
+    assert loaded("best") == (3, 1) and loaded("latest") == (4, 2)
+
+
+def test_predictions_table(spark, tmp_path):
+    root = str(tmp_path / "predictions")
+    one = spark.createDataFrame([(1, "NEG", "ABSENT")], "review_id long, A_pred string, B_pred string")
+    runs = [("a/b", "p", "m"), ("a-b", "p", "m"), ("a b%é=:", "p", "m"), ("a/b", "p", "0042")]
+    for run in runs:
+        tables.write_predictions(one, root, *run, CATS)
+    rows = tables.read_predictions(spark, root, CATS)
+    assert sorted((r.input, r.prompt, r.model) for r in rows.collect()) == sorted(runs)
+    tables.write_predictions(one.limit(0), root, *runs[0], CATS)
+    assert tables.read_predictions(spark, root, CATS, "a/b").select("model").collect() == [("0042",)]
+    pruned = tables.read_predictions(spark, root, CATS, "a-b", "p", "m")
+    assert pruned.count() == 1
+    plan = pruned._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert all(c in filters for c in ("input", "prompt", "model"))
+    with pytest.raises(ValueError, match="name"):
+        tables.write_predictions(one, root, "", "p", "m", CATS)
+
+
 def test_build_splits(spark):
     rows = [(i, f"t{i}", "NEG" if i % 4 == 0 else "ABSENT", "ERROR" if i == 7 else "ABSENT") for i in range(40)]
     pool = spark.createDataFrame(rows, "review_id bigint, content string, A_pred string, B_pred string")
