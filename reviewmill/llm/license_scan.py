@@ -59,7 +59,7 @@ class Rule(NamedTuple):
 
 def _version(n: str) -> str:
     major, _, minor = n.partition(".")
-    return rf",? ?(?:version |v\.? ?|-)?{major}" + (rf"(?:\.{minor})?" if minor == "0" else rf"\.{minor}")
+    return rf",? ?(?:version |v\.? ?|-)?{major}" + (rf"(?:\.{minor})?" if minor == "0" else rf"\.{minor}") + r"(?!\.?[0-9])"
 
 
 def _short(name: str, majors: str) -> str:
@@ -186,10 +186,10 @@ def build_rules() -> list[Rule]:
     for f in FAMILIES:
         title = rf"(?:{f.name}) licen[cs]e" if f.short else f.name
         forms = [
-            ("identifier", 4, rf"SPDX-License-Identifier:\s*(?:{f.ids})(?![\w.])", [["spdx"]]),
+            ("identifier", 4, rf"SPDX-License-Identifier:\s*\(?(?:{f.ids})(?!\w|\.\w)", [["spdx"]]),
             ("notice", 3, rf"{_UNDER}(?:{f.name})(?: licen[cs]e)?(?!\w)", [[UNDER], VERBS]),
             ("title", 2, rf"(?<!\w)(?:{title})(?!\w)", [["licen", *filter(None, f.alone.split("|"))]]),
-            ("field", 1, rf"licen[cs]e\s*[:=]\s*[\"']?(?:{f.ids})(?![\w.])", [["licen"]]),
+            ("field", 1, rf"licen[cs]es?[\"']?\s*[:=]\s*[\[(\"'\s]*(?:{f.ids})(?!\w|\.\w)", [["licen"]]),
         ]
         for form, priority, pattern, keys in forms:
             out.append(Rule(f.label, form, priority, "(?i)" + _spaced(pattern), [*keys, f.keys.split("|")]))

@@ -179,7 +179,8 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, windows: int = TRAIN_WIND
     order = hash40(F.lit("pii"), F.col("doc_id"))
     ids = docs.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().orderBy(order, "doc_id").limit(train_docs)
     # At most train_docs ids: small enough to broadcast whatever the table holds.
-    sample = docs.select("doc_id", text.alias("t")).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    sample = docs.select("doc_id", text.alias("t")).join(F.broadcast(ids), "doc_id")
+    sample = sample.groupBy("doc_id").agg(F.min("t").alias("t"))  # of several texts of an id the least
     rows = sample.select("doc_id", F.pandas_udf(_carriers, "array<string>")("t").alias("w")).orderBy("doc_id").collect()
     return Tagger().fit(*training_windows([w for r in rows for w in r["w"] if w.strip()], windows), EPOCHS)
 
@@ -227,8 +228,9 @@ def reconcile(text: str, found: list[tuple[int, int, int, int]], base: list[tupl
             end -= 1
         if any(s < end and start < e for s, e in taken):
             continue
-        taken.append((start, end))
+        # A badly cut span must not silence the whole one of the next window.
         if _holds(kind, text[start:end]):
+            taken.append((start, end))
             out.append((start, kind, end))
     return sorted(out)
 

@@ -47,20 +47,20 @@ BASE = [
     Rule("hex", "[0-9a-f]{24,}"),  # the whole runs of 24 or more
 ]
 MORE = [
-    Rule("private_key", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("forge_token", "gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("lab_token", "glpat-[A-Za-z0-9_-]{20,}"),
     Rule("chat_token", "xox[abeoprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud_key", "AIza[A-Za-z0-9_-]{35}"),
     Rule("temporary_access", "ASIA[A-Z0-9]{16,}"),
     Rule("payment_key", "[sr]k_(?:live|test)_[A-Za-z0-9]{16,}"),
-    Rule("mail_key", "SG\\.[A-Za-z0-9_-]{16,64}\\.[A-Za-z0-9_-]{16,64}"),
+    Rule("mail_key", "SG\\.[A-Za-z0-9_-]{16,}\\.[A-Za-z0-9_-]{16,}"),
     Rule("package_token", "npm_[A-Za-z0-9]{36}|pypi-[A-Za-z0-9_-]{32,}"),
     Rule("hub_token", "hf_[A-Za-z0-9]{30,}"),
     Rule("web_token", "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}"),
     Rule("storage_key", "AccountKey=[A-Za-z0-9+/=]{40,}"),
     Rule("bearer", "[Bb]earer\\x20+[A-Za-z0-9._~+/-]{20,}"),
-    Rule("url_login", "://[^\\s/:@]{1,256}:[^\\s/@]{1,256}@"),
+    Rule("url_login", "://[^\\s/:@]+:[^\\s/@]+@"),
 ]
 RULES = BASE + MORE
 MARKER = "[SECRET]"

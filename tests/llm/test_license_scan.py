@@ -143,3 +143,14 @@ def test_no_match_is_lost_to_a_keyword(spark):
     for r in rows:
         assert [tuple(d) for d in r["licenses"]["found"]] == ungated(r["text"]), r["text"]
     assert sum(bool(r["licenses"]["found"]) for r in rows) > 0.9 * len(rows)
+
+
+@pytest.mark.parametrize(("text", "label", "found"), [
+    ("Apache License 2.1", "apache-2.0", False), ("Apache License, Version 2.0", "apache-2.0", True),
+    ("under the Apache License 2.0.", "apache-2.0", True), ("the GPL 3.5", "gpl-3.0", False),
+    ('"license": "MIT"', "mit", True), ("license: MIT.", "mit", True), ("licenses: [MIT]", "mit", True),
+    ("SPDX-License-Identifier: (MIT OR Apache-2.0)", "mit", True), ("license: MIT.x", "mit", False),
+])
+def test_versions_and_metadata_fields(text, label, found):
+    rules = [r for r in ls.build_rules() if r.label == label]
+    assert rules and any(re.search(r.pattern, text, re.ASCII) for r in rules) == found

@@ -112,3 +112,9 @@ def test_query(spark, tmp_path):
     r = {x["doc_id"]: x for x in pii.op6_pii_tagger(spark, str(tmp_path)).collect()}[len(rows) - 1]
     assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) == (1, 1, 1, 1)
     assert r["spans"] == "email:5:22,ip:24:32,phone:36:53,card:55:71"
+
+
+def test_a_badly_cut_span_does_not_silence_the_whole_one():
+    text, kind = "host 10.20.30.40 is up", 1
+    s, e = text.index("10."), text.index(" is")
+    assert pii.reconcile(text, [(s, e - 3, kind, 0), (s, e, kind, 0)], []) == [(s, kind, e)]

@@ -80,3 +80,9 @@ def test_overlapping_spans_are_masked_once(spark):
     df = spark.createDataFrame([(1, text, 5)], "doc_id long, text string, n_chars long")
     row = ss.mask_secrets(df).first()
     assert (row["text"], row["n_chars"]) == ("[SECRET] end", 12)
+
+
+def test_long_logins_are_found_whole(spark):
+    text = f"see ftp://user:{'p' * 5000}@host and SG.{'a' * 90}.{'b' * 90} too"
+    found = [tuple(s)[:] for s in ss.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), out="found").first()["found"]]
+    assert found == brute(text) and {"url_login", "mail_key"} <= {part for s in found for part in s if isinstance(part, str)}
