@@ -438,6 +438,32 @@ SELECT doc_id AS review_id, CASE quality WHEN 0 THEN 'ABSENT' ELSE 'NEG' END AS
             "pool_split": _sample("pool", "LOW_QUALITY, TOXIC", "floor(0.2E0 * {n} + 0.5)", 12),
         },
     )
+    names = ("train", "valid", "test")
+    audit = [f"SELECT 'rows' AS metric, '{a}' AS split, CAST(NULL AS VARCHAR) AS other, CAST(NULL AS VARCHAR) AS category, "
+             f"CAST(count(*) AS DOUBLE) AS value FROM audited WHERE split = '{a}'" for a in names]
+    audit += [f"SELECT 'texts', '{a}', NULL, NULL, count(DISTINCT content) FROM audited WHERE split = '{a}'" for a in names]
+    audit += [f"SELECT 'rate', '{a}', NULL, '{c}', round(avg(CAST({c} = 'NEG' AS INT)), 9) FROM audited WHERE split = '{a}'"
+              for a in names for c in ("LOW_QUALITY", "TOXIC")]
+    in_other = "count({x}) FROM audited WHERE split = '{a}' AND content IN (SELECT content FROM audited WHERE split = '{b}')"
+    audit += [f"SELECT 'shared_texts', '{a}', '{b}', NULL, " + in_other.format(x="DISTINCT content", a=a, b=b)
+              for i, a in enumerate(names) for b in names[i + 1:]]
+    audit += [f"SELECT 'shared_rows', '{a}', '{b}', NULL, " + in_other.format(x="*", a=a, b=b)
+              for a in names for b in names if a != b]
+    out["split_audit"] = _q(
+        [*_GOLD, "normalized"],
+        " UNION ALL ".join(audit),
+        {
+            "pool": "SELECT * FROM gold_reviews WHERE score < 5",
+            "pool_split": _sample("pool", "LOW_QUALITY, TOXIC", "floor(0.2E0 * {n} + 0.5)", 12),
+            "audited": "SELECT n.content, LOW_QUALITY, TOXIC, CASE WHEN taken THEN 'valid' ELSE 'train' END AS split "
+            "FROM pool_split JOIN normalized n USING (review_id) UNION ALL "
+            "SELECT n.content, LOW_QUALITY, TOXIC, 'test' FROM gold_reviews g JOIN normalized n USING (review_id) WHERE g.score = 5",
+        },
+    )
+    out["build_splits_audit"] = (
+        "SELECT 'shared_texts' AS metric, unnest(['train', 'valid']) AS split, 'test' AS other, "
+        "CAST(NULL AS VARCHAR) AS category, CAST(0 AS DOUBLE) AS value"
+    )
     out["leaked_rows"] = _q(
         [*_GOLD, "normalized"],
         "SELECT n.review_id FROM gold g JOIN normalized n USING (review_id) WHERE n.content IN "
@@ -464,6 +490,12 @@ SELECT doc_id AS review_id, CASE quality WHEN 0 THEN 'ABSENT' ELSE 'NEG' END AS
         "SELECT '## 4. Few-Shot Demonstrations' || chr(10) || chr(10) || "
         "string_agg(block, chr(10) ORDER BY example) AS markdown FROM blocks",
     )
+    out["prompt_source"] = _q(
+        shots,
+        "SELECT review_id, md5((SELECT array_to_string(list_filter(string_split('## 4. Few-Shot Demonstrations' || chr(10) || "
+        "string_agg(block, chr(10) ORDER BY example), chr(10)), lambda x: x <> ''), chr(10)) FROM blocks)) AS prompt_md5 "
+        "FROM gold_reviews",
+    )
 
     # labelling
     out["label_requests"] = _q(
@@ -550,6 +582,14 @@ SELECT doc_id AS review_id, CASE quality WHEN 0 THEN 'ABSENT' ELSE 'NEG' END AS
         "(SELECT review_id, content FROM reviews UNION ALL "
         "SELECT -review_id - 1, '' FROM reviews WHERE review_id % 5 = 0)",
     )
+    out["classify_once"] = _q(
+        _REVIEW,
+        "SELECT review_id, CASE WHEN length(content) % 19 = 0 THEN 'ERROR' "
+        "WHEN length(content) % 2 = 1 THEN 'NEG' ELSE 'ABSENT' END AS LOW_QUALITY_pred, "
+        "CASE WHEN length(content) % 19 = 0 THEN 'ERROR' WHEN length(content) % 5 = 0 THEN 'NEG' ELSE 'ABSENT' END "
+        "AS TOXIC_pred, CAST(1 AS BIGINT) AS calls, "
+        "EXISTS (SELECT 1 FROM reviews WHERE length(content) % 7 = 3) AS broke_down FROM reviews",
+    )
     out["unidentified_answers"] = _q(
         _ANSWERS,
         "SELECT a.LOW_QUALITY_pred, a.TOXIC_pred, count(*) AS n, "
@@ -576,6 +616,30 @@ SELECT doc_id AS review_id, CASE quality WHEN 0 THEN 'ABSENT' ELSE 'NEG' END AS
         "SELECT user_name, score, 1700000000 + review_id AS seconds, content, CAST(1 AS BIGINT) AS n, "
         "CAST(1 AS BIGINT) AS ids FROM reviews",
     )
+    landings = {
+        "landed": "SELECT user_name, score, 1700000000 + review_id % 2 AS seconds, content, "
+        "CAST(CASE WHEN bool_or(review_id % 3 <> 0) THEN 1 ELSE 2 END AS BIGINT) AS landing FROM reviews GROUP BY ALL"
+    }
+    out["land_twice"] = _q(
+        _REVIEW, "SELECT user_name, score, seconds, content, landing FROM landed", landings
+    )
+    out["landing_ids"] = _q(
+        _REVIEW,
+        "SELECT landing, count(*) AS n, CAST(sum(count(*)) OVER (ORDER BY landing) - count(*) AS BIGINT) AS first, "
+        "CAST(sum(count(*)) OVER (ORDER BY landing) - 1 AS BIGINT) AS last FROM landed GROUP BY landing",
+        landings,
+    )
+    out["annotation_round_trip"] = _q(
+        _GOLD,
+        "SELECT review_id, content, 1700000000 + review_id AS seconds, LOW_QUALITY, "
+        "CASE WHEN review_id % 7 = 0 THEN 'neg?' WHEN review_id % 11 <> 0 THEN TOXIC END AS TOXIC, "
+        "CASE WHEN review_id % 7 = 0 OR review_id % 11 = 0 THEN 'TOXIC' ELSE '' END AS failed_checks FROM gold_reviews",
+    )
+    out["probability_checks"] = _q(
+        ["gold", "scores"],
+        "SELECT review_id, concat_ws(',', CASE WHEN LOW_QUALITY_logit NOT BETWEEN 0 AND 1 THEN 'LOW_QUALITY_logit' END, "
+        "CASE WHEN TOXIC_logit NOT BETWEEN 0 AND 1 THEN 'TOXIC_logit' END) AS failed_checks FROM scores",
+    )
     out["triage_result"] = _q([*_REVIEW, "scored_text"], _TRIAGE)
     out["triage_stream"] = out["triage_result"]
 
@@ -638,6 +702,7 @@ SELECT doc_id AS review_id, CASE quality WHEN 0 THEN 'ABSENT' ELSE 'NEG' END AS
         "FROM gold JOIN scored_text s USING (review_id)",
     )
     out["best_epoch"] = _q(["epochs"], best.format("DESC"))
+    out["metrics_log"] = out["best_epoch"]
     out["best_epoch_lowest"] = _q(["epochs"], best.format("ASC"))
 
     # terms

@@ -10,6 +10,7 @@ from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewmill import schemas
 from reviewmill.functions import labels as lb
 from reviewmill.functions import minhash as mh
 from reviewmill.functions import text as tx
@@ -26,7 +27,8 @@ from reviewmill.operators import (
     terms,
     validation,
 )
-from reviewmill.plans import curation, evaluation
+from reviewmill.operators.joins import lookup_join
+from reviewmill.plans import curation, evaluation, labelling
 from reviewmill.session import cut_lineage, shared_dir
 from reviewmill.sources import models, tables
 from reviewmill.streaming import triage as stream
@@ -353,6 +355,25 @@ def build_splits(spark, sf):
     return rows.select("review_id", "split", *CATEGORIES)
 
 
+@query
+def split_audit(spark, sf):
+    """Sizes, label rates and shared texts of a split whose test set was cut by score alone."""
+    rows = view(spark, sf, "gold_reviews")
+    split = sampling.multilabel_split(rows.where("score < 5"), CATEGORIES)
+    columns = ["review_id", "content", *CATEGORIES]
+    whole = sampling.with_test_set(split.select(*columns, "split"), rows.where("score = 5").select(*columns))
+    return sampling.audit_splits(whole, CATEGORIES).withColumn("value", F.round("value", 9))
+
+
+@query
+def build_splits_audit(spark, sf):
+    """The audit of the library's own splits: no text of the test is trained on."""
+    held = view(spark, sf, "gold_reviews").where("score = 5")
+    pool = view(spark, sf, "gold_reviews").where("score < 5").join(_answers(spark, sf), "review_id")
+    rows, _ = curation.build_splits(pool, held, CATEGORIES)
+    return sampling.audit_splits(rows, CATEGORIES).where("metric = 'shared_texts' AND other = 'test'")
+
+
 @query
 def leaked_rows(spark, sf):
     rows = reviews(spark, sf)
@@ -567,6 +588,26 @@ def classify_external(spark, sf):
     return labelled.select("review_id", *PREDS)
 
 
+@query
+def classify_once(spark, sf):
+    """A service breaks down on the first run; the second asks only what has no answer yet.
+
+    ``calls`` is what the service itself has written down per text: never more than one.
+    """
+    store, log = _run_dir(spark, "answers"), _run_dir(spark, "calls")
+    rows = view(spark, sf, "reviews").select("review_id", "content")
+    args = {"categories": CATEGORIES, "chunk_size": 100, "attempts": 2, "wait": views.no_wait}
+    first = labelling.label_once(rows, views.CountedClassifier(log, breaks=True), store, **args)
+    left = first.where(F.col(PREDS[0]).isNull()).count()
+    done = labelling.label_once(rows, views.CountedClassifier(log, breaks=False), store, **args)
+    again = labelling.label_once(done.drop(*PREDS), views.CountedClassifier(log, breaks=False), store, **args)
+    calls = spark.read.text(log).groupBy(F.col("value").alias("digest")).agg(F.count("*").alias("calls"))
+    copies = rows.groupBy(F.sha2("content", 256).alias("digest")).agg(F.count("*").alias("n"))
+    answered = again.withColumn("digest", F.sha2("content", 256))
+    counted = lookup_join(answered, copies.join(calls, "digest", "left"), ["digest"], "n", rows.count())
+    return counted.select("review_id", *PREDS, "calls", F.lit(left > 0).alias("broke_down"))
+
+
 @query
 def unidentified_answers(spark, sf):
     """Answers whose id cannot be read are kept beside the checkpoint, not dropped."""
@@ -804,6 +845,85 @@ def ingest_reviews(spark, sf):
     return counted.agg(F.count("*").alias("n"), F.count_distinct("review_id").alias("ids"))
 
 
+def _landed_twice(spark, sf) -> DataFrame:
+    """Raw reviews in overlapping files, landed one after the other, the last of them twice."""
+    target = _run_dir(spark, "landings")
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("review_id") % 2)
+    rows = view(spark, sf, "reviews").select(
+        "review_id", F.col("user_name").alias("userName"), "score", at.alias("at"), "content"
+    )
+    for part in ("review_id % 3 <> 0", "review_id % 3 <> 1"):
+        raw = _run_dir(spark, "raw")
+        tables.write_csv(rows.where(part).drop("review_id"), raw)
+        landed = tables.land_more(spark, raw, target)
+    return tables.land_more(spark, raw, target)
+
+
+@query
+def land_twice(spark, sf):
+    """Every review once, in the landing that brought it first."""
+    return _landed_twice(spark, sf).select(
+        "user_name", "score", F.unix_timestamp("reviewed_at").alias("seconds"), "content", "landing"
+    )
+
+
+@query
+def landing_ids(spark, sf):
+    """Ids per landing: without gaps, and going on where the landing before ended."""
+    return _landed_twice(spark, sf).groupBy("landing").agg(
+        F.count_distinct("review_id").alias("n"), F.min("review_id").alias("first"), F.max("review_id").alias("last")
+    )
+
+
+@query
+def annotation_round_trip(spark, sf):
+    """Template -> filled in by hand, some fields wrongly -> rows with valid labels and rows to do again."""
+    empty, filled = _run_dir(spark, "template"), _run_dir(spark, "filled")
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("review_id")).alias("reviewed_at")
+    rows = view(spark, sf, "gold_reviews").join(view(spark, sf, "reviews").select("review_id", "user_name"), "review_id")
+    tables.export_template(rows.select("review_id", "user_name", "score", at, "content"), empty, CATEGORIES)
+    read = tables.read_csv(spark, empty, schemas.golden(CATEGORIES), "yyyy-MM-dd HH:mm:ss")
+    gold = view(spark, sf, "gold")
+    toxic = F.when(F.col("review_id") % 7 == 0, F.lit("neg?")).when(F.col("review_id") % 11 != 0, F.col("TOXIC"))
+    by_hand = read.drop(*CATEGORIES).join(gold.withColumn("TOXIC", toxic), "review_id")
+    tables.write_csv(by_hand.select(*read.columns), filled)
+    good, todo = tables.import_template(spark, filled, CATEGORIES)
+    columns = ["review_id", "content", F.unix_timestamp("reviewed_at").alias("seconds"), *CATEGORIES]
+    valid = good.select(*columns, F.lit("").alias("failed_checks"))
+    return valid.unionByName(todo.select(*columns, F.array_join("failed_checks", ",").alias("failed_checks")))
+
+
+@query
+def prompt_source(spark, sf):
+    """The few-shot section as a prompt file's text, and how a request carries it."""
+    path = _run_dir(spark, "prompt")
+    tables.write_ordered_text(labeling.few_shot_lines(_blocks(spark, sf)), path)
+    prompt = tables.read_prompt(spark, path)
+    rows = labeling.label_requests(view(spark, sf, "gold_reviews"), prompt, "m", CATEGORIES)
+    system = F.get_json_object("line", "$.body.messages[0].content")
+    lines = F.filter(F.split(system, "\n"), lambda x: x != "")
+    return rows.select("review_id", F.md5(F.array_join(lines, "\n")).alias("prompt_md5"))
+
+
+@query
+def probability_checks(spark, sf):
+    """Scores taken as probabilities: what lies outside of 0 to 1 is named."""
+    columns = [f"{c}_logit" for c in CATEGORIES]
+    good, bad = validation.validate_probabilities(view(spark, sf, "scores"), columns)
+    named = bad.select("review_id", F.array_join("failed_checks", ",").alias("failed_checks"))
+    return named.unionByName(good.select("review_id", F.lit("").alias("failed_checks")))
+
+
+@query
+def metrics_log(spark, sf):
+    """The best epoch out of a log written epoch by epoch."""
+    path = _run_dir(spark, "log")
+    epochs = view(spark, sf, "epochs")
+    for epoch in range(6):
+        tables.append_metrics(epochs.where(F.col("epoch") == epoch), path)
+    return metrics.best_epoch(spark.read.schema(epochs.schema).parquet(path), "macro_f1_mean")
+
+
 @query
 def csv_round_trip(spark, sf):
     path = _run_dir(spark, "csv")

@@ -6,11 +6,15 @@ Model outputs, responses and the metrics log are derived from them by arithmetic
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewmill.operators.scoring import RateLimited
 from reviewmill.session import spread
+from reviewmill.sources import answers
 
 CATEGORIES = ["LOW_QUALITY", "TOXIC"]
 ALIASES = {"QUALITY_LOW": "LOW_QUALITY"}
@@ -131,5 +135,32 @@ def load_flaky_classifier():
     return classify
 
 
+class CountedClassifier:
+    """Service that writes down every text it answers, in a file of its own, and may break down.
+
+    ``breaks``: texts of some lengths find it rate-limited for good, and it answers nothing after that.
+    """
+
+    def __init__(self, log: str, breaks: bool):
+        self.log, self.breaks = log, breaks
+
+    def __call__(self):
+        fs, folder = answers.file_system(self.log)
+        fs.create_dir(folder, recursive=True)
+        lines = fs.open_output_stream(f"{folder}/{uuid.uuid4().hex}.txt")
+
+        def classify(text):
+            n = len(text)
+            if self.breaks and n % 7 == 3:
+                raise RateLimited()
+            lines.write((hashlib.sha256(text.encode()).hexdigest() + "\n").encode())
+            lines.flush()
+            if n % 19 == 0:
+                raise ValueError("no answer")
+            return {"LOW_QUALITY": "NEG" if n % 2 else "ABSENT", "TOXIC": "NEG" if n % 5 == 0 else "ABSENT"}
+
+        return classify
+
+
 def no_wait(seconds: float) -> None:
     return None

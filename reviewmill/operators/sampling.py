@@ -13,8 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import CHUNK_SIZE, FEW_SHOT_COUNT, GOLDEN_COUNT, NEG, SAMPLE_SEED, VALID_SIZE
-from ..functions.text import normalize_text
+from ..constants import CHUNK_SIZE, FEW_SHOT_COUNT, GOLDEN_COUNT, NEG, SAMPLE_SEED, SPLITS, VALID_SIZE
+from ..functions.text import normalize_text, null_to_empty
 from ..session import cut_lineage
 from .joins import lookup_join
 
@@ -228,6 +228,59 @@ def leaked_rows(test: DataFrame, train: DataFrame, column: str = "content") -> D
     return lookup_join(marked, shared, ["_digest"], "_rows", test.count()).select(*test.columns)
 
 
+def audit_splits(
+    rows: DataFrame, categories: list[str], names=SPLITS, split: str = "split", content: str = "content"
+) -> DataFrame:
+    """What has to be known of a split before training on it: (metric, split, other, category, value).
+
+    ``rows`` and ``texts`` (different normalized texts) per split; ``rate``, the share of positive rows per
+    split and category (positive is ``NEG`` or 1; rows with a null label are left out); and for every two
+    splits ``shared_texts``, normalized texts that both hold, and ``shared_rows``, rows of ``split`` whose
+    text is in ``other``. Null text is read as empty. Splits without rows have zeros and a null rate;
+    rows of other splits than ``names`` are an error.
+
+    One pass: rows are added up per text digest before and in the only large shuffle, so a text that
+    a third of the rows repeat is one row of it; everything else is one row.
+    """
+    stray = F.raise_error(F.concat(F.lit("unknown split "), F.coalesce(split, F.lit("null"))))
+    known = F.when(F.col(split).isin(*names), F.col(split)).otherwise(stray)
+    cols = {f"_v{j}": F.col(c).cast("string").isin(NEG, "1").cast("long") for j, c in enumerate(categories)}
+    marked = rows.select(
+        F.sha2(normalize_text(null_to_empty(content)), 256).alias("_digest"), known.alias("_split"),
+        *[v.alias(k) for k, v in cols.items()],
+    )
+    sums = []
+    for i, name in enumerate(names):
+        here = F.col("_split") == name
+        sums.append(F.count_if(here).alias(f"_n{i}"))
+        for v in cols:
+            sums.append(F.coalesce(F.sum(F.when(here, F.col(v))), F.lit(0)).alias(f"_pos{i}{v}"))
+            sums.append(F.count(F.when(here, F.col(v))).alias(f"_all{i}{v}"))
+    per_text = marked.groupBy("_digest").agg(*sums)
+
+    def line(metric, name, other, category, value):
+        return F.struct(
+            F.lit(metric).alias("metric"), F.lit(name).alias("split"), F.lit(other).cast("string").alias("other"),
+            F.lit(category).cast("string").alias("category"), value.cast("double").alias("value"),
+        )
+
+    report = []
+    for i, name in enumerate(names):
+        n = F.col(f"_n{i}")
+        report += [line("rows", name, None, None, F.coalesce(F.sum(n), F.lit(0)))]
+        report += [line("texts", name, None, None, F.count_if(n > 0))]
+        for v, c in zip(cols, categories):
+            rate = F.try_divide(F.sum(f"_pos{i}{v}"), F.sum(f"_all{i}{v}"))
+            report += [line("rate", name, None, c, rate)]
+        for j, other in enumerate(names):
+            both = (n > 0) & (F.col(f"_n{j}") > 0)
+            if i < j:
+                report += [line("shared_texts", name, other, None, F.count_if(both))]
+            if i != j:
+                report += [line("shared_rows", name, other, None, F.coalesce(F.sum(F.when(both, n)), F.lit(0)))]
+    return per_text.agg(F.array(*report).alias("_lines")).select(F.inline("_lines"))
+
+
 def dense_row_ids(
     df: DataFrame, order_by: str = "review_id", out: str = "row_id"
 ) -> DataFrame:

@@ -103,8 +103,7 @@ def classify_external(
 
     Rate limits are retried after 1, 2, 4, ... at most 60 seconds and fail the task when
     the attempts run out; any other failure makes the whole row ERROR. Null text is asked
-    about as empty text. A rerun of a task
-    calls the service again, so label a table chunk by chunk through the checkpoint.
+    about as empty text. A rerun of a task calls the service again; ``plans.labelling.label_once`` does not.
     """
 
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -7,9 +7,18 @@ latest predictions to the input. A lost run starts again at the first step.
 
 from __future__ import annotations
 
+import time
+import uuid
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..constants import CATEGORIES, CHUNK_SIZE
+from ..constants import CATEGORIES, CHUNK_SIZE, ERROR
+from ..functions import text as tx
+from ..functions.labels import pred_columns
+from ..operators.joins import lookup_join
 from ..operators.labeling import (
     attach_predictions,
     label_requests,
@@ -17,6 +26,9 @@ from ..operators.labeling import (
     pending_chunks,
 )
 from ..operators.sampling import assign_chunks
+from ..operators.scoring import RateLimited, _call
+from ..session import cut_lineage
+from ..sources import answers as store_of
 from ..sources.tables import append_checkpoint, read_checkpoint, read_responses, write_requests
 
 
@@ -52,3 +64,89 @@ def collect_responses(
     )
     latest = latest_predictions(read_checkpoint(spark, checkpoint_path, categories), categories)
     return attach_predictions(reviews, latest, categories)
+
+
+COMMIT_EVERY = 20
+
+
+def ask_chunk(
+    texts: dict[str, str], folder: str, classify: Callable[[str], dict], categories=CATEGORIES,
+    commit_every: int = COMMIT_EVERY, attempts: int = 5, wait: Callable[[float], None] = time.sleep,
+) -> tuple[int, int]:
+    """Ask about the texts of a chunk (by digest) that have no answer in ``folder`` yet; (asked, left).
+
+    Answers are committed every ``commit_every`` texts and also when the service or the task gives up,
+    so another attempt goes on where this one ended. A service that stays rate-limited ends the
+    chunk: the rest is left for the next run.
+    """
+    have = store_of.committed(folder)
+    todo = [digest for digest in sorted(texts) if digest not in have]
+    fresh: dict[str, list[str]] = {}
+    asked = 0
+    try:
+        for digest in todo:
+            answer = _call(classify, texts[digest], attempts, wait)
+            fresh[digest] = [ERROR if answer is None else answer.get(c, ERROR) for c in categories]
+            asked += 1
+            if len(fresh) >= commit_every:
+                store_of.commit(folder, fresh, categories)
+                fresh = {}
+    except RateLimited:
+        pass
+    finally:
+        store_of.commit(folder, fresh, categories)
+    return asked, len(todo) - asked
+
+
+def label_once(
+    reviews: DataFrame,
+    load_classifier: Callable[[], Callable[[str], dict]],
+    store: str,
+    categories=CATEGORIES,
+    chunk_size: int = CHUNK_SIZE,
+    commit_every: int = COMMIT_EVERY,
+    attempts: int = 5,
+    wait: Callable[[float], None] = time.sleep,
+    content: str = "content",
+    id_col: str = "review_id",
+) -> DataFrame:
+    """Add ``{category}_pred`` from a service that is asked once per text, over tasks and runs.
+
+    Rows with the same text share one answer, and null text is asked about as empty text. Texts that the store has an
+    answer for are not asked again, whatever run or task attempt that was. What a task has answered
+    is committed every ``commit_every`` texts; only a machine that is lost between two commits, or a second
+    copy of a task that is still alive (speculation), asks up to that many texts again.
+    Failures of a text are its answer, ERROR in every category. Rows whose text has no answer because the
+    service stayed rate-limited have null labels: call again with the same store.
+
+    Chunks are cut by the text's digest, so a text that a third of the rows repeat is one text of one chunk.
+    """
+    spark = reviews.sparkSession
+    names = pred_columns(categories)
+    digest = F.sha2(tx.null_to_empty(content), 256)
+    marked = reviews.withColumn("text_digest", digest)
+    texts = cut_lineage(
+        marked.groupBy("text_digest").agg(F.count("*").alias("_rows"), F.min(id_col).alias(id_col))
+    )
+    known = store_of.read_answers(spark, store, categories)
+    wanted = cut_lineage(texts.join(known, "text_digest", "left_anti").select(id_col, "text_digest"))
+    chunks = -(-wanted.count() // chunk_size)
+    if chunks:
+        run = uuid.uuid4().hex
+        home = f"{store.rstrip('/')}/open/run={run}"
+
+        def ask(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            chunk = dict(zip(rows["text_digest"], rows["text"]))
+            folder = f"{home}/chunk={key[0]}"
+            counts = ask_chunk(chunk, folder, load_classifier(), categories, commit_every, attempts, wait)
+            return pd.DataFrame([(key[0], *counts)], columns=["chunk", "asked", "left"])
+
+        dealt = reviews.select(id_col, tx.null_to_empty(content).alias("text")).join(wanted, id_col)
+        dealt = dealt.select("text_digest", "text", F.pmod(F.xxhash64("text_digest"), F.lit(chunks)).alias("chunk"))
+        cut_lineage(dealt.groupBy("chunk").applyInPandas(ask, "chunk long, asked long, left long"))
+        store_of.close_run(spark, store, run, categories)
+        known = store_of.read_answers(spark, store, categories)
+    answered = texts.select("text_digest", "_rows").join(known, "text_digest", "left")
+    total = texts.agg(F.sum("_rows")).first()[0] or 0
+    labelled = lookup_join(marked, answered, ["text_digest"], "_rows", total)
+    return labelled.select(*reviews.columns, *names)

@@ -16,6 +16,15 @@ REVIEWS = T.StructType(
     ]
 )
 
+# Reviews of repeated landings; files are partitioned by ``landing``.
+LANDED = T.StructType(
+    [
+        *REVIEWS.fields,
+        T.StructField("row_digest", T.StringType()),
+        T.StructField("landing", T.LongType()),
+    ]
+)
+
 # Raw review files as scraped: no id; some have an unnamed index column in front.
 RAW = T.StructType(
     [
@@ -48,6 +57,12 @@ def checkpoint(categories=CATEGORIES) -> T.StructType:
     return T.StructType([*keys, *labels])
 
 
+def answers(categories=CATEGORIES) -> T.StructType:
+    """Answers of a labelling service: one row per text, named by its digest."""
+    labels = [T.StructField(f"{c}_pred", T.StringType()) for c in categories]
+    return T.StructType([T.StructField("text_digest", T.StringType()), *labels])
+
+
 def predictions(categories=CATEGORIES) -> T.StructType:
     """Labels of many runs; files are partitioned by the run's input, prompt and model."""
     labels = [T.StructField(f"{c}_pred", T.StringType()) for c in categories]

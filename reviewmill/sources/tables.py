@@ -11,7 +11,9 @@ from pyspark.sql.types import StructType
 from .. import schemas
 from ..constants import CATEGORIES, SPLITS
 from ..operators.labeling import latest_predictions, parse_responses
+from ..operators.sampling import dense_row_ids
 from ..operators.validation import validate_labels
+from ..session import cut_lineage
 from . import versions
 
 # Quotes are doubled inside quoted fields, and texts may hold line breaks.
@@ -59,6 +61,19 @@ def read_reviews(
     return spark.read.schema(schema).format(fmt).load(path).select(*schema.names)
 
 
+def _raw_reviews(spark: SparkSession, source: str, fmt: str, index: bool) -> DataFrame:
+    """Raw review files with the columns' names of the review record, without an id."""
+    if index:
+        # An unnamed header field reads as _c0, so names are checked here and types cast.
+        rows = spark.read.options(**_CSV).csv(source)
+        if rows.columns != schemas.RAW_INDEXED.names:
+            raise ValueError(f"header {rows.columns} is not {schemas.RAW_INDEXED.names}")
+        rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.RAW.fields])
+    else:
+        rows = read_reviews(spark, source, fmt, schemas.RAW)
+    return rows.withColumnsRenamed(schemas.RAW_NAMES)
+
+
 def land_reviews(
     spark: SparkSession, source: str, target: str, fmt: str = "csv", index: bool = False
 ) -> DataFrame:
@@ -68,21 +83,61 @@ def land_reviews(
     while the rows are written: file by file, by the place of the row in it. They are unique and
     stay; they are not dense.
     """
-    if index:
-        # An unnamed header field reads as _c0, so names are checked here and types cast.
-        rows = spark.read.options(**_CSV).csv(source)
-        if rows.columns != schemas.RAW_INDEXED.names:
-            raise ValueError(f"header {rows.columns} is not {schemas.RAW_INDEXED.names}")
-        rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.RAW.fields])
-    else:
-        rows = read_reviews(spark, source, fmt, schemas.RAW)
-    named = rows.withColumnsRenamed(schemas.RAW_NAMES)
+    named = _raw_reviews(spark, source, fmt, index)
     columns = [c for c in schemas.REVIEWS.names if c != "review_id"]
     numbered = named.select(F.monotonically_increasing_id().alias("review_id"), *columns)
     numbered.write.mode("overwrite").parquet(target)
     return read_reviews(spark, target)
 
 
+def _landed_parts(spark: SparkSession, target: str) -> tuple[int, int]:
+    """(landings, ids given) of a table of repeated landings; (0, 0) when there is none."""
+    found = versions.current(spark, f"{target.rstrip('/')}/_manifest")
+    return (found[0], found[1]["ids"]) if found else (0, 0)
+
+
+def read_landings(spark: SparkSession, target: str) -> DataFrame:
+    """The review record of all finished landings, with the number of its ``landing``."""
+    last, _ = _landed_parts(spark, target)
+    if not last:
+        return spark.createDataFrame([], schemas.LANDED).drop("row_digest")
+    rows = spark.read.schema(schemas.LANDED).parquet(target).drop("row_digest")
+    return rows.where(F.col("landing") <= last)
+
+
+def land_more(
+    spark: SparkSession, source: str, target: str, fmt: str = "csv", index: bool = False
+) -> DataFrame:
+    """Land those raw reviews that no earlier landing holds; all landings, as ``read_landings``.
+
+    Later files may overlap with earlier ones: a review is known by its user, score, time and text
+    together, and lands once, however often it comes. Ids go on where the landing before ended, without
+    gaps, and never change. The manifest of a landing is written last: one that broke off is not
+    read, gives no ids away and is replaced by the next. One writer at a time.
+
+    Digests alone are compared; texts are shuffled once, by the place of their row, which no two rows share.
+    """
+    last, ids = _landed_parts(spark, target)
+    named = _raw_reviews(spark, source, fmt, index)
+    fields = ["user_name", "score", F.unix_micros("reviewed_at").alias("at"), "content"]
+    staged = cut_lineage(named.select(
+        "*", F.sha2(F.to_json(F.struct(*fields)), 256).alias("row_digest"),
+        F.monotonically_increasing_id().alias("_row"),
+    ))
+    new = staged.groupBy("row_digest").agg(F.min("_row").alias("_row"))
+    if last:
+        landed = spark.read.schema(schemas.LANDED).parquet(target).where(F.col("landing") <= last)
+        new = new.join(landed.select("row_digest"), "row_digest", "left_anti")
+    numbered = cut_lineage(dense_row_ids(cut_lineage(new.select("_row")), "_row", "_nth"))
+    count = numbered.count()
+    if count:
+        rows = staged.join(numbered, "_row").withColumn("review_id", F.col("_nth") + F.lit(ids))
+        stored = rows.select(*[c for c in schemas.LANDED.names if c != "landing"])
+        stored.write.mode("overwrite").parquet(f"{target.rstrip('/')}/landing={last + 1}")
+        versions.publish(spark, f"{target.rstrip('/')}/_manifest", last + 1, {"ids": ids + count})
+    return read_landings(spark, target)
+
+
 def read_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Parquet, reading only the named columns."""
     return spark.read.parquet(path).select(*columns)

@@ -169,3 +169,46 @@ def test_iterative_split_of_odd_tables(spark):
         sampling.iterative_multilabel_split(df, ["a"] * 17)
     none = spark.createDataFrame([(i, "ABSENT") for i in range(10)], "review_id long, a string")
     assert sampling.iterative_multilabel_split(none, ["a"]).where("split = 'valid'").count() == 2
+
+
+def audit_plainly(rows, names, categories):
+    by = {n: [r for r in rows if r["split"] == n] for n in names}
+    texts = {n: {r["content"].lower() for r in by[n]} for n in names}
+    out = {}
+    for i, n in enumerate(names):
+        out["rows", n, None, None], out["texts", n, None, None] = len(by[n]), len(texts[n])
+        for c in categories:
+            known = [r[c] for r in by[n] if r[c] is not None]
+            out["rate", n, None, c] = sum(v in ("NEG", 1) for v in known) / len(known) if known else None
+        for j, o in enumerate(names):
+            if i < j:
+                out["shared_texts", n, o, None] = len(texts[n] & texts[o])
+            if i != j:
+                out["shared_rows", n, o, None] = sum(r["content"].lower() in texts[o] for r in by[n])
+    return out
+
+
+@pytest.mark.parametrize("names", [("train", "valid", "test"), ("train", "test"), ("a", "b", "c", "d")])
+def test_audit_equals_a_plain_count(spark, names):
+    rows = [
+        {"split": names[i % len(names)] if i % 5 else names[0], "content": ["same", "Same", f"t {i % 11}", f"u {i}"][i % 4 if i % 3 else 0],
+         "A": ["NEG", "ABSENT", None][i % 3], "B": "NEG" if i % 7 == 0 else "ABSENT"}
+        for i in range(120)
+    ]
+    df = spark.createDataFrame(rows, "split string, content string, A string, B string").repartition(7)
+    got = sampling.audit_splits(df, ["A", "B"], names).collect()
+    want = audit_plainly(rows, names, ["A", "B"])
+    assert len(got) == len(want)
+    assert {(r.metric, r.split, r.other, r.category): r.value for r in got} == pytest.approx(want)
+
+
+def test_audit_of_no_rows_and_of_strays(spark):
+    empty = spark.createDataFrame([], "split string, content string, A int")
+    assert {r.value for r in sampling.audit_splits(empty, ["A"]).collect()} == {0.0, None}
+    nulls = spark.createDataFrame([("train", None, 1), ("test", "", 0)], "split string, content string, A int")
+    got = {(r.metric, r.split, r.other): r.value for r in sampling.audit_splits(nulls, ["A"]).collect()}
+    assert got["shared_texts", "train", "test"] == 1 and got["rate", "train", None] == 1
+    for stray in ("other", None):
+        bad = spark.createDataFrame([(stray, "x", 1)], "split string, content string, A int")
+        with pytest.raises(Exception, match="unknown split"):
+            sampling.audit_splits(bad, ["A"]).collect()

@@ -233,3 +233,40 @@ def test_spread_leaves_wide_scans_alone(spark):
     wide = spark.range(100, numPartitions=16).withColumnRenamed("id", "review_id")
     assert spread(wide) is wide
     assert spread(wide.coalesce(1)).rdd.getNumPartitions() == 8
+
+
+def raw(spark, rows, path):
+    df = spark.createDataFrame(rows, schemas.REVIEWS).drop("review_id")
+    tables.write_csv(df.withColumnsRenamed({v: k for k, v in schemas.RAW_NAMES.items()}).repartition(3), str(path))
+    return str(path)
+
+
+def test_repeated_landings_go_on_with_ids_and_repeat_no_review(spark, tmp_path):
+    target = str(tmp_path / "landed")
+    assert tables.read_landings(spark, target).collect() == []
+    first = raw(spark, [*REVIEWS, REVIEWS[0]], tmp_path / "one")
+    again = {r.review_id: r for r in tables.land_more(spark, first, target).collect()}
+    assert sorted(again) == [0, 1, 2, 3] and {r.landing for r in again.values()} == {1}
+    # Nothing new: no landing, and no version.
+    assert tables.land_more(spark, first, target).count() == 4
+    assert tables.read_landings(spark, target).agg(F.max("landing")).first()[0] == 1
+    # One field more or less is another review, null is not empty text, and microseconds count.
+    later = AT.replace(microsecond=500)
+    more = [(0, None, None, None, ""), (0, "u", 4, AT, REVIEWS[0][4]), (0, "u", 5, later, "x"), (0, "u", 5, AT, "x"), *REVIEWS]
+    path = str(tmp_path / "two")
+    spark.createDataFrame(more, schemas.REVIEWS).drop("review_id").withColumnsRenamed(
+        {v: k for k, v in schemas.RAW_NAMES.items()}).write.parquet(path)
+    got = {r.review_id: r for r in tables.land_more(spark, path, target, "parquet").collect()}
+    assert sorted(got) == list(range(8)) and [got[i].landing for i in range(8)] == [1] * 4 + [2] * 4
+    assert {i: got[i] for i in range(4)} == again
+
+
+def test_a_landing_that_broke_off_is_not_read_and_is_replaced(spark, tmp_path):
+    target = str(tmp_path / "landed")
+    tables.land_more(spark, raw(spark, REVIEWS[:2], tmp_path / "one"), target)
+    half = spark.createDataFrame([(2, "v", 5, AT, "half", "d")], schemas.LANDED.fieldNames()[:-1])
+    half.write.parquet(f"{target}/landing=2")
+    assert tables.read_landings(spark, target).count() == 2
+    got = tables.land_more(spark, raw(spark, REVIEWS[1:], tmp_path / "two"), target).collect()
+    assert sorted(r.review_id for r in got) == [0, 1, 2, 3] and "half" not in {r.content for r in got}
+    assert {r.landing for r in got} == {1, 2}
