@@ -12,7 +12,8 @@
 4. Each shard takes the next, disjoint stretch of a source's permuted block draws and shuffles
    its documents locally.
 
-Only sums per source and block leave the scan; a source that holds most rows is spread over
+The number of shards follows from the words of the mix (``SHARD_WORDS`` each), so a shard does not grow
+with the corpus. Only sums per source and block leave the scan; a source that holds most rows is spread over
 its blocks. Sources are a dimension: one row each, and one array element per tree node.
 
 Defined results: null or empty text has size 0 and is never taken. A null source is a source of its
@@ -22,6 +23,8 @@ interchangeable. Every random choice is an MD5 hash, so that reruns agree.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,8 +36,9 @@ WEIGHTS = [5, 2, 1]
 MAX_REPEAT = 3
 MAX_BLOCKS = 4096  # per source
 MIN_DOCS = 32  # documents in a block, on average
-SHARDS = 64
+SHARD_WORDS = 1 << 22  # words of the mix in a shard, on average
 WORD = r"[^\x20\x09-\x0D]+"
+SPREAD_LEVEL = 8  # of the tree: nodes below it are dealt out to all tasks
 SPREAD = 8  # standard deviations of a draw that the inverse distribution covers
 
 
@@ -91,25 +95,47 @@ def _last_pass(placed: DataFrame) -> DataFrame:
     return b.select("rank", "block", (F.col("words") <= F.col("room")).alias("whole"), "room")
 
 
-def _copies(placed: DataFrame, last: DataFrame) -> DataFrame:
-    """``placed`` with the number of times each row is taken: a whole number per row."""
-    rows = placed.join(last, ["rank", "block"])
-    cut = (~F.col("whole")) & (F.col("room") > 0)
-    whole = rows.where(~cut).withColumn("copies", F.col("passes") + F.col("whole").cast("int"))
+def _cut(last: DataFrame) -> DataFrame:
+    """The blocks, one per source at most, in which the target is reached."""
+    return last.where(~F.col("whole") & (F.col("room") > 0))
+
+
+def _cut_rows(placed: DataFrame, last: DataFrame) -> DataFrame:
+    """Rows of the cut blocks that the last pass takes: (rank, block, u, _id, size, taken).
+
+    Rows equal in all of these are interchangeable; ``taken`` says how many of them go.
+    """
     # The last block gives documents in their order while they fit, then the one that comes
-    # nearest to the gap, if that makes it smaller.
+    # nearest to the gap, if that makes it smaller. Ids and sizes are ranked, never texts.
+    key = ["rank", "block", "u", "_id", "size"]
+    part = placed.join(_cut(last), ["rank", "block"]).select(*key, "room")
     of = W.partitionBy("rank")
     order = of.orderBy("u", "_id", "size")
     upto = F.sum("size").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
-    part = rows.where(cut).withColumn("_upto", upto)
+    part = part.withColumn("_upto", upto)
     part = part.withColumn("_fits", F.col("_upto") <= F.col("room"))
     used = F.coalesce(F.max(F.when(F.col("_fits"), F.col("_upto"))).over(of), F.lit(0))
     part = part.withColumn("_gap", F.col("room") - used)
     off = F.abs(F.col("size") - F.col("_gap"))
     nearest = F.row_number().over(of.orderBy("_fits", off, "u", "_id", "size")) == 1
     last_one = ~F.col("_fits") & nearest & (off < F.col("_gap"))
-    part = part.withColumn("copies", F.col("passes") + (F.col("_fits") | last_one).cast("int"))
-    part = part.drop("_upto", "_fits", "_gap")
+    part = part.withColumn("_goes", (F.col("_fits") | last_one).cast("int"))
+    return part.groupBy(*key).agg(F.sum("_goes").alias("taken"))
+
+
+def _copies(placed: DataFrame, last: DataFrame, cut_rows: DataFrame) -> DataFrame:
+    """``placed`` with the number of times each row is taken: a whole number per row."""
+    rows = placed.join(last, ["rank", "block"])
+    cut = (~F.col("whole")) & (F.col("room") > 0)
+    whole = rows.where(~cut).withColumn("copies", F.col("passes") + F.col("whole").cast("int"))
+    key = ["rank", "block", "u", "_id", "size"]
+    part = rows.where(cut).join(
+        cut_rows.select(*[F.col(c).alias(f"_{c}_of") for c in key], "taken"),
+        [F.col(c).eqNullSafe(F.col(f"_{c}_of")) for c in key],
+    )
+    nth = F.row_number().over(W.partitionBy(*key).orderBy(F.lit(0)))
+    part = part.withColumn("copies", F.col("passes") + (nth <= F.col("taken")).cast("int"))
+    part = part.drop("taken", *[f"_{c}_of" for c in key])
     return whole.unionByName(part).withColumn(
         "copies", F.when(F.col("size") == 0, 0).otherwise(F.col("copies")).cast("long")
     )
@@ -170,7 +196,13 @@ def _left_half(node: Column, quotas: Column, left: Column) -> Column:
     return F.aggregate(quotas, start, step, lambda a: a["out"])
 
 
-def split_quotas(quotas: DataFrame, shards: int = SHARDS) -> DataFrame:
+def shard_count(sources: DataFrame) -> int:
+    """The power of two that gives every shard ``SHARD_WORDS`` words of the mix at most, on average."""
+    words = sources.agg(F.sum("target")).first()[0] or 0
+    return 1 << max(0, math.ceil(words / SHARD_WORDS) - 1).bit_length()
+
+
+def split_quotas(quotas: DataFrame, shards: int) -> DataFrame:
     """(rank, quota) -> (rank, shard, first, n): which stretch of a source's block draws each shard
     takes. ``shards`` is a power of two; shards differ by one block draw at most per level."""
     if shards < 1 or shards & (shards - 1):
@@ -178,7 +210,9 @@ def split_quotas(quotas: DataFrame, shards: int = SHARDS) -> DataFrame:
     nodes = quotas.agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "quota"))), lambda x: x["quota"]).alias("quotas")
     ).withColumn("node", F.lit(1).cast("long"))
-    for _ in range(shards.bit_length() - 1):
+    for level in range(shards.bit_length() - 1):
+        if level == SPREAD_LEVEL:
+            nodes = nodes.repartition(1 << level, "node")
         half = F.floor(F.aggregate("quotas", F.lit(0).cast("long"), lambda s, q: s + q) / 2)
         nodes = nodes.withColumn("left", _left_half(F.col("node"), F.col("quotas"), half))
         children = F.array(
@@ -192,7 +226,7 @@ def split_quotas(quotas: DataFrame, shards: int = SHARDS) -> DataFrame:
     return leaves.withColumn("first", F.sum("n").over(order) - F.col("n"))
 
 
-def mixing_plan(placed: DataFrame, last: DataFrame, shards: int = SHARDS) -> DataFrame:
+def mixing_plan(placed: DataFrame, last: DataFrame, shards: int) -> DataFrame:
     """(rank, block, copy, shard): every block draw of the mix and the shard that takes it."""
     per_block = placed.select("rank", "block", "passes").distinct().join(last, ["rank", "block"])
     n = F.col("passes") + (F.col("whole") | (F.col("room") > 0)).cast("int")
@@ -230,12 +264,14 @@ def takes(docs: DataFrame, weights: list[int] = WEIGHTS) -> DataFrame:
     rows = cut_lineage(_measured(docs))
     sources = cut_lineage(source_targets(rows, weights))
     placed = _place(rows, sources).withColumn("_id", F.col("doc_id"))
-    return _copies(placed, cut_lineage(_last_pass(placed)))
+    last = cut_lineage(_last_pass(placed))
+    return _copies(placed, last, _cut_rows(placed, last))
 
 
-def _dealt(docs: DataFrame, placed: DataFrame, sources: DataFrame, shards: int) -> DataFrame:
+def _dealt(docs: DataFrame, placed: DataFrame, sources: DataFrame, shards: int | None) -> DataFrame:
     """``docs``, each row once per copy, by shard and locally shuffled, from their measured rows."""
     last = cut_lineage(_last_pass(placed))
+    shards = shards or shard_count(sources)
     plan = cut_lineage(mixing_plan(placed, last, shards))
     # The same expressions on the whole rows: no row needs an identity to be found again.
     given = docs.columns
@@ -244,21 +280,25 @@ def _dealt(docs: DataFrame, placed: DataFrame, sources: DataFrame, shards: int)
         F.struct(*[F.col(f"`{c}`") for c in given]).alias("_doc"), F.col("doc_id").alias("_id"), "source",
         word_count(text).alias("size"), hash40(F.col("doc_id"), F.md5(text.cast("binary"))).alias("u"),
     )
-    taken = _copies(_place(own, sources), last).where("copies > 0")
+    cut_rows = cut_lineage(_cut_rows(placed.withColumn("_id", F.col("doc_id")), last))
+    taken = _copies(_place(own, sources), last, cut_rows).where("copies > 0")
     out = taken.join(plan, ["rank", "block"]).where("copy < copies")
     out = out.repartition(shards, "shard").sortWithinPartitions(
         "shard", hash40(F.lit("place"), F.col("u"), F.col("copy")), "_id")
     return out.select("_doc.*")
 
 
-def mix(docs: DataFrame, weights: list[int] = WEIGHTS, shards: int = SHARDS) -> DataFrame:
-    """The mix itself: ``docs``, each row once per copy, by shard and locally shuffled."""
+def mix(docs: DataFrame, weights: list[int] = WEIGHTS, shards: int | None = None) -> DataFrame:
+    """The mix itself: ``docs``, each row once per copy, by shard and locally shuffled.
+
+    The number of shards, a power of two, follows from the words of the mix unless it is given.
+    """
     rows = cut_lineage(_measured(docs))
     sources = cut_lineage(source_targets(rows, weights))
     return _dealt(docs, _place(rows, sources), sources, shards)
 
 
-def counted(docs: DataFrame, weights: list[int] = WEIGHTS, shards: int = SHARDS) -> DataFrame:
+def counted(docs: DataFrame, weights: list[int] = WEIGHTS, shards: int | None = None) -> DataFrame:
     """Per document: doc_id, size, source_size, target and copies, counted in the finished mix.
 
     Rows equal in id, source and text are interchangeable and share their copies out. A row of the

@@ -121,3 +121,32 @@ def test_the_query_counts_in_the_finished_mix(spark, monkeypatch, tmp_path, many
     monkeypatch.setattr(mx, "mixing_plan", lambda *a: plan(*a).where("not (rank = 0 and block = 0 and copy = 0)"))
     less = Counter({r["doc_id"]: r["taken"] for r in mx.op3_mix_sources(spark, str(tmp_path)).collect()})
     assert set(less) == set(whole) and sum(less.values()) < sum(whole.values())
+
+
+@pytest.mark.parametrize("words", [0, 1, 999, 1000, 1001, 7000, 64001])
+def test_shards_follow_from_the_words(spark, monkeypatch, words):
+    monkeypatch.setattr(mx, "SHARD_WORDS", 1000)
+    sources = mx.source_targets(spark.createDataFrame([("a", words), ("b", 0)], "source string, size long"))
+    n = mx.shard_count(sources)
+    assert n & (n - 1) == 0 and words <= 1000 * n and (n == 1 or words > 500 * n)
+
+
+def test_a_mix_over_many_shards_and_repeated_rows(spark, monkeypatch, many):
+    """Deep enough a tree for its nodes to be dealt out; every row five times over."""
+    monkeypatch.setattr(mx, "SPREAD_LEVEL", 2)
+    monkeypatch.setattr(mx, "SHARD_WORDS", 4000)
+    five = many.where("doc_id < 600").crossJoin(spark.range(5).drop("id").withColumn("again", F.lit(1)))
+    want = Counter()
+    for r in mx.takes(five).collect():
+        want[r["doc_id"]] += r["copies"]
+    assert Counter(r["doc_id"] for r in mx.mix(five).collect()) == +want
+    got = Counter()
+    for r in mx.counted(five).collect():
+        got[r["doc_id"]] += r["copies"]
+    assert got == want
+
+
+def test_no_text_is_ranked(many):
+    """The window that ranks a source's cut block sees ids and sizes only."""
+    placed = mx._place(mx._measured(many), mx.source_targets(mx._measured(many))).withColumn("_id", F.col("doc_id"))
+    assert set(mx._cut_rows(placed, mx._last_pass(placed)).columns) == {"rank", "block", "u", "_id", "size", "taken"}
