@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from reviewmill.llm import byte_bpe, mixing, near_dup, quality_rules, secret_scan
 from reviewmill.session import shared_dir
 
+CACHE_SHARE = 0.2
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -39,7 +40,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix, and whether they decode to its text."""
     columns = docs.select("doc_id", "source", "text")
-    rows = byte_bpe.encoded_and_decoded(columns, out="codec")
+    # The earlier stages have left the executors large: the codec's caches keep to a fifth of their bounds.
+    rows = byte_bpe.encoded_and_decoded(columns, out="codec", share=CACHE_SHARE)
     same = F.col("codec.decoded") == F.coalesce("text", F.lit(""))
     return rows.select(
         "doc_id", "source", F.size("codec.ids").cast("long").alias("n_tokens"),

@@ -61,7 +61,8 @@ class Transducer:
     """States are tuples of numbers ``(last + 1) << 20 | place``: a last token (0: none yet) and the
     place, in the tree of all proper beginnings of tokens, of the bytes begun since."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], kept: float = 1):
+        self.max_states, self.max_pairs = int(MAX_STATES * kept), int(MAX_PAIRS * kept)
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         places = {b"": 0}
@@ -101,7 +102,7 @@ class Transducer:
         """Whether ``token`` may follow ``last`` (-1: may begin)."""
         known = self.pairs.get(last << 17 | token)
         if known is None:
-            if len(self.pairs) >= MAX_PAIRS:
+            if len(self.pairs) >= self.max_pairs:
                 self.pairs.clear()
             if last < 0:
                 known = self.merge(self.bytes_of[token]) == [token]
@@ -137,7 +138,7 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) >= MAX_STATES:
+        if len(self.states) >= self.max_states:
             self.reset()
         out: list[int] = []
         state, lasts = 0, []  # last tokens of the prefixes since the last token emitted
@@ -165,8 +166,9 @@ class Transducer:
 
 
 class Encoder:
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.transducer = Transducer(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, kept: float = 1):
+        self.max_texts = int(MAX_TEXTS * kept)
+        self.transducer = Transducer(ranks, kept)
         spaces = pattern.replace(r"\s", f"[{_WHITE}]").replace(r"\S", f"[^{_WHITE}]")
         spaces = spaces.replace(f"[^[{_WHITE}]", f"[^{_WHITE}")  # inside a class already
         self.pieces = regex.compile(spaces)
@@ -176,7 +178,7 @@ class Encoder:
     def _keep(self, text: str, ids: bytes) -> None:
         """Two generations: what is looked up again moves on to the next, the rest goes."""
         if len(text) <= LONGEST_KEPT:
-            if len(self.known) >= MAX_TEXTS:
+            if len(self.known) >= self.max_texts:
                 self.older, self.known = self.known, {}
             self.known[text] = ids
 
@@ -224,7 +226,8 @@ class Utf8Machine:
         (0xF1, 0xF3, 3, 0x80, 0xBF), (0xF4, 0xF4, 3, 0x80, 0x8F),
     ]
 
-    def __init__(self, bytes_of: dict[int, bytes]):
+    def __init__(self, bytes_of: dict[int, bytes], kept: float = 1):
+        self.max_texts = int(MAX_TEXTS * kept)
         self.bytes_of = bytes_of
         self.lead = {b: (n, lo, hi) for first, last, n, lo, hi in self.LEADS for b in range(first, last + 1)}
         self.steps: dict[tuple[bytes, int], tuple[str, bytes]] = {}
@@ -266,7 +269,7 @@ class Utf8Machine:
         for token in ids:
             step = steps.get((pending, token))
             if step is None:
-                if len(steps) >= MAX_TEXTS:
+                if len(steps) >= self.max_texts:
                     steps.clear()
                 step = steps[pending, token] = self.feed(pending, self.bytes_of[token])
                 if not pending and not step[1]:
@@ -293,7 +296,7 @@ class Utf8Machine:
                 if text is None:
                     text, pending = self.run(b"", np.frombuffer(part, np.int32).tolist())
                 if out[k] is None and not pending and len(text) <= LONGEST_KEPT:
-                    if len(self.whole) >= MAX_TEXTS:
+                    if len(self.whole) >= self.max_texts:
                         self.older, self.whole = self.whole, {}
                     self.whole[part] = text
             else:
@@ -313,10 +316,13 @@ def _list_array(packed: list[bytes]) -> pa.Array:
 class Codec:
     """Encoding and decoding as column functions over one vocabulary.
 
-    The rank file is read by the driver and broadcast: its size does not depend on the data.
+    The rank file is read by the driver and broadcast: its size does not depend on the data. ``share`` is the
+    part of the full bounds that the caches of a worker keep to: fewer take less memory and more time.
     """
 
-    def __init__(self, spark: SparkSession, path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN):
+    def __init__(
+        self, spark: SparkSession, path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN, share: float = 1
+    ):
         with open(path, "rb") as f:
             shared = spark.sparkContext.broadcast({"lines": f.read(), "kept": {}})
 
@@ -325,9 +331,9 @@ class Codec:
             if name not in kept:
                 ranks = read_ranks(shared.value["lines"])
                 if name == "encoder":
-                    kept[name] = Encoder(ranks, pattern)
+                    kept[name] = Encoder(ranks, pattern, share)
                 else:
-                    kept[name] = Utf8Machine({rank: token for token, rank in ranks.items()})
+                    kept[name] = Utf8Machine({rank: token for token, rank in ranks.items()}, share)
             return kept[name]
 
         def slices(batches: Iterator[pa.Array]) -> Iterator[list]:
@@ -374,9 +380,9 @@ def tokenize(docs: DataFrame, path: str = VOCABULARY, out: str = "ids") -> DataF
     return docs.withColumn(out, Codec(docs.sparkSession, path).encode(F.col("text")))
 
 
-def encoded_and_decoded(docs: DataFrame, path: str = VOCABULARY, out: str = "codec") -> DataFrame:
+def encoded_and_decoded(docs: DataFrame, path: str = VOCABULARY, out: str = "codec", share: float = 1) -> DataFrame:
     """``docs`` with a struct ``out``: the token ids of the whole text and what they decode to."""
-    return docs.withColumn(out, Codec(docs.sparkSession, path).there_and_back(F.col("text")))
+    return docs.withColumn(out, Codec(docs.sparkSession, path, share=share).there_and_back(F.col("text")))
 
 
 @query()

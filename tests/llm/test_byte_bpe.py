@@ -96,3 +96,16 @@ def test_query(spark, library):
         assert r["n_tokens"] == len(ids)
         assert r["ids_sha256"] == sha(" ".join(map(str, ids)).encode())
         assert r["decoded_sha256"] == sha(texts[r["doc_id"]].encode())
+
+
+def test_a_share_of_the_caches_bounds_a_worker_and_changes_no_id():
+    ranks = bpe.read_ranks(open(bpe.VOCABULARY, "rb").read())
+    share = 1 / 3000
+    full, small = bpe.Encoder(ranks, public_tokenizers.PATTERN), bpe.Encoder(ranks, public_tokenizers.PATTERN, share)
+    machine = bpe.Utf8Machine({rank: token for token, rank in ranks.items()}, share)
+    for i in range(400):
+        text = f"wörd{i} {i * 7919}x{i} née{i % 9} plain text"
+        ids, parts = small.packed(text)
+        assert ids == full.packed(text)[0] and machine.decode_packed(parts) == text
+    assert len(small.known) <= 100 >= len(small.older) and len(machine.whole) <= 100 >= len(machine.older)
+    assert len(full.known) > 400 and len(small.transducer.states) < len(full.transducer.states)
