@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,6 +99,21 @@ def ask_chunk(
     return asked, len(todo) - asked
 
 
+def _chunks(batches: Iterator[pd.DataFrame], size: int) -> Iterator[dict[str, str]]:
+    """Texts by digest, ``size`` at a time, of rows that come in the order of digests; each text once."""
+    chunk, last = {}, None
+    for rows in batches:
+        for digest, text in zip(rows["text_digest"], rows["text"]):
+            if digest == last:
+                continue
+            if len(chunk) >= size:
+                yield chunk
+                chunk = {}
+            chunk[digest], last = text, digest
+    if chunk:
+        yield chunk
+
+
 def label_once(
     reviews: DataFrame,
     load_classifier: Callable[[], Callable[[str], dict]],
@@ -109,6 +125,7 @@ def label_once(
     wait: Callable[[float], None] = time.sleep,
     content: str = "content",
     id_col: str = "review_id",
+    digest: str | None = None,
 ) -> DataFrame:
     """Add ``{category}_pred`` from a service that is asked once per text, over tasks and runs.
 
@@ -119,31 +136,39 @@ def label_once(
     Failures of a text are its answer, ERROR in every category. Rows whose text has no answer because the
     service stayed rate-limited have null labels: call again with the same store.
 
-    Chunks are cut by the text's digest, so a text that a third of the rows repeat is one text of one chunk.
+    Tasks go through their texts in the order of digests, a chunk at a time, so a task that is tried again finds what
+    it has committed, and a text that a third of the rows repeat is one text of one chunk. Texts are shuffled once, to
+    meet the list of those that are wanted.
+
+    ``digest`` names a column that holds the text's SHA-256 in hex (null: of the empty text) already. Where the result
+    is used without its texts, these then take no part in the joins that add the labels.
     """
     spark = reviews.sparkSession
     names = pred_columns(categories)
-    digest = F.sha2(tx.null_to_empty(content), 256)
-    marked = reviews.withColumn("text_digest", digest)
+    marked = reviews.withColumn("text_digest", F.col(digest) if digest else F.sha2(tx.null_to_empty(content), 256))
     texts = cut_lineage(
         marked.groupBy("text_digest").agg(F.count("*").alias("_rows"), F.min(id_col).alias(id_col))
     )
     known = store_of.read_answers(spark, store, categories)
-    wanted = cut_lineage(texts.join(known, "text_digest", "left_anti").select(id_col, "text_digest"))
-    chunks = -(-wanted.count() // chunk_size)
-    if chunks:
+    wanted = texts.join(known, "text_digest", "left_anti")
+    place = F.xxhash64(id_col).alias("_place")  # a number for a null id, too
+    wanted = cut_lineage(wanted.select("text_digest", place))
+    if not wanted.isEmpty():
         run = uuid.uuid4().hex
         home = f"{store.rstrip('/')}/open/run={run}"
 
-        def ask(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            chunk = dict(zip(rows["text_digest"], rows["text"]))
-            folder = f"{home}/chunk={key[0]}"
-            counts = ask_chunk(chunk, folder, load_classifier(), categories, commit_every, attempts, wait)
-            return pd.DataFrame([(key[0], *counts)], columns=["chunk", "asked", "left"])
-
-        dealt = reviews.select(id_col, tx.null_to_empty(content).alias("text")).join(wanted, id_col)
-        dealt = dealt.select("text_digest", "text", F.pmod(F.xxhash64("text_digest"), F.lit(chunks)).alias("chunk"))
-        cut_lineage(dealt.groupBy("chunk").applyInPandas(ask, "chunk long, asked long, left long"))
+        def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            task = TaskContext.get().partitionId()
+            for k, chunk in enumerate(_chunks(batches, chunk_size)):
+                folder = f"{home}/chunk={task}_{k}"
+                counts = ask_chunk(chunk, folder, load_classifier(), categories, commit_every, attempts, wait)
+                yield pd.DataFrame([counts], columns=["asked", "left"])
+
+        # Never broadcast nor split: rows that repeat an id and a text must meet in one task.
+        whole = marked.select("text_digest", place, tx.null_to_empty(content).alias("text"))
+        dealt = whole.repartition("text_digest", "_place").join(wanted.hint("merge"), ["text_digest", "_place"])
+        dealt = dealt.select("text_digest", "text").sortWithinPartitions("text_digest")
+        cut_lineage(dealt.mapInPandas(ask, "asked long, left long"))
         store_of.close_run(spark, store, run, categories)
         known = store_of.read_answers(spark, store, categories)
     answered = texts.select("text_digest", "_rows").join(known, "text_digest", "left")

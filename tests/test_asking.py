@@ -126,3 +126,36 @@ def test_a_run_that_was_lost_is_gone_on_with(spark, tmp_path):
 def test_no_rows(spark, tmp_path):
     df = spark.createDataFrame([], "review_id long, content string")
     assert run(df, tmp_path, False, str(tmp_path / "store")).collect() == []
+
+
+def test_rows_without_an_id_and_repeated_rows_are_asked_once(spark, tmp_path):
+    log = tmp_path / "log"
+    log.mkdir()
+    rows = [(None, "one"), (None, "one"), (1, "two"), (1, "two")] * 5
+    df = spark.createDataFrame(rows, "review_id long, content string").repartition(4)
+    got = [(r.content, r.A_pred) for r in run(df, log, False, str(tmp_path / "store")).collect()]
+    assert sorted(got) == [("one", "NEG")] * 10 + [("two", "NEG")] * 10
+    assert sorted(p.read_text() for p in log.iterdir()) == ["one", "two"]
+
+
+def test_texts_stay_out_of_the_joins_for_labels_where_digests_are_known(spark, tmp_path):
+    log, path = tmp_path / "log", str(tmp_path / "rows")
+    log.mkdir()
+    df = spark.createDataFrame([(i, f"text {i % 7}") for i in range(20)] + [(20, None)], "review_id long, content string")
+    df.withColumn("known", F.sha2(F.coalesce("content", F.lit("")), 256)).write.parquet(path)
+    rows, store = spark.read.parquet(path), str(tmp_path / "store")
+    args = (Logged(str(log), False), store, CATS, 3)
+    done = labelling.label_once(rows, *args, digest="known")
+    again = labelling.label_once(done.drop("A_pred", "B_pred"), *args, digest="known").select("review_id", "A_pred")
+    assert "content" not in again._jdf.queryExecution().executedPlan().toString()
+    assert {r.review_id: r.A_pred for r in again.collect()} == {i: "NEG" if i < 20 else "ABSENT" for i in range(21)}
+    assert len(list(log.iterdir())) == 8
+
+
+def test_chunks_hold_each_text_once():
+    import pandas as pd
+
+    rows = ["a", "a", "b", "c", "c", "c", "d", "e"]
+    for cut in range(len(rows) + 1):
+        parts = [pd.DataFrame({"text_digest": p, "text": p}) for p in (rows[:cut], rows[cut:])]
+        assert [sorted(c) for c in labelling._chunks(iter(parts), 2)] == [["a", "b"], ["c", "d"], ["e"]]
