@@ -166,3 +166,22 @@ def test_null_content_is_dropped_by_length(spark):
     rows = [(1, None), (2, "a b c d e"), (3, "a b c d e f")]
     df = spark.createDataFrame(rows, "review_id bigint, content string")
     assert ids(cleaning.length_filter(df)) == [3]
+
+
+def test_verified_dedup_reads_its_rows_once(spark):
+    """Cleaned texts are not cleaned again for the digests, the texts and the answer."""
+    words = ["late", "driver", "map", "price", "crash", "refund", "slow", "login"]
+    texts = [" ".join(words[(i * k) % 8] for k in range(3, 30)) + f" {i % 7}" for i in range(60)]
+    rows = [(i, i % 5, t) for i, t in enumerate([*texts, *texts[:9], ""])] + [(None, 1, "no id"), (None, 1, texts[0])]
+    df = spark.createDataFrame(rows, "review_id long, score long, content string")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    got = dedup.greedy_near_dedup(df.mapInArrow(counted, df.schema), verify=True).collect()
+    assert read.value == len(rows)
+    kept, _ = brute_force([t for _, _, t in rows[:-2]], verify=True)
+    assert sorted(r.review_id for r in got) == sorted(kept) and all(rows[r.review_id][1] == r.score for r in got)
